@@ -74,7 +74,9 @@ def p4_contents(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "xyz_points").select("point_id", "loaded_at", "campaign_id", "x", "y", "z")
-    fixed = newest(p, "point_id", "loaded_at").where("not (x <=> 0.0 and y <=> 0.0 and z <=> 0.0)")
+    fixed = newest(p, "point_id", "loaded_at").where(
+        "x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z) and not (x = 0 and y = 0 and z = 0)"
+    )
     return fixed.select(F.col("point_id").alias("id"), F.col("campaign_id").alias("group"), "x", "y", "z")
 
 
