@@ -123,8 +123,8 @@ def batch_offsets(fields: DataFrame, table: str, order: str) -> DataFrame:
     gathered = fields.groupBy(table).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("item").alias("item"), size.alias("size")))).alias("f"))
     step = """aggregate(f, cast(array() as array<struct<k: int, at: bigint, till: bigint>>), (acc, p) -> concat(acc, array(named_struct(
         'k', cast(p.k as int),
-        'at', coalesce(element_at(acc, -1).till, 0L) + pmod(p.item - pmod(coalesce(element_at(acc, -1).till, 0L), p.item), p.item),
-        'till', coalesce(element_at(acc, -1).till, 0L) + pmod(p.item - pmod(coalesce(element_at(acc, -1).till, 0L), p.item), p.item) + p.size))))"""
+        'at', coalesce(try_element_at(acc, -1).till, 0L) + pmod(p.item - pmod(coalesce(try_element_at(acc, -1).till, 0L), p.item), p.item),
+        'till', coalesce(try_element_at(acc, -1).till, 0L) + pmod(p.item - pmod(coalesce(try_element_at(acc, -1).till, 0L), p.item), p.item) + p.size))))"""
     return gathered.select(table, F.explode(F.expr(step.replace("p.size", "cast(p.size as bigint)"))).alias("o")).select(table, F.col("o.k").alias(order), F.col("o.at").alias("byte_offset"), (F.col("o.till") - F.col("o.at")).alias("byte_length"))
 
 

@@ -1 +1,36 @@
-"""Readers that turn files into DataFrames."""
+"""Readers that turn files into DataFrames, chosen by suffix."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratapoint.errors import FormatNotSupported
+from stratapoint.sources import las, ply, xyz
+
+READERS = {".xyz": xyz.scan, ".csv": xyz.scan, ".las": las.scan, ".ply": ply.scan}
+MESHES = (".obj", ".ifc")
+
+
+def suffix(path: str) -> str:
+    return os.path.splitext(path)[1].lower()
+
+
+def read_points(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """Points of files of any mix of suffixes, as one table; columns that some files lack are null."""
+    by: dict[str, list[str]] = {}
+    for p in paths:
+        by.setdefault(suffix(p), []).append(p)
+    unknown = sorted(p for s, files in by.items() if s not in READERS for p in files)
+    if unknown:
+        raise FormatNotSupported(f"no reader for {', '.join(unknown)}")
+    out = None
+    for s, files in by.items():
+        part = READERS[s](spark, files)
+        if "point_no" not in part.columns:
+            part = part.withColumn("point_no", F.monotonically_increasing_id())
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
