@@ -100,14 +100,14 @@ def _cycles(links: DataFrame) -> DataFrame:
 def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     """links: id, parent. One row per id: id, root, depth, kind and, with_path, path.
 
-    ``id`` must be unique; rows without an id are dropped. A null or negative parent means none. ``rooted``: the chain of
+    Repeated rows count once; of several rows of one id the one with the largest parent does. Rows without an id are dropped. A
+    null or negative parent means none. ``rooted``: the chain of
     parents ends at a node without parent. ``orphaned``: it ends at a node whose parent is no node. ``on_cycle``: root is the
     smallest id of the cycle, depth 0. ``below_cycle``: root is that id too, depth the links to the first node on the cycle.
     path: all ids from the root (or the first node on the cycle) to the node. An empty table gives no rows.
     """
-    nodes = cut_lineage(
-        links.where("id is not null").select("id", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"))
-    )
+    one = links.where("id is not null").groupBy("id").agg(F.max("parent").alias("parent"))
+    nodes = cut_lineage(one.select("id", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent")))
     known = nodes.select(F.col("id").alias("k"))
     # a semi-join on the parent: the parents' distinct values are taken first, so a parent of very many nodes moves once
     missing = nodes.where("parent is not null").select("parent").distinct().join(known, F.col("parent") == F.col("k"), "left_anti").select(F.col("parent").alias("gone"))

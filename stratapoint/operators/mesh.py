@@ -57,6 +57,9 @@ def _bridge(outer: list[int], hole: list[int], pts: list[tuple[float, float]]) -
         inside = [k for k, i in enumerate(outer) if pts[i] != m and pts[i][0] >= p[0] and _in_triangle(pts[i], p, hit, m)]
         if inside:
             best = min(inside, key=lambda k: (abs(pts[outer[k]][1] - p[1]) / (pts[outer[k]][0] - p[0] + 1e-300), math.dist(pts[outer[k]], p)))
+    n = len(outer)
+    same = [k for k in range(n) if pts[outer[k]] == pts[outer[best]]]  # bridges repeat points: take the copy that faces the hole
+    best = next((k for k in same if _within(pts[outer[k - 1]], pts[outer[k]], pts[outer[(k + 1) % n]], p)), best)
     return outer[: best + 1] + hole + [hole[0]] + outer[best:]
 
 
@@ -65,6 +68,29 @@ def _in_triangle(q: tuple, a: tuple, b: tuple, c: tuple) -> bool:
     return (d1 >= 0 and d2 >= 0 and d3 >= 0) or (d1 <= 0 and d2 <= 0 and d3 <= 0)
 
 
+def _ear(ring: list[int], pts: list[tuple[float, float]]) -> int:
+    """The place of an ear: convex, with no other point inside; else of a point on a straight line; else (crossing sides) of
+    any convex point, or the first."""
+    n = len(ring)
+    straight = convex = None
+    for k in range(n):
+        a, b, c = pts[ring[k - 1]], pts[ring[k]], pts[ring[(k + 1) % n]]
+        t = _turn(a, b, c)
+        if t > 0:
+            convex = k if convex is None else convex
+            if not any(_in_triangle(pts[q], a, b, c) for q in ring if pts[q] not in (a, b, c)):
+                return k
+        elif t == 0 and straight is None:
+            straight = k
+    return straight if straight is not None else convex if convex is not None else 0
+
+
+def _within(before: tuple, at: tuple, after: tuple, p: tuple) -> bool:
+    """Whether p lies in the ring's inner angle at a point."""
+    left, right = _turn(before, at, p) >= 0, _turn(at, after, p) >= 0
+    return (left and right) if _turn(before, at, after) >= 0 else (left or right)
+
+
 def triangulate_indices(rings: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(points, triangles): the rings' points in a row, and indices of triangles turned as the outer ring is.
 
@@ -90,30 +116,12 @@ def triangulate_indices(rings: Sequence[np.ndarray]) -> tuple[np.ndarray, np.nda
     for h in sorted(holes, key=lambda h: -max(pts[i][0] for i in h)):
         ring = _bridge(ring, h, pts)
     out = []
-    guard = 0
     while len(ring) > 3:
-        n = len(ring)
-        for k in range(n):
-            a, b, c = ring[k - 1], ring[k], ring[(k + 1) % n]
-            t = _turn(pts[a], pts[b], pts[c])
-            if t < 0 or (t == 0 and guard < n):
-                continue
-            if t > 0 and any(
-                _in_triangle(pts[q], pts[a], pts[b], pts[c]) for q in ring if q not in (a, b, c) and pts[q] not in (pts[a], pts[b], pts[c])
-            ):
-                continue
-            if t > 0:
-                out.append((a, b, c))
-            del ring[k]
-            guard = 0
-            break
-        else:
-            guard = guard + n if guard < n else guard
-            if guard >= 2 * n:  # crossing sides: what is left is cut as a fan
-                out += [(ring[0], ring[k], ring[k + 1]) for k in range(1, n - 1)]
-                ring = ring[:2]
-                break
-            guard = max(guard, n) if guard < n else 2 * n
+        k = _ear(ring, pts)
+        a, b, c = ring[k - 1], ring[k], ring[(k + 1) % len(ring)]
+        if _turn(pts[a], pts[b], pts[c]) != 0:
+            out.append((a, b, c))
+        del ring[k]
     if len(ring) == 3:
         out.append(tuple(ring))
     tri = np.array(out, int).reshape(-1, 3)
@@ -279,6 +287,25 @@ def _quadrics(points: np.ndarray, faces: np.ndarray) -> np.ndarray:
     return out
 
 
+def _border_quadrics(points: np.ndarray, faces: np.ndarray) -> np.ndarray:
+    """Quadrics of planes that stand on the border's sides, so that a border keeps its course."""
+    sides = np.concatenate([faces[:, [0, 1]], faces[:, [1, 2]], faces[:, [2, 0]]])
+    p = points[faces]
+    normals = np.tile(np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]), (3, 1))
+    _, at, times = np.unique(np.sort(sides, axis=1), axis=0, return_index=True, return_counts=True)
+    lone = at[times == 1]
+    along = points[sides[lone, 1]] - points[sides[lone, 0]]
+    n = np.cross(along, normals[lone])
+    size = np.linalg.norm(n, axis=1, keepdims=True)
+    n = np.divide(n, size, out=np.zeros_like(n), where=size > 0)
+    plane = np.column_stack([n, -(n * points[sides[lone, 0]]).sum(axis=1)])
+    q = plane[:, :, None] * plane[:, None, :]
+    out = np.zeros((len(points), 4, 4))
+    for k in range(2):
+        np.add.at(out, sides[lone, k], q)
+    return out
+
+
 def _weld(points: np.ndarray, faces: np.ndarray, distance: float) -> np.ndarray:
     border = _border(points, faces)
     at = np.nonzero(border)[0]
@@ -361,7 +388,7 @@ def decimate(points: np.ndarray, faces: np.ndarray, target: int, options: Option
         if len(faces) <= target:
             break
         if q is None or i % options.rebuild_every == 0:
-            q = _quadrics(points, faces)
+            q = _quadrics(points, faces) + _border_quadrics(points, faces)
             border = _border(points, faces)
         threshold = fixed_threshold if fixed_threshold is not None else 1e-9 * (i + 3) ** options.aggressiveness
         edges, _ = _edges(faces)

@@ -25,6 +25,7 @@ LEAF_CAPACITY = 20_000
 PRUNE_BELOW = 100
 MIN_SPACING = 0.001
 MAX_LEVEL = 30
+WORKING = ("node", "cell", "kept", "lx", "ly", "lz", "inner_node", "_d")
 
 
 @dataclass(frozen=True)
@@ -180,8 +181,10 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
 
     Level by level: nodes with fewer than ``leaf_capacity`` points, or whose spacing is at the limit, keep all of theirs; the
     others keep, cell by cell and in arrival order, each point at least ``spacing`` from those kept, and hand the rest to their
-    children. The root keeps none. Points with a null or NaN coordinate are left out; an empty table gives none.
+    children. The root keeps none. Points with a null or NaN coordinate are left out; an empty table gives none. Input columns
+    named like the working ones (``WORKING``) are dropped.
     """
+    points = points.drop(*WORKING)
     ok = F.lit(True)
     for v in AXES:
         ok = ok & F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))

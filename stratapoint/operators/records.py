@@ -132,6 +132,12 @@ def tokenize(lines: pa.Array, separators: list[str]) -> tuple[np.ndarray, np.nda
     return count, error_at, first_field, fields
 
 
+def _whole(text: str) -> int:
+    """A whole number; one of more than ten digits is only told to be too large."""
+    digits = text.lstrip("+0")
+    return int(digits or "0") if len(digits) <= 10 else 2**62
+
+
 def _read_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     n = batch.num_rows
     col = {k: batch.column(k) for k in batch.schema.names}
@@ -153,7 +159,7 @@ def _read_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = pc.match_substring_regex(part, DECIMAL if k < 4 else WHOLE).to_numpy(zero_copy_only=False) & have
         texts = np.array(part.to_pylist(), object)
         parsed = np.zeros(len(good), np.float64 if k < 4 else object)
-        parsed[ok] = [(float if k < 4 else int)(t) for t in texts[ok]]
+        parsed[ok] = [float(t) if k < 4 else _whole(t) for t in texts[ok]]
         if k < 4:
             ok &= np.isfinite(parsed)
         else:

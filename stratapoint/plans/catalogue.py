@@ -464,13 +464,13 @@ def dms_to_deg(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT p_partkey, (p_size / 50.0)::DOUBLE AS s, (p_partkey % 1100)::DOUBLE AS ns FROM part), l AS (SELECT *, 0.2125::DOUBLE * s + 0.7154::DOUBLE * s * 0.1::DOUBLE + 0.0721::DOUBLE * s * 0.1::DOUBLE AS lum FROM m)
-SELECT p_partkey, round(least(greatest(1 - ns / 1000, 0), 1) * CASE WHEN lum < 0.1 THEN 1 - lum ELSE 1 END, 5) AS roughness, round(s, 6) AS metallic FROM l""")
+SELECT p_partkey, round(least(greatest(1 - ns / 1000, 0), 1) * CASE WHEN lum < 0.1 THEN 1 - lum ELSE 1 END, 12) AS roughness, round(s, 6) AS metallic FROM l""")
 def luminance_roughness(spark: SparkSession, d: str) -> DataFrame:
     from stratapoint.sources.obj import material_columns
 
     m = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size") / 50.0, F.col("p_size") / 50.0 * 0.1, F.col("p_size") / 50.0 * 0.1).alias("specular"), (F.col("p_partkey") % 1100).cast("double").alias("shininess"), F.lit(1.0).alias("opacity"))
     c = material_columns(F.col("specular"), F.col("shininess"), F.col("opacity"))
-    return m.select("p_partkey", _r(c["roughness"], 5).alias("roughness"), _r(c["metallic"]).alias("metallic"))
+    return m.select("p_partkey", _r(c["roughness"], 12).alias("roughness"), _r(c["metallic"]).alias("metallic"))
 
 
 # ---- delimited points ----

@@ -51,7 +51,7 @@ def border_vertices(spark: SparkSession, d: str) -> DataFrame:
     return mesh.border_vertices(grid_faces(spark))
 
 
-@query(f"WITH {GRID_SQL} SELECT 0::BIGINT AS mesh, a.vertex, round(max((1 - (a.nx * b.nx + a.ny * b.ny + a.nz * b.nz)) / 2), 6) AS curvature FROM i a JOIN i b ON a.vertex = b.vertex GROUP BY a.vertex")
+@query(f"WITH {GRID_SQL} SELECT 0::BIGINT AS mesh, a.vertex, round(max((1 - (a.nx * b.nx + a.ny * b.ny + a.nz * b.nz)) / 2), 6) + 0.0 AS curvature FROM i a JOIN i b ON a.vertex = b.vertex GROUP BY a.vertex")
 def vertex_curvature(spark: SparkSession, d: str) -> DataFrame:
     return mesh.vertex_curvature(grid_faces(spark), grid_vertices(spark)).withColumn("curvature", F.round("curvature", 6) + 0.0)
 

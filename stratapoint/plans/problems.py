@@ -144,7 +144,7 @@ below AS (SELECT tile_id, root_id, 0::BIGINT AS depth FROM cyc
 SELECT tile_id, root_id, depth, kind FROM down
 UNION ALL SELECT tile_id, root_id, depth, CASE WHEN depth = 0 THEN 'on_cycle' ELSE 'below_cycle' END FROM below""",
     "p5_found": f"""WITH p AS {_NEWEST_POINTS},
-c AS (SELECT *, floor(x / 0.25)::BIGINT AS cx, floor(y / 0.25)::BIGINT AS cy, floor(z / 0.25)::BIGINT AS cz FROM p),
+c AS (SELECT *, TRY_CAST(floor(x / 0.25) AS BIGINT) AS cx, TRY_CAST(floor(y / 0.25) AS BIGINT) AS cy, TRY_CAST(floor(z / 0.25) AS BIGINT) AS cz FROM p),
 n AS (SELECT c.*, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM c, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k))
 SELECT a.point_id AS point_id_a, b.point_id AS point_id_b FROM c a JOIN n b
 ON a.campaign_id = b.campaign_id AND a.cx = b.nx AND a.cy = b.ny AND a.cz = b.nz AND a.point_id < b.point_id

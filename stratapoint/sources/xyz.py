@@ -46,9 +46,10 @@ def sniff(head: str) -> Dialect:
     best = None
     for rank, s in enumerate(SEPARATORS):
         widths = [len(_cut(ln, s)) for ln in lines]
-        alike = sum(w == widths[-1] for w in widths)
-        if widths[-1] >= 3 and (best is None or (alike, -rank) > best[0]):
-            best = ((alike, -rank), s, widths[-1])
+        width = max(set(widths), key=lambda w: (widths.count(w), w))
+        alike = widths.count(width)
+        if width >= 3 and (best is None or (alike, -rank) > best[0]):
+            best = ((alike, -rank), s, width)
     if best is None:
         raise FormatNotSupported("no separator cuts its lines")
     first = _cut(lines[0], best[1])
