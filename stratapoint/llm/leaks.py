@@ -56,7 +56,7 @@ def shown(text: str) -> str:
     """The text a reader sees, in NFC without case; templates, tables and comments keep their text."""
     if "<" in text:
         if "<!--" in text or "-->" in text:
-            text = text.replace("<!--", " ").replace("-->", " ")
+            text = text.replace("<!--", "").replace("-->", "")
         text = _TAG.sub("", _BREAK.sub(" ", text))
     if "[" in text:
         while "[[" in text:
