@@ -18,6 +18,7 @@ from stratapoint.codecs import glb, pnts
 from stratapoint.errors import MissingCrs, NoTilerFound, TilingFailed
 from stratapoint.functions import crs
 from stratapoint.functions import geometry as G
+from stratapoint.functions import matrices as M
 from stratapoint.operators import octree
 from stratapoint.tileset import ADD, REPLACE, Tile, TileSet, box_from_bounds
 
@@ -115,10 +116,16 @@ class PointTiler:
         if not row or not row["n"]:
             raise TilingFailed("no points")
         offset, scale, total = [row[f"avg_min_{v}"] for v in AXES], row["scale"], row["n"]
+        # earth-centred coordinates are turned so that up is z at the tiles' place
+        geocentric = self.crs_out is not None and crs.known(self.crs_out).kind == "geocentric"
+        rotation = M.local_frame(*offset) if geocentric else None
         fields = [f for f in self.fields if f in points.columns]
         colours = self.colours and all(c in points.columns for c in COLOURS)
         keep = ["path", "point_no", *AXES, *(COLOURS if colours else ()), *fields]
-        placed = points.select(*keep).withColumns({v: ((F.col(v).cast("double") - o) * scale).cast("float") for v, o in zip(AXES, offset, strict=True)})
+        moved = [(F.col(v).cast("double") - o) * scale for v, o in zip(AXES, offset, strict=True)]
+        if rotation is not None:
+            moved = [sum((float(r[k]) * moved[k] for k in range(3)), F.lit(0.0)) for r in rotation]
+        placed = points.select(*keep).withColumns({v: m.cast("float") for v, m in zip(AXES, moved, strict=True)})
         root = octree.root_of(placed, scale)
         arrival = ["path", "point_no"]
         shown = octree.build_lod(placed, arrival, root, self.leaf_capacity).persist()
@@ -137,9 +144,9 @@ class PointTiler:
         if written != total:
             raise TilingFailed(f"{total} points were read and {written} written")
         write_contents(encode_nodes(sample, fields, colours, self.form), out, suffix)
-        return self._tree(octree.tile_tree(shown, root), root, offset, scale, suffix)
+        return self._tree(octree.tile_tree(shown, root), root, M.root_transform(offset, scale, rotation), scale, suffix)
 
-    def _tree(self, table: DataFrame, root: octree.Root, offset: Sequence[float], scale: float, suffix: str) -> TileSet:
+    def _tree(self, table: DataFrame, root: octree.Root, transform: np.ndarray, scale: float, suffix: str) -> TileSet:
         tiles: dict[str, Tile] = {}
         rows = table.withColumn("file", G.node_file(F.col("node"), suffix)).orderBy("level", "node")
         for r in rows.toLocalIterator():
@@ -149,9 +156,7 @@ class PointTiler:
             if r["level"]:
                 tiles[r["parent"]].children.append(t)
         top = tiles[""]
-        m = np.diag([1 / scale, 1 / scale, 1 / scale, 1.0])
-        m[:3, 3] = offset
-        top.transform = m
+        top.transform = transform
         top.geometric_error = 10 * root.spacing / scale
         return TileSet(top, top.geometric_error, "1.0" if self.form == "pnts" else "1.1")
 

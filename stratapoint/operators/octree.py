@@ -329,3 +329,11 @@ def seeded_sample(points: DataFrame, per_file: DataFrame, file: str, arrival: Se
     draws = totals.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("take").cast("int"))))
     draws = draws.withColumn("_n", F.pmod(F.xxhash64(F.lit(seed), F.col(file), F.col("_i")), F.col("_total"))).select(file, "_n")
     return draws.join(numbered, [file, "_n"]).drop("_b", "_k", "_n", "_start")
+
+
+def cells_for(fullest: int, limit: int = 100_000, most: int = 8) -> int:
+    """Cells a side of a node's grid, 3 or more, so that its fullest cell of three stays below ``limit`` if spread evenly."""
+    cells = 3
+    while cells < most and fullest * (3 / cells) ** 3 > limit:
+        cells += 1
+    return cells

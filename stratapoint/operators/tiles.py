@@ -135,3 +135,66 @@ def class_instances(rows: DataFrame, class_id: str, order: Sequence[Column]) ->
     starts = sizes.withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = Window.partitionBy(class_id).orderBy(*order)
     return rows.join(F.broadcast(starts), class_id).withColumn("instance", F.row_number().over(inside) - 1 + F.col("_start")).drop("_start")
+
+
+def sync_boxes(tiles: DataFrame) -> DataFrame:
+    """tiles: tile_id, parent_id, box, transform. tile_id, box: every box grown around those of the tiles below, from the
+    leaves up, each child's in its parent's frame. One step a level of depth; tiles on circles are left out."""
+    h = resolve_hierarchy(tiles.select(F.col("tile_id").alias("id"), F.col("parent_id").alias("parent")))
+    levels = cut_lineage(tiles.join(h.where("kind in ('rooted', 'orphaned')").select(F.col("id").alias("tile_id"), "depth"), "tile_id").select("tile_id", "parent_id", "box", "transform", "depth"))
+    deepest = levels.agg(F.max("depth")).first()[0]
+    out = below = None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        layer = levels.where(F.col("depth") == depth)
+        if below is not None:
+            grown = box_of_children(below).select(F.col("parent_id").alias("_p"), F.col("box").alias("_b"))
+            low, high = G.box_bounds(F.col("box"))
+            lo, hi = G.box_bounds(F.col("_b"))
+            around = G.bounds_box([F.least(a, b) for a, b in zip(low, lo, strict=True)], [F.greatest(a, b) for a, b in zip(high, hi, strict=True)])
+            joined = layer.join(grown, layer.tile_id == grown["_p"], "left")
+            layer = joined.withColumn("box", F.when(F.col("_b").isNull(), F.col("box")).when(F.col("box").isNull(), F.col("_b")).otherwise(around)).drop("_p", "_b")
+        below = cut_lineage(layer)
+        out = below if out is None else out.unionByName(below)
+    return tiles.select("tile_id", "box").where("false") if out is None else out.select("tile_id", "box")
+
+
+def subtree_bounds(tiles: DataFrame) -> DataFrame:
+    """tiles: tile_id, parent_id, box. Bounds of each tile and all below it, transforms apart: one aggregation over the paths."""
+    h = resolve_hierarchy(tiles.select(F.col("tile_id").alias("id"), F.col("parent_id").alias("parent")), with_path=True)
+    low, high = G.box_bounds(F.col("box"))
+    own = tiles.where("box is not null").select(F.col("tile_id").alias("id"), *[a.alias(f"l{k}") for k, a in enumerate(low)], *[b.alias(f"h{k}") for k, b in enumerate(high)])
+    up = h.where("kind in ('rooted', 'orphaned')").select("id", F.explode("path").alias("tile_id")).join(own, "id")
+    return up.groupBy("tile_id").agg(*[F.min(f"l{k}").alias(f"l{k}") for k in range(3)], *[F.max(f"h{k}").alias(f"h{k}") for k in range(3)])
+
+
+def with_metadata(tiles: DataFrame, metadata: DataFrame, key: str = "file_id") -> DataFrame:
+    """Tiles with their file's metadata; tiles of a file without any wait, that is, are left out."""
+    from stratapoint.session import join_dimension
+
+    return join_dimension(tiles, metadata, key)
+
+
+def with_contents(tiles: DataFrame, folder: str) -> DataFrame:
+    """tiles: content_uri. Each with the bytes of its file below ``folder`` (null without)."""
+    files = tiles.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    keyed = files.select(F.regexp_replace("path", "^.*?" + folder.rstrip("/").replace(".", "\\.") + "/", "").alias("content_uri"), "content")
+    return tiles.join(keyed, "content_uri", "left")
+
+
+def gathered(indices: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """indices: key, at (array of places). values: key, place and columns. One row per index, in place n of the array."""
+    each = indices.select(key, F.posexplode("at").alias("n", "place"))
+    return each.join(values, [key, "place"])
+
+
+def zipped(rows: DataFrame, *arrays: str) -> DataFrame:
+    """Arrays of one row side by side, by position; shorter ones end with nulls."""
+    rest = [c for c in rows.columns if c not in arrays]
+    return rows.select(*rest, F.posexplode(F.arrays_zip(*arrays)).alias("n", "_z")).select(*rest, "n", *[F.col(f"_z.{a}").alias(a) for a in arrays])
+
+
+def largest_half(boxes: DataFrame, key: str) -> DataFrame:
+    """The largest half size among a tile's boxes: key, elem_max_size."""
+    low, high = G.box_bounds(F.col("box"))
+    half = F.greatest(*[(b - a) / 2 for a, b in zip(low, high, strict=True)])
+    return boxes.where("box is not null").groupBy(key).agg(F.max(half).alias("elem_max_size"))
