@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapoint.operators import drift, hierarchy, nested, proximity, records
+from stratapoint.plans.problem_sql import MORE
 from stratapoint.session import newest, table
 
 RADIUS = 0.25
@@ -20,7 +21,9 @@ def p1_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_branches(spark: SparkSession, d: str) -> DataFrame:
-    return drift.tagged_values(table(spark, d, "extra_samples"), table(spark, d, "field_terms"))
+    """The branches a value doesn't stand in are 0 or empty here; tag names the one it does."""
+    t = drift.tagged_values(table(spark, d, "extra_samples"), table(spark, d, "field_terms"))
+    return t.na.fill({"whole": 0, "real": 0.0, "text": ""})
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
@@ -153,4 +156,4 @@ WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z
 SELECT p.point_id, s.site_id::BIGINT AS site_id FROM p JOIN sites s
 ON p.x >= s.origin_x + 5 AND p.x < s.origin_x + 65 AND p.y >= s.origin_y + 5 AND p.y < s.origin_y + 65
 WHERE p.x < s.origin_x + 35 OR p.y < s.origin_y + 35""",
-}
+} | MORE
