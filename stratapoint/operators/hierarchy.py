@@ -26,8 +26,8 @@ def _look_up(active: DataFrame, table: DataFrame, n_active: int) -> DataFrame:
     return usual.unionByName(active.join(hot_rows, F.col("ptr") == F.col("t_id")))
 
 
-def _double(nodes: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
-    """Pointer doubling. nodes: id, ptr (null at an end). Gives (resolved, unresolved).
+def _double(nodes: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Pointer doubling. nodes: id, ptr (null at an end), cut from their lineage. Gives (resolved, unresolved, how many unresolved).
 
     resolved: id, root, depth and, with_path, path (ids from the root's child down to the node). unresolved: id, ptr. In round
     k every pointer jumps 2^k links; a node that reaches an end is resolved and leaves the join. As the ancestors of a deep
@@ -36,10 +36,8 @@ def _double(nodes: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
     """
     ends = nodes.where("ptr is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), *([F.array().cast("array<bigint>").alias("path")] if with_path else []))
     active = nodes.where("ptr is not null").select("id", "ptr", F.lit(1).cast("long").alias("depth"), *([F.array("id").alias("path")] if with_path else []))
-    state = cut_lineage(
-        ends.select("id", "root", F.lit(None).cast("long").alias("ptr"), "depth", *(["path"] if with_path else [])).unionByName(
-            active.select("id", F.lit(None).cast("long").alias("root"), "ptr", "depth", *(["path"] if with_path else []))
-        )
+    state = ends.select("id", "root", F.lit(None).cast("long").alias("ptr"), "depth", *(["path"] if with_path else [])).unionByName(
+        active.select("id", F.lit(None).cast("long").alias("root"), "ptr", "depth", *(["path"] if with_path else []))
     )
     done = [state.where("root is not null")]
     table, active = state, state.where("root is null")
@@ -66,7 +64,7 @@ def _double(nodes: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
     resolved = done[0]
     for d in done[1:]:
         resolved = resolved.unionByName(d)
-    return resolved.select("id", "root", "depth", *(["path"] if with_path else [])), active.select("id")
+    return resolved.select("id", "root", "depth", *(["path"] if with_path else [])), active.select("id"), n
 
 
 def _cycles(links: DataFrame) -> DataFrame:
@@ -75,18 +73,17 @@ def _cycles(links: DataFrame) -> DataFrame:
     Doubled pointers map all nodes onto fewer and fewer; when a further doubling leaves the image as large as it was, the map
     is one-to-one on it, and the image is exactly the nodes on cycles.
     """
-    jump = cut_lineage(links.select("id", F.col("parent").alias("ptr")))
+    jump = cut_lineage(links.select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("least")))
     n = -1
     while True:
-        image = jump.select("ptr").distinct()
+        image = jump.select(F.col("ptr").alias("i")).distinct()
         size = image.count()
         if size == n:
             break
         n = size
-        further = jump.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"))
-        jump = cut_lineage(jump.join(further, jump.ptr == further.t_id).select("id", F.col("t_ptr").alias("ptr")))
-    on = links.join(image, links.id == image.ptr, "left_semi").select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("least"))
-    on = cut_lineage(on)
+        further = jump.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("least").alias("t_least"))
+        jump = cut_lineage(jump.join(further, jump.ptr == further.t_id).select("id", F.col("t_ptr").alias("ptr"), F.least("least", "t_least").alias("least")))
+    on = cut_lineage(jump.join(image, jump.id == image.i, "left_semi"))
     total = None
     while True:  # minima over windows of 2^k links; no change anywhere means that all windows hold their cycle's minimum
         now = on.agg(F.sum(F.col("least").cast("decimal(38,0)"))).first()[0]
@@ -107,24 +104,24 @@ def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     path: all ids from the root (or the first node on the cycle) to the node. An empty table gives no rows.
     """
     one = links.where("id is not null").groupBy("id").agg(F.max("parent").alias("parent"))
-    nodes = cut_lineage(one.select("id", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent")))
+    nodes = one.select("id", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"))
     known = nodes.select(F.col("id").alias("k"))
     # a semi-join on the parent: the parents' distinct values are taken first, so a parent of very many nodes moves once
     missing = nodes.where("parent is not null").select("parent").distinct().join(known, F.col("parent") == F.col("k"), "left_anti").select(F.col("parent").alias("gone"))
     linked = cut_lineage(nodes.join(missing, nodes.parent == missing.gone, "left").select("id", "parent", F.col("gone").isNotNull().alias("orphan")))
     start = linked.select("id", F.when(~F.col("orphan"), F.col("parent")).alias("ptr"))
-    resolved, endless = _double(start, with_path)
+    resolved, endless, n_endless = _double(start, with_path)
     heads = linked.where("orphan").select(F.col("id").alias("orphan_root"))
     out = resolved.join(heads, resolved.root == heads.orphan_root, "left").select(
         "id", "root", "depth", F.when(F.col("orphan_root").isNull(), "rooted").otherwise("orphaned").alias("kind"), *([F.concat(F.array("root"), "path").alias("path")] if with_path else [])
     )
-    if endless.isEmpty():
+    if not n_endless:
         return out
     turning = cut_lineage(linked.join(endless.select(F.col("id").alias("e")), F.col("id") == F.col("e"), "left_semi").select("id", "parent"))
     on = _cycles(turning)
     below = turning.join(on.select(F.col("id").alias("c")), F.col("id") == F.col("c"), "left_anti").select("id", F.col("parent").alias("ptr"))
     ends = on.select("id", F.lit(None).cast("long").alias("ptr"))
-    found, _ = _double(ends.unionByName(below), with_path)
+    found, _, _ = _double(cut_lineage(ends.unionByName(below)), with_path)
     least = on.select(F.col("id").alias("c"), "least")
     more = found.join(least, found.root == least.c).select(
         "id", F.col("least").alias("root"), "depth", F.when(F.col("depth") == 0, "on_cycle").otherwise("below_cycle").alias("kind"), *([F.concat(F.array(F.col("c")), "path").alias("path")] if with_path else [])

@@ -72,16 +72,17 @@ def _ear(ring: list[int], pts: list[tuple[float, float]]) -> int:
     """The place of an ear: convex, with no other point inside; else of a point on a straight line; else (crossing sides) of
     any convex point, or the first."""
     n = len(ring)
-    straight = convex = None
-    for k in range(n):
-        a, b, c = pts[ring[k - 1]], pts[ring[k]], pts[ring[(k + 1) % n]]
-        t = _turn(a, b, c)
+    p = [pts[i] for i in ring]
+    turns = [_turn(p[k - 1], p[k], p[(k + 1) % n]) for k in range(n)]
+    inward = [q for q, t in zip(p, turns, strict=True) if t <= 0]  # only these can lie in an ear
+    convex = None
+    for k, t in enumerate(turns):
         if t > 0:
             convex = k if convex is None else convex
-            if not any(_in_triangle(pts[q], a, b, c) for q in ring if pts[q] not in (a, b, c)):
+            a, b, c = p[k - 1], p[k], p[(k + 1) % n]
+            if not any(_in_triangle(q, a, b, c) for q in inward if q not in (a, b, c)):
                 return k
-        elif t == 0 and straight is None:
-            straight = k
+    straight = next((k for k, t in enumerate(turns) if t == 0), None)
     return straight if straight is not None else convex if convex is not None else 0
 
 

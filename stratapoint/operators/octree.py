@@ -25,6 +25,8 @@ LEAF_CAPACITY = 20_000
 PRUNE_BELOW = 100
 MIN_SPACING = 0.001
 MAX_LEVEL = 30
+#: A place that more than one in STACK_SHARE points share is handled apart.
+STACK_SHARE = 1000
 WORKING = ("node", "cell", "kept", "lx", "ly", "lz", "inner_node", "_d")
 
 
@@ -190,18 +192,27 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
         ok = ok & F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
     columns = points.columns
     placed = points.where(ok).withColumns({v: F.col(v).cast("float") for v in AXES})
+    placed, tail, stacks = _set_stacks_apart(placed, arrival)
     pending = cut_lineage(with_nodes(placed, root, 1))
+    stacks = None if stacks is None else cut_lineage(with_nodes(stacks, root, 1))
     done: DataFrame | None = None
+    ended: DataFrame | None = None
     level = 1
     while True:
         spacing = root.spacing / 2**level
         counts = pending.groupBy("node").count()
+        if stacks is not None:
+            counts = counts.unionByName(stacks.select("node", F.col("n").alias("count"))).groupBy("node").agg(F.sum("count").alias("count"))
         last = spacing <= MIN_SPACING * root.scale or level >= MAX_LEVEL
         internal = cut_lineage(counts.where(F.lit(not last) & (F.col("count") >= leaf_capacity)).select(F.col("node").alias("inner_node")))
         n = internal.count()
         if n == 0:
             leaves = pending.select(*columns, "node")
-            return leaves if done is None else done.unionByName(leaves)
+            done = leaves if done is None else done.unionByName(leaves)
+            if stacks is None:
+                return done
+            ended = stacks.select(*AXES, "node") if ended is None else ended.unionByName(stacks.select(*AXES, "node"))
+            return done.unionByName(tail.join(F.broadcast(ended), list(AXES)).select(*columns, "node"))
         # inner nodes hold at least leaf_capacity points each; the optimizer broadcasts their names while they are few
         leaves = pending.join(internal, pending.node == internal.inner_node, "left_anti").select(*columns, "node")
         inner = pending.join(internal, pending.node == internal.inner_node, "left_semi").withColumn("cell", cell_of(root, level))
@@ -212,9 +223,42 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
         shown = leaves.unionByName(thinned.where("kept").select(*columns, "node"))
         done = shown if done is None else done.unionByName(shown)
         pending = cut_lineage(descend(thinned.where("not kept").drop("kept", "cell"), root, level))
+        if stacks is not None:
+            still = stacks.join(internal, stacks.node == internal.inner_node, "left_anti").select(*AXES, "node")
+            ended = still if ended is None else ended.unionByName(still)
+            stacks = cut_lineage(descend(stacks.join(internal, stacks.node == internal.inner_node, "left_semi"), root, level))
         level += 1
 
 
+def _set_stacks_apart(placed: DataFrame, arrival: Sequence[str]) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(points to thin, the rest, its places with their counts), where one place holds more than a thousandth of all points.
+
+    Of points at one place a node keeps at most one, the first that arrived, so no more than one a level is ever kept above the
+    last node: the first ``MAX_LEVEL + 1`` of each such place take part in the thinning, the others go to the place's last
+    node at once. Such places are fewer than ``STACK_SHARE``; they are found through counts per hash bucket, reduced before
+    the shuffle, and exact counts within the full buckets alone.
+    """
+    bucket = F.pmod(F.xxhash64(*AXES), F.lit(65_536))
+    sizes = cut_lineage(placed.groupBy(bucket.alias("_b")).count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    least = max(total / STACK_SHARE, 2 * MAX_LEVEL)
+    full = sizes.where(F.col("count") > least).select("_b")
+    if full.isEmpty():
+        return placed, None, None
+    within = placed.withColumn("_b", bucket).join(F.broadcast(full), "_b", "left_semi")
+    places = cut_lineage(within.groupBy(*AXES).count().where(F.col("count") > least).select(*AXES))
+    if places.isEmpty():
+        return placed, None, None
+    stacked = placed.join(F.broadcast(places), list(AXES), "left_semi")
+    order = F.struct(*arrival)
+    first = stacked.withColumn("_r", F.row_number().over(Window.partitionBy(*AXES).orderBy(*arrival))).where(F.col("_r") <= MAX_LEVEL + 1)
+    until = cut_lineage(first.groupBy(*AXES).agg(F.max(order).alias("_until")))
+    marked = placed.join(F.broadcast(until), list(AXES), "left")
+    thin = marked.where(F.col("_until").isNull() | (order <= F.col("_until"))).select(*placed.columns)
+    tail = marked.where(order > F.col("_until")).select(*placed.columns)
+    return thin, tail, cut_lineage(tail.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n")))
+
+
 def prune_map(counts: DataFrame, least: int = PRUNE_BELOW) -> DataFrame:
     """counts: node, n. Gives node, target and total: where a node's points go, and the points of the node after merging.
 
@@ -285,10 +329,10 @@ def prefix_counts(counts: DataFrame, levels: int) -> DataFrame:
     return counts.select("node", "n", at).groupBy(F.expr("substring(node, 1, k)").alias("prefix")).agg(F.sum("n").alias("n"))
 
 
-def top_per_tile(features: DataFrame, tile: Sequence[str], order: Sequence[Column], keep: int) -> DataFrame:
-    """Rank of each feature in its tile and whether it is shown there (the first ``keep``) or handed down."""
+def first_per_tile(features: DataFrame, tile: Sequence[str], order: Sequence[Column], keep: int) -> DataFrame:
+    """The first ``keep`` features of each tile with their rank; the others are handed down."""
     w = Window.partitionBy(*tile).orderBy(*order)
-    return features.withColumn("rank", F.row_number().over(w)).withColumn("shown", F.col("rank") <= keep)
+    return features.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
 def feature_quadtree(features: DataFrame, edge: float, keep: int = 20, max_level: int = 20) -> DataFrame:
@@ -297,14 +341,17 @@ def feature_quadtree(features: DataFrame, edge: float, keep: int = 20, max_level
     Each tile shows its ``keep`` heaviest (ties by id) and hands the rest to its four children; one window a level. Equal
     places never part, so the last level shows all it gets.
     """
-    base = features.withColumns({"level": F.lit(0), "tx": F.floor(F.col("x") / edge), "ty": F.floor(F.col("y") / edge)})
-    pending, done = base, None
+    pending = features.withColumns({"level": F.lit(0), "tx": F.floor(F.col("x") / edge), "ty": F.floor(F.col("y") / edge)})
+    done = None
+    order = [F.col("weight").desc_nulls_last(), F.col("id")]
     for level in range(max_level + 1):
-        keep_now = keep if level < max_level else 2**31 - 1
-        ranked = cut_lineage(top_per_tile(pending, ["tx", "ty"], [F.col("weight").desc_nulls_last(), F.col("id")], keep_now))
-        shown = ranked.where("shown").drop("rank", "shown")
+        pending = cut_lineage(pending)
+        # a rank with a limit: Spark takes each task's first ones before the shuffle, so a tile of very many features is no load
+        shown = pending if level == max_level else cut_lineage(first_per_tile(pending, ["tx", "ty"], order, keep).drop("rank"))
         done = shown if done is None else done.unionByName(shown)
-        rest = ranked.where("not shown").drop("rank", "shown")
+        if level == max_level:
+            return done
+        rest = pending.join(shown.select(F.col("id").alias("_shown")), F.col("id") == F.col("_shown"), "left_anti")
         if rest.isEmpty():
             return done
         e = edge / 2 ** (level + 1)

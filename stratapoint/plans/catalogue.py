@@ -136,7 +136,7 @@ def lod_invariants(spark: SparkSession, d: str) -> DataFrame:
     shown = shown.persist()
     counts = shown.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     inner = counts.select(F.explode(G.prefixes(F.col("node"))).alias("up"), "node").where("up != node").select(F.col("up").alias("inner_node")).distinct()
-    overfull = counts.join(inner, counts.node == inner.inner_node, "left_anti").where(F.col("n") >= LEAF_CAPACITY).agg(F.count(F.lit(1)).alias("overfull"))
+    overfull = counts.join(inner, counts.node == inner.inner_node, "left_anti").where(F.col("n") >= LEAF_CAPACITY).count()
     kept = shown.join(inner, shown.node == inner.inner_node, "left_semi")
     level = F.length("node")
     low = {}
@@ -153,7 +153,7 @@ def lod_invariants(spark: SparkSession, d: str) -> DataFrame:
         b = b.withColumn(v, F.explode(F.sequence(F.col(v) - 1, F.col(v) + 1)))
     near = a.join(b, ["node", "cell", "fx", "fy", "fz"]).where("a < b and (ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz) < s * s * 0.999999").agg(F.count(F.lit(1)).alias("too_near"))
     total = counts.agg(F.sum("n").alias("total")).first()[0] or 0  # one row
-    return near.join(F.broadcast(overfull), F.lit(True)).select(F.lit(total).cast("long").alias("total"), "too_near", "overfull")
+    return near.select(F.lit(total).cast("long").alias("total"), "too_near", F.lit(overfull).cast("long").alias("overfull"))
 
 
 @query("SELECT count(*) AS points, 0::BIGINT AS small_tiles, true AS tree_is_whole FROM lineitem")
@@ -231,10 +231,10 @@ def preview_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT c_custkey, floor(c_nationkey / 5.0)::BIGINT AS tx, floor(c_acctbal / 2000.0)::BIGINT AS ty, row_number() OVER (PARTITION BY floor(c_nationkey / 5.0), floor(c_acctbal / 2000.0) ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer)
-SELECT c_custkey, tx, ty, rank::INTEGER AS rank, rank <= 20 AS shown FROM t""")
+SELECT c_custkey, tx, ty, rank::INTEGER AS rank FROM t WHERE rank <= 20""")
 def spatial_bucket20(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.floor(F.col("c_nationkey") / 5.0).alias("tx"), F.floor(F.col("c_acctbal") / 2000.0).alias("ty"))
-    return octree.top_per_tile(c, ["tx", "ty"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 20).drop("c_acctbal")
+    return octree.first_per_tile(c, ["tx", "ty"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 20).drop("c_acctbal")
 
 
 @query("SELECT count(*) AS features, 0::BIGINT AS overfull, 0::BIGINT AS misplaced FROM customer")

@@ -75,6 +75,17 @@ def test_lod_equals_a_plain_model(spark, scale, same):
     assert got == model(p, root, 60)
 
 
+def test_stacks_take_the_short_way(spark):
+    p = cloud(600, 9)
+    p[100:400] = [1.5, 2.5, 3.5]
+    p[400:520] = [8.0, 8.0, 8.0]
+    df = frame(spark, p)
+    root = octree.root_of(df)
+    assert octree._set_stacks_apart(df, ["id"])[2].count() == 2
+    got = {r.id: r.node for r in octree.build_lod(df, ["id"], root, 50).collect()}
+    assert got == model(p, root, 50)
+
+
 def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 1.0, 1.0), (3, float("nan"), 1.0, 1.0), (4, 1.0, 1.0, 1.0)], "id long, x double, y double, z double")
     root = octree.Root((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
