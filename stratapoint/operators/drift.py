@@ -139,8 +139,8 @@ def tagged_values(samples: DataFrame, terms: DataFrame) -> DataFrame:
     known = values.join(quantities(terms), "key", "left").withColumn("quantity", F.coalesce("quantity", "key"))
     one = known.groupBy("file_id", "point_no", "quantity").agg(F.min(F.struct(F.col("value").isNull().alias("empty"), "name", "value"))["value"].alias("value"))
     text = F.trim("value")
-    whole = F.when(text.rlike(r"^[+-]?[0-9]{1,18}$"), text.cast("bigint"))
-    real = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.cast("double"))
+    whole = F.when(text.rlike(r"^[+-]?[0-9]{1,18}$"), text.try_cast("bigint"))
+    real = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
     tag = F.when(F.col("value").isNull(), "null").when(whole.isNotNull(), "whole").when(real.isNotNull(), "real").otherwise("text")
     return one.select("file_id", "point_no", "quantity", tag.alias("tag"), whole.alias("whole"), F.when(whole.isNull(), real).alias("real"), F.when(tag == "text", F.col("value")).alias("text"))
 

@@ -22,6 +22,8 @@ EDGES = (8.0, 2.0, 0.5)
 CROWDED = 64
 #: Points of one cell of the last level that one task compares; more are salted.
 SALT_ROWS = 4096
+#: Coordinates beyond it are coarser than any cell; they have no place.
+FARTHEST = 1e15
 
 
 def _key(level: int, *cell: Column) -> Column:
@@ -50,12 +52,12 @@ def _mark(df: DataFrame, keys: DataFrame | None, name: str) -> DataFrame:
 def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     """points: id (unique), group, x, y, z. All pairs of one group at most ``radius`` apart: id_a < id_b.
 
-    Points with a null or NaN coordinate, id or group have no place. Each point stands in the cell of the level that its
+    Points with a null or NaN coordinate (or one beyond 1e15), id or group have no place. Each point stands in the cell of the level that its
     surroundings' crowding asks for; its ball is covered by such cells. Of a pair, only the ball whose covering reaches
     forward (in the order of cells) to the other point's cell finds it, so each comes out once. Equal points are a pair at
     distance 0. Join keys are hashes of cells; a collision only adds a candidate, and inside cells are compared by value.
     """
-    ok = [F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e300) for v in AXES]
+    ok = [F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < FARTHEST) for v in AXES]
     p = points.select("id", "group", *[F.col(v).cast("double").alias(v) for v in AXES]).where(F.col("id").isNotNull() & F.col("group").isNotNull() & ok[0] & ok[1] & ok[2])
     p = p.persist()
     edges = [e * radius for e in EDGES]
