@@ -20,6 +20,7 @@ from stratapoint.functions import crs
 from stratapoint.functions import geometry as G
 from stratapoint.functions import matrices as M
 from stratapoint.operators import octree
+from stratapoint.session import spread
 from stratapoint.tileset import ADD, REPLACE, Tile, TileSet, box_from_bounds
 
 AXES = ("x", "y", "z")
@@ -135,7 +136,7 @@ class PointTiler:
         # the root shows a sample of the first level, at twice its spacing
         first = shown.where("length(node) = 1").withColumn("_child", F.col("node"))
         at_root = octree.with_nodes(first.drop("node"), root, 0).withColumn("cell", octree.cell_of(root, 0))
-        ordered = at_root.repartition("node", "cell").sortWithinPartitions("node", "cell", "_child", *arrival)
+        ordered = spread(at_root, "node", "cell").sortWithinPartitions("node", "cell", "_child", *arrival)
         names = ordered.columns
         schema = T.StructType([*ordered.schema.fields, T.StructField("kept", T.BooleanType())])
         sample = ordered.mapInArrow(octree._thin(root.spacing * 2, [names.index(v) for v in AXES], [names.index("node"), names.index("cell")]), schema).where("kept").select(*shown.columns)

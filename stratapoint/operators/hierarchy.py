@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapoint.session import cut_lineage
+from stratapoint.session import cut_counted, cut_lineage
 
 #: A pointer that more than one in HOT nodes share is looked up by broadcast: there are fewer than HOT such pointers.
 HOT = 1000
@@ -50,10 +50,9 @@ def _double(nodes: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame, in
             "id", F.col("t_root").alias("root"), F.col("t_ptr").alias("ptr"), (F.col("depth") + F.col("t_depth")).alias("depth"),
             *([F.concat("t_path", "path").alias("path")] if with_path else []),
         )
-        step = cut_lineage(jumped)
+        step, left = cut_counted(jumped, "root is null")
         done.append(step.where("root is not null"))
         active = step.where("root is null")
-        left = active.count()
         if left == n:
             break
         n = left

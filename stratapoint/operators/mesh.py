@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratapoint.functions import geometry as G
+from stratapoint.session import spread
 
 # ---- polygons ----
 
@@ -144,7 +145,7 @@ def triangles_of(points: DataFrame) -> DataFrame:
 
     A polygon's points are gathered in a row (as many as its own source row held), in order, and cut by an Arrow function.
     """
-    rings = points.groupBy("geom_id", "polygon").agg(F.array_sort(F.collect_list(F.struct("ring", "point", "x", "y", "z"))).alias("p"))
+    rings = spread(points, "geom_id", "polygon").groupBy("geom_id", "polygon").agg(F.array_sort(F.collect_list(F.struct("ring", "point", "x", "y", "z"))).alias("p"))
     schema = "geom_id long, polygon int, triangle int, corner int, x float, y float, z float"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

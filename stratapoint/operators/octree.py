@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratapoint.functions import geometry as G
-from stratapoint.session import cut_lineage
+from stratapoint.session import cut_lineage, spread
 
 AXES = ("x", "y", "z")
 LEAF_CAPACITY = 20_000
@@ -216,7 +216,7 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
         # inner nodes hold at least leaf_capacity points each; the optimizer broadcasts their names while they are few
         leaves = pending.join(internal, pending.node == internal.inner_node, "left_anti").select(*columns, "node")
         inner = pending.join(internal, pending.node == internal.inner_node, "left_semi").withColumn("cell", cell_of(root, level))
-        ordered = inner.repartition("node", "cell").sortWithinPartitions("node", "cell", *arrival)
+        ordered = spread(inner, "node", "cell").sortWithinPartitions("node", "cell", *arrival)
         names = ordered.columns
         schema = T.StructType([*ordered.schema.fields, T.StructField("kept", T.BooleanType())])
         thinned = cut_lineage(ordered.mapInArrow(_thin(spacing, [names.index(v) for v in AXES], [names.index("node"), names.index("cell")]), schema))

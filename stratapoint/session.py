@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +59,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows that meet the condition, counted while they are written.
+
+    Should the count not arrive with the job's end, the written rows are counted.
+    """
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    got: list[dict] = []
+    waiting = threading.Thread(target=lambda: got.append(seen.get), daemon=True)
+    waiting.start()
+    waiting.join(10)
+    n = got[0].get("n") if got else None
+    return out, out.where(condition).count() if n is None else n
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by keys into ``spark.sql.shuffle.partitions`` parts for work that costs more than its bytes tell.
+
+    A stated number keeps the optimizer from merging parts of few bytes whose rows take long in Python.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def newest(df: DataFrame, key: str, at: str) -> DataFrame:
     """The row of each ``key`` with the latest ``at``.
 
