@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratapoint.session import spread
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -227,6 +229,6 @@ def encode_corpus(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """
     texts = documents.where("doc_id is not null").select("doc_id", "text")
     pieces = texts.mapInArrow(_pieces, PIECES)
-    together = pieces.repartition("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.col("text").desc_nulls_last())
+    together = spread(pieces, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.col("text").desc_nulls_last())
     codes = together.mapInArrow(_encode(ranks_path), CODES)
-    return codes.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(_join(ranks_path), "doc_id long, ids array<int>")
+    return spread(codes, "doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(_join(ranks_path), "doc_id long, ids array<int>")
