@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratapoint.functions import crs, dtypes
 from stratapoint.functions import geometry as G
-from stratapoint.operators import drift, octree, tiles
+from stratapoint.operators import drift, octree, records, tiles
 from stratapoint.plans import views
 from stratapoint.plans.views import LI_ARRIVAL, PTS_EMB_SQL, PTS_LI_N_SQL, PTS_LI_SQL, TREE_SQL
 from stratapoint.session import newest, table
@@ -481,24 +481,21 @@ p AS (SELECT file_id, string_split(line, separator) AS c FROM r),
 v AS (SELECT file_id, c[1]::FLOAT AS x, c[2]::FLOAT AS y, c[3]::FLOAT AS z, c[4]::FLOAT AS i, c[8]::BIGINT AS k FROM p WHERE regexp_full_match(c[1], '[0-9]+\\.[0-9]+') AND regexp_full_match(c[2], '[0-9]+\\.[0-9]+') AND regexp_full_match(c[3], '[0-9]+\\.[0-9]+') AND regexp_full_match(c[4], '[0-9]+'))"""
 
 
-def _plain_xyz(spark: SparkSession, d: str) -> DataFrame:
-    from stratapoint.sources import xyz
-
+def _xyz_points(spark: SparkSession, d: str) -> DataFrame:
+    """All points of the delimited files, coordinates and intensity in single precision; repeated rows count once."""
     lines = table(spark, d, "xyz_lines").select("line_id", "file_id", "line_no", "line").distinct()
-    joined = lines.join(table(spark, d, "xyz_files").select("file_id", "separator", "n_columns"), "file_id")
-    width = F.size(F.split("line", F.concat(F.lit("\\Q"), "separator", F.lit("\\E"))))
-    plain = joined.where(width == F.col("n_columns")).where(r"line rlike '^[0-9]+\\.[0-9]+[ ,;\\t][0-9]+\\.[0-9]+[ ,;\\t][0-9]+\\.[0-9]+[ ,;\\t][0-9]+[ ,;\\t][0-9]{1,2}[ ,;\\t][0-9]{1,2}[ ,;\\t][0-9]{1,2}[ ,;\\t][0-9]{1,5}([ ,;\\t].*)?\\z'")
-    return xyz.columns_by_position(plain)
+    good = records.read_records(lines, table(spark, d, "xyz_files")).where("reason is null")
+    return good.select("file_id", *[F.col(v).cast("float").alias(v) for v in (*XYZ, "intensity")], "classification")
 
 
 @query(_READABLE + " SELECT file_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, i::DOUBLE AS intensity, k AS classification FROM v")
 def xyz_scan(spark: SparkSession, d: str) -> DataFrame:
-    return _plain_xyz(spark, d).select("file_id", *[F.col(v).cast("double").alias(v) for v in (*XYZ, "intensity")], "classification")
+    return _xyz_points(spark, d).select("file_id", *[F.col(v).cast("double").alias(v) for v in (*XYZ, "intensity")], "classification")
 
 
 @query(_READABLE + " SELECT file_id, count(*) AS n, min(x)::DOUBLE AS min_x, min(y)::DOUBLE AS min_y, min(z)::DOUBLE AS min_z, max(x)::DOUBLE AS max_x, max(y)::DOUBLE AS max_y, max(z)::DOUBLE AS max_z FROM v GROUP BY 1")
 def xyz_metadata(spark: SparkSession, d: str) -> DataFrame:
-    b = octree.file_bounds(_plain_xyz(spark, d), "file_id")
+    b = octree.file_bounds(_xyz_points(spark, d), "file_id")
     return b.select("file_id", "n", *[F.col(f"{m}_{v}").cast("double").alias(f"{m}_{v}") for m in ("min", "max") for v in XYZ])
 
 
