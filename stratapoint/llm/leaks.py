@@ -1,6 +1,6 @@
 """Evaluation passages that stand in documents, whole, in part or altered, by spaced-seed hashing.
 
-Texts become arrays of word hashes (or of characters, for scripts without blanks). A seed is a fixed mask over a window that
+Texts become arrays of word hashes (or of characters, for scripts without blanks). A seed is a mask over a window that
 leaves some positions out; its hash at every place of a document is looked up among those of the evaluation items. Around
 each hit the two texts are compared place by place along the hit's diagonal, substitutions allowed, and the runs found
 there decide.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WORDS, CHARS = 13, 30
-# Fixed masks over the places of a window; 0: the place is ignored.
+# Fixed masks over the places of a window, for unaltered windows; 0: the place is ignored.
 WORD_MASKS = ("1110110110111", "1101101111011")
 CHAR_MASKS = ("111111110111110111101111111111", "111111111101111011111011111111")
 CHAR_LANGS = ("zh", "ja", "th")
@@ -27,6 +28,8 @@ CHAR_LANGS = ("zh", "ja", "th")
 BLOCK_CHARS = 1_000_000
 #: Seeds of evaluation items that one pass over the corpus looks for; more items are taken in blocks.
 PASS_SEEDS = 4_000_000
+#: Pairs of places with one seed that are compared at once.
+PASS_PAIRS = 1_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -135,11 +138,25 @@ def seeds(u: np.ndarray, mask: str) -> np.ndarray:
         return _mix(h)
 
 
+def covering_masks(span: int, altered: int) -> tuple[str, ...]:
+    """Masks of which at least one ignores all altered places, wherever these are.
+
+    The window is cut into two blocks more than there are altered places, so that two blocks at least are left untouched;
+    there is a mask for every two blocks.
+    """
+    blocks = altered + 2
+    if not 0 <= altered <= span - 2:
+        raise ValueError(f"{altered} altered places in a window of {span}")
+    of = [k * blocks // span for k in range(span)]
+    return tuple("".join("1" if b in pair else "0" for b in of) for pair in itertools.combinations(range(blocks), 2))
+
+
 class Index:
     """Seeds of a block of evaluation items, by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], chars: bool) -> None:
-        self.chars, self.span, self.masks = chars, CHARS if chars else WORDS, CHAR_MASKS if chars else WORD_MASKS
+    def __init__(self, items: list[tuple[int, str]], chars: bool, substitutions: int = 0) -> None:
+        self.chars, self.span, self.substitutions = chars, CHARS if chars else WORDS, substitutions
+        self.masks = covering_masks(self.span, substitutions) if substitutions else CHAR_MASKS if chars else WORD_MASKS
         self.ids = [i for i, _ in items]
         texts = [shown(t) for _, t in items]
         self.units, self.bounds = units(texts, chars) if texts else (np.empty(0, np.uint64), np.zeros(1, np.int64))
@@ -150,9 +167,9 @@ class Index:
             at = np.nonzero(owner[: len(h)] == owner[self.span - 1 :])[0] if len(h) else np.empty(0, np.int64)
             order = np.argsort(h[at], kind="stable")
             self.seeds.append((h[at][order], at[order], owner[at][order]))
-        #: characters of which each window of an item holds one; a text without them holds no window
+        #: characters of which each window of an item, altered or not, holds one; a text without them holds no window
         self.marks = None
-        if chars and texts and all(all(any(ord(c) >= 0xE00 for c in w) for w in _windows(t, CHARS)) for t in texts):
+        if chars and texts and all(all(sum(ord(c) >= 0xE00 for c in w) > substitutions for w in _windows(t, CHARS)) for t in texts):
             self.marks = re.compile(f"[{chr(0xE00)}-{chr(0x10FFFF)}]")
 
     def hits(self, u: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -172,9 +189,19 @@ class Index:
                 continue
             high = np.searchsorted(known, h[hit], side="right")
             many = high - low[hit]
-            place = np.repeat(hit, many)
-            entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[hit], many)
-            found.update(zip(owner[place].tolist(), item[entry].tolist(), (place - at[entry]).tolist(), strict=True))
+            part = np.cumsum(many) // PASS_PAIRS
+            cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(hit)]
+            for a, b in itertools.pairwise(cuts):
+                n = many[a:b]
+                place = np.repeat(hit[a:b], n)
+                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[hit[a:b]], n)
+                if self.substitutions:  # some mask meets every wanted window itself, so the others can go
+                    same = np.zeros(len(place), np.int64)
+                    for k in range(self.span):
+                        same += u[place + k] == self.units[at[entry] + k]
+                    near = same >= self.span - self.substitutions
+                    place, entry = place[near], entry[near]
+                found.update(zip(owner[place].tolist(), item[entry].tolist(), (place - at[entry]).tolist(), strict=True))
         for text, item, shift in found:
             a0, a1 = self.bounds[item], self.bounds[item + 1]
             begin, end = max(a0, bounds[text] - shift), min(a1, bounds[text + 1] - shift)
@@ -225,17 +252,18 @@ def leaked(documents: DataFrame, items: DataFrame, substitutions: int = 0) -> Da
     """documents: doc_id, text. items: item_id, lang, text. Pairs (doc_id, item_id), each once for a unique doc_id.
 
     With no substitutions: the document holds at least 13 consecutive words of the item (30 characters for items in zh, ja
-    and th). With k substitutions: it holds a window of that length with at most k places altered, as far as a seed meets it
-    (for k up to 1 every such window whose altered place one of the masks ignores). Null texts hold nothing and items
-    without so many words can't be held. The items, a test set, are read to the driver in blocks of at most ``PASS_SEEDS``
-    characters; each block is one pass over the documents, which are not shuffled.
+    and th). With k substitutions (up to 11): it holds a window of that length with at most k places altered, wherever these
+    are. Null texts hold nothing and items without so many words can't be held. The items, a test set, are read to the driver
+    in blocks of at most ``PASS_SEEDS`` characters (fewer with more masks); each block is one pass over the documents, which
+    are not shuffled.
     """
     spark = documents.sparkSession
+    most = PASS_SEEDS * 2 // len(covering_masks(WORDS, substitutions)) if substitutions else PASS_SEEDS
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     blocks: list[list[tuple[int, str, str]]] = [[]]
     size = 0
     for r in items.where("item_id is not null and text is not null").select("item_id", "lang", "text").orderBy("item_id").toLocalIterator():
-        if size and size + len(r.text) > PASS_SEEDS:
+        if size and size + len(r.text) > most:
             blocks.append([])
             size = 0
         blocks[-1].append((r.item_id, r.lang, r.text))
@@ -244,7 +272,7 @@ def leaked(documents: DataFrame, items: DataFrame, substitutions: int = 0) -> Da
     for block in blocks:
         by_char = [(i, t) for i, lang, t in block if (lang or "").lower()[:2] in CHAR_LANGS]
         by_word = [(i, t) for i, lang, t in block if (lang or "").lower()[:2] not in CHAR_LANGS]
-        shared = spark.sparkContext.broadcast([Index(by_word, False), Index(by_char, True)])
+        shared = spark.sparkContext.broadcast([Index(by_word, False, substitutions), Index(by_char, True, substitutions)])
         found = texts.mapInArrow(_search(shared, substitutions), "doc_id long, item_id long")
         out = found if out is None else out.unionByName(found)
     return out

@@ -1,3 +1,5 @@
+import itertools
+
 import regex
 
 from stratapoint.llm import leaks
@@ -62,3 +64,29 @@ def test_blocks_of_items(spark, monkeypatch):
 
 def test_empty(spark):
     assert run(spark, [], []) == set() and run(spark, [(1, PASSAGE)], []) == set()
+
+
+def test_altered_places_anywhere(spark):
+    w = PASSAGE.split()[:13]
+    items = [(1, "en", " ".join(w)), (2, "th", THAI[:30])]
+    docs, want = [], set()
+    for item, places, blank in ((1, w, " "), (2, list(THAI[:30]), "")):
+        for k in (1, 2, 3):
+            for at in itertools.combinations(range(len(places)), k):
+                docs.append((len(docs), blank.join("ฮ" if p in at else c for p, c in enumerate(places))))
+                if k <= 2:
+                    want.add((docs[-1][0], item))
+    assert run(spark, docs, items, substitutions=2) == want
+
+
+def test_covering_masks():
+    for span in (leaks.WORDS, leaks.CHARS):
+        for k in (1, 2, 3):
+            masks = leaks.covering_masks(span, k)
+            assert all(len(m) == span and m.count("1") >= 4 for m in masks)
+            assert all(any(all(m[p] == "0" for p in at) for m in masks) for at in itertools.combinations(range(span), k))
+
+
+def test_altered_places_may_be_the_only_ones_of_the_script(spark):
+    text = "abcdefghijklmnopqrstuvwxyzabc" + THAI[0]
+    assert run(spark, [(1, text.replace(THAI[0], "x"))], [(1, "th", text)], substitutions=1) == {(1, 1)}
