@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,16 +118,29 @@ def on_every_group(rows: DataFrame, group: str, value: str) -> DataFrame:
     return pairs.groupBy(value).count().where(F.col("count") == groups).select(value)
 
 
+def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tables, lists = batch.columns
+        of = pc.list_parent_indices(lists)
+        k, items, sizes = lists.flatten().flatten()
+        offsets, lengths, last, till = [], [], None, 0
+        for t, item, size in zip(of.to_pylist(), items.to_pylist(), sizes.to_pylist(), strict=True):
+            till = till or 0 if t == last else 0
+            at = None if item is None else -(-till // item) * item
+            last, till = t, None if at is None or size is None else at + size
+            offsets.append(at)
+            lengths.append(None if till is None else size)
+        yield pa.RecordBatch.from_arrays([tables.take(of), k, pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["t", "k", "byte_offset", "byte_length"])
+
+
 def batch_offsets(fields: DataFrame, table: str, order: str) -> DataFrame:
     """fields: a table's properties with ``item`` (bytes of one component), ``width`` and ``n``. Byte offset of each property,
-    each padded to its item's size. The running sum is over the few properties of one table."""
+    each padded to its item's size. The running sum is over the properties of one table, its work grows with their number."""
     size = F.col("item") * F.col("width") * F.col("n")
-    gathered = fields.groupBy(table).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("item").alias("item"), size.alias("size")))).alias("f"))
-    step = """aggregate(f, cast(array() as array<struct<k: int, at: bigint, till: bigint>>), (acc, p) -> concat(acc, array(named_struct(
-        'k', cast(p.k as int),
-        'at', coalesce(try_element_at(acc, -1).till, 0L) + pmod(p.item - pmod(coalesce(try_element_at(acc, -1).till, 0L), p.item), p.item),
-        'till', coalesce(try_element_at(acc, -1).till, 0L) + pmod(p.item - pmod(coalesce(try_element_at(acc, -1).till, 0L), p.item), p.item) + p.size))))"""
-    return gathered.select(table, F.explode(F.expr(step.replace("p.size", "cast(p.size as bigint)"))).alias("o")).select(table, F.col("o.k").alias(order), F.col("o.at").alias("byte_offset"), (F.col("o.till") - F.col("o.at")).alias("byte_length"))
+    entry = F.struct(F.col(order).cast("int").alias("k"), F.col("item").cast("long").alias("item"), size.cast("long").alias("size"))
+    gathered = fields.groupBy(table).agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    laid_out = gathered.mapInArrow(_lay_out, f"t {gathered.schema[table].dataType.simpleString()}, k int, byte_offset long, byte_length long")
+    return laid_out.withColumnsRenamed({"t": table, "k": order})
 
 
 def class_instances(rows: DataFrame, class_id: str, order: Sequence[Column]) -> DataFrame:
