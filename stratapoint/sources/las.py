@@ -94,7 +94,8 @@ def scan(spark: SparkSession, paths: list[str], fields: tuple[str, ...] = ("inte
             kinds[f] = f"{k.kind}{k.itemsize}"
     portions = [(p, s, min(PORTION, h.count - s)) for p, h in headers.items() for s in range(0, h.count, PORTION)]
     schema = "path string, point_no long, x double, y double, z double, red smallint, green smallint, blue smallint" + "".join(f", {f} {_TYPES[k]}" for f, k in kinds.items())
-    eight_bit = {p: _is_eight_bit(h) for p, h in headers.items()}
+    units = spark.createDataFrame(portions, "path string, start long, n long").repartition(max(1, len(portions)), F.col("path"), F.col("start"))
+    eight_bit = _eight_bit(units, headers)
     types = {"smallint": pa.int16(), "tinyint": pa.int8(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +113,32 @@ def scan(spark: SparkSession, paths: list[str], fields: tuple[str, ...] = ("inte
                         ["path", "point_no", "x", "y", "z", "red", "green", "blue", *kinds],
                     )
 
-    units = spark.createDataFrame(portions, "path string, start long, n long")
-    return units.repartition(max(1, len(portions)), F.col("path"), F.col("start")).mapInArrow(read, schema)
+    return units.mapInArrow(read, schema)
 
 
-def _is_eight_bit(h: Header) -> bool:
-    """Whether all colours of the first batch stay below 256 (the format says 16 bits, some writers use 8)."""
-    if not h.has_colour or not h.count:
-        return False
-    rows = np.fromfile(h.path, h.dtype, min(h.count, BATCH), offset=h.offset)
-    return max(int(rows[c].max()) for c in ("red", "green", "blue")) < 256
+def _eight_bit(units: DataFrame, headers: dict[str, Header]) -> dict[str, bool]:
+    """units: path, start, n. Whether all colours of a file stay below 256 (the format says 16 bits, some writers use 8): one
+    pass over the portions, each of which ends at its first larger colour. Files without colours or points are not."""
+    with_colour = [p for p, h in headers.items() if h.has_colour and h.count]
+    if not with_colour:
+        return dict.fromkeys(headers, False)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, start, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                h = headers[path]
+                if h.has_colour:
+                    found.append((path, any(_has_large_colour(h, at, min(BATCH, start + n - at)) for at in range(start, start + n, BATCH))))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.bool_())], ["path", "large"])
+
+    large = {r.path: r.large for r in units.mapInArrow(read, "path string, large boolean").groupBy("path").agg(F.max("large").alias("large")).collect()}
+    return {p: p in large and not large[p] for p in headers}
+
+
+def _has_large_colour(h: Header, at: int, n: int) -> bool:
+    rows = np.fromfile(h.path, h.dtype, n, offset=h.offset + at * h.record)
+    return len(rows) > 0 and max(int(rows[c].max()) for c in ("red", "green", "blue")) > 255
 
 
 def write(path: str, xyz: np.ndarray, colours: np.ndarray | None = None, scale: float = 0.001, **fields: np.ndarray) -> None:

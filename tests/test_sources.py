@@ -42,6 +42,17 @@ def test_las(spark, tmp_path):
         las.read_header(str(tmp_path / "c.las"))
 
 
+@pytest.mark.parametrize("dark", [100_000, 1_000_000])
+def test_las_colours_that_begin_dark(spark, tmp_path, dark):
+    f, g = str(tmp_path / "a.las"), str(tmp_path / "b.las")
+    p, c = np.zeros((dark + 2, 3)), np.zeros((dark + 2, 3), np.uint16)
+    c[-2:] = [[255, 0, 7], [65535, 512, 0]]
+    las.write(f, p, c)
+    las.write(g, p, np.minimum(c, 255))
+    got = {(r.path, r.point_no): (r.red, r.green, r.blue) for r in las.scan(spark, [f, g]).where(f"point_no >= {dark}").collect()}
+    assert got == {(f, dark): (0, 0, 0), (f, dark + 1): (255, 2, 0), (g, dark): (255, 0, 7), (g, dark + 1): (255, 255, 0)}
+
+
 @pytest.mark.parametrize("order", ["", "<", ">"])
 def test_ply(spark, tmp_path, order):
     f = str(tmp_path / "a.ply")
