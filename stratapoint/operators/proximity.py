@@ -22,7 +22,7 @@ EDGES = (8.0, 2.0, 0.5)
 CROWDED = 64
 #: Points of one cell of the last level that one task compares; more are salted.
 SALT_ROWS = 4096
-#: Coordinates beyond it are coarser than any cell; they have no place.
+#: Coordinates from here on are too coarse for cells of whole numbers; their points are a part of their own.
 FARTHEST = 1e15
 
 
@@ -52,14 +52,16 @@ def _mark(df: DataFrame, keys: DataFrame | None, name: str) -> DataFrame:
 def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     """points: id (unique), group, x, y, z. All pairs of one group at most ``radius`` apart: id_a < id_b.
 
-    Points with a null or NaN coordinate (or one beyond 1e15), id or group have no place. Each point stands in the cell of the level that its
+    Points with a null, NaN or infinite coordinate or a null id or group have no place. Each point stands in the cell of the level that its
     surroundings' crowding asks for; its ball is covered by such cells. Of a pair, only the ball whose covering reaches
     forward (in the order of cells) to the other point's cell finds it, so each comes out once. Equal points are a pair at
     distance 0. Join keys are hashes of cells; a collision only adds a candidate, and inside cells are compared by value.
+    Points with a coordinate of 1e15 or more are joined on cells of doubles, apart from the others.
     """
-    ok = [F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < FARTHEST) for v in AXES]
-    p = points.select("id", "group", *[F.col(v).cast("double").alias(v) for v in AXES]).where(F.col("id").isNotNull() & F.col("group").isNotNull() & ok[0] & ok[1] & ok[2])
-    p = p.persist()
+    ok = [F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf) for v in AXES]
+    placed = points.select("id", "group", *[F.col(v).cast("double").alias(v) for v in AXES]).where(F.col("id").isNotNull() & F.col("group").isNotNull() & ok[0] & ok[1] & ok[2])
+    placed = placed.persist()
+    p = placed.where(~_beyond("", FARTHEST))
     edges = [e * radius for e in EDGES]
     last = len(edges) - 1
     crowded: list[DataFrame | None] = []
@@ -134,7 +136,33 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out if placed.where(_beyond("", FARTHEST)).isEmpty() else out.unionByName(_far_pairs(placed, radius))
+
+
+def _beyond(side: str, least: float) -> Column:
+    return F.greatest(*[F.abs(f"{side}{v}") for v in AXES]) >= least
+
+
+def _far_pairs(points: DataFrame, radius: float) -> DataFrame:
+    """Pairs of which a point is beyond ``FARTHEST``. Cells of two radii stay doubles, so neighbours may be the same cell."""
+    near_or_beyond = points.where(_beyond("", FARTHEST - 2 * radius))
+    cells = [f"c{v}" for v in AXES]
+    homes = near_or_beyond.withColumns({c: F.rint(F.col(v) / (2 * radius)) + 0.0 for v, c in zip(AXES, cells, strict=True)})
+    covers = homes
+    for c in cells:
+        covers = covers.withColumn(c, F.explode(F.array_distinct(F.array(*[F.col(c) + k for k in (-1.0, 0.0, 1.0)]))))
+    homes, covers = [df.withColumn("cell", _key(-1, *[F.col(c) for c in cells])) for df in (homes, covers)]
+    crowded = cut_lineage(homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS))
+    homes, covers = _mark(homes, crowded, "n"), _mark(covers, crowded, "n")
+    salts = F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / SALT_ROWS).cast("int"), F.lit(1))
+    h = homes.select("cell", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *[F.col(c).alias(f"a{c}") for c in ("id", "group", *AXES, *cells)])
+    c = covers.select("cell", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(c).alias(f"b{c}") for c in ("id", "group", *AXES, *cells)])
+    same = F.col("agroup") == F.col("bgroup")
+    for k in cells:
+        same = same & (F.col(f"a{k}") == F.col(f"b{k}"))
+    distance = sum((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in AXES)
+    joined = h.join(c, ["cell", "salt"]).where(same & (F.col("aid") < F.col("bid")) & (_beyond("a", FARTHEST) | _beyond("b", FARTHEST)))
+    return joined.where(distance <= radius * radius).select(F.col("aid").alias("id_a"), F.col("bid").alias("id_b"))
 
 
 # ---- polygons ----

@@ -40,6 +40,16 @@ def test_large_coordinates(spark):
     assert run(spark, rows) == brute(rows, 0.25)
 
 
+def test_points_very_far_out(spark, monkeypatch):
+    far = [1e15, 1e15 - 0.125, 1e15 + 0.125, 2.0**50 + 0.25, 2.0**50, 2.0**51, -1e18, 1e150, float("inf")]
+    places = [(x, y, 5.0) for x in far for y in (0.0, 0.2, -0.3)] + [(1.0, far[6], far[7])] * 4 + [(1.0, 2.0, 3.0)] * 2
+    rows = [(i, i % 2, *p) for i, p in enumerate(places + places)] + [(1000 + i, 0, 1e17, 1e17, 1e17) for i in range(30)]
+    want = brute(rows, 0.25)
+    assert run(spark, rows) == want and len(want) > 30 * 29 / 2
+    monkeypatch.setattr(proximity, "SALT_ROWS", 5)
+    assert run(spark, rows) == want
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
 
