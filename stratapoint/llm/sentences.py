@@ -1,8 +1,9 @@
 """Sentences of running text in many scripts, as a best path of whole sentence spans.
 
-A line's possible ends are found by their marks. Each span between two of them is scored as a whole: by its closing (the
-mark, the word before it), by its opening (case, script, usual first words), by its length, and by whether quotation marks and
-brackets are balanced in it. The spans of greatest total score are chosen by dynamic programming over the line; an end
+A line's possible ends are found by their marks and judged by local rules on the mark, the word before and what follows (case,
+script; usual first words in lines all in capitals); rejected ends are out. Spans between two ends left are scored by their
+closing, by whether quotation marks and brackets are balanced in them, and against fewer than 3 characters.
+The spans of greatest total score are chosen by dynamic programming over the line; an end
 beyond doubt is a fixed point of it, so that the work stays in proportion to the line.
 """
 
