@@ -11,8 +11,10 @@ from stratapoint.functions import crs, dtypes
 from stratapoint.functions import geometry as G
 from stratapoint.operators import drift, octree, records, tiles
 from stratapoint.plans import views
+from stratapoint.plans.problem_sql import P3_POINTS
 from stratapoint.plans.views import LI_ARRIVAL, PTS_EMB_SQL, PTS_LI_N_SQL, PTS_LI_SQL, TREE_SQL
 from stratapoint.session import newest, table
+from stratapoint.tileset import PREVIEW_POINTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,13 +218,13 @@ def node_errors(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).select("node", _r(s * 10).alias("geometric_error"), _r(s).alias("spacing"))
 
 
-@query(f"SELECT l_returnflag, count(*) AS n, floor(count(*) * least(1.0::DOUBLE, 500.0::DOUBLE / (SELECT count(*) FROM lineitem)))::BIGINT AS taken FROM {PTS_LI_SQL} GROUP BY 1")
+@query(f"SELECT l_returnflag, count(*) AS n, floor(count(*) * least(1.0::DOUBLE, {PREVIEW_POINTS}::DOUBLE / (SELECT count(*) FROM lineitem)))::BIGINT AS taken FROM {PTS_LI_SQL} GROUP BY 1")
 def preview_count(spark: SparkSession, d: str) -> DataFrame:
-    """Points of each file in a seeded preview of 500 points, drawn with replacement."""
+    """Points of each file in a seeded preview of ``PREVIEW_POINTS`` points, drawn with replacement."""
     p = views.pts_li(spark, d)
     sizes = p.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
     total = p.count()
-    per_file = sizes.withColumn("take", F.floor(F.col("n") * min(1.0, 500.0 / max(total, 1))))
+    per_file = sizes.withColumn("take", F.floor(F.col("n") * min(1.0, PREVIEW_POINTS / max(total, 1))))
     drawn = octree.seeded_sample(p, per_file, "l_returnflag", LI_ARRIVAL, 7).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("taken"))
     return sizes.join(drawn, "l_returnflag")
 
@@ -360,10 +362,10 @@ def merge_fill_zero(spark: SparkSession, d: str) -> DataFrame:
     return tiles.merge_zero_filled([p.where("file = 'A'").select("x", "y", "intensity"), p.where("file != 'A'").select("x", "y", "classification")])
 
 
-@query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def merge_strict(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "lineitem").select("l_returnflag", "l_tax")
-    return tiles.merge_strict([p.where("l_returnflag = 'A'"), p.where("l_returnflag = 'R'")]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return tiles.merge_strict([p.where("l_returnflag = 'A'"), p.where("l_returnflag = 'R'"), p.where("l_returnflag is null or l_returnflag not in ('A', 'R')")]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT user_id FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events)""")
@@ -371,7 +373,7 @@ def attr_on_all_groups(spark: SparkSession, d: str) -> DataFrame:
     return tiles.on_every_group(table(spark, d, "events"), "event_type", "user_id")
 
 
-@query("""WITH f AS (SELECT p_partkey % 50 AS t, p_partkey // 50 AS k, [1, 2, 4, 8][(p_size % 4) + 1]::BIGINT AS item, 1 + p_size % 3 AS width FROM part WHERE p_partkey // 50 < 4),
+@query("""WITH f AS (SELECT p_partkey % 50 AS t, p_partkey // 50 AS k, [1, 2, 4, 8][(p_size % 4) + 1]::BIGINT AS item, 1 + p_size % 3 AS width FROM part),
 a AS (SELECT t, k, item, item * width * 3 AS size FROM f), r AS (
  WITH RECURSIVE o AS (SELECT t, k, 0::BIGINT AS byte_offset, size AS byte_length FROM a WHERE k = (SELECT min(k) FROM a b WHERE b.t = a.t)
  UNION ALL SELECT a.t, a.k, (ceil((o.byte_offset + o.byte_length)::DOUBLE / a.item) * a.item)::BIGINT, a.size FROM o JOIN a ON a.t = o.t AND a.k = o.k + 1) SELECT * FROM o)
@@ -475,10 +477,7 @@ def luminance_roughness(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- delimited points ----
 
-_READABLE = """WITH r AS (SELECT l.file_id, l.line, f.separator FROM (SELECT DISTINCT line_id, file_id, line_no, line FROM xyz_lines) l JOIN xyz_files f USING (file_id)
- WHERE length(string_split(l.line, f.separator)) = f.n_columns AND regexp_full_match(l.line, '[0-9.]+[ ,;\\t][0-9.]+[ ,;\\t][0-9.]+[ ,;\\t][0-9]+[ ,;\\t][0-9]{1,2}[ ,;\\t][0-9]{1,2}[ ,;\\t][0-9]{1,2}[ ,;\\t][0-9]{1,5}([ ,;\\t].*)?')),
-p AS (SELECT file_id, string_split(line, separator) AS c FROM r),
-v AS (SELECT file_id, c[1]::FLOAT AS x, c[2]::FLOAT AS y, c[3]::FLOAT AS z, c[4]::FLOAT AS i, c[8]::BIGINT AS k FROM p WHERE regexp_full_match(c[1], '[0-9]+\\.[0-9]+') AND regexp_full_match(c[2], '[0-9]+\\.[0-9]+') AND regexp_full_match(c[3], '[0-9]+\\.[0-9]+') AND regexp_full_match(c[4], '[0-9]+'))"""
+_READABLE = f"""(SELECT file_id, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z, intensity::FLOAT::DOUBLE AS intensity, classification FROM ({P3_POINTS}))"""
 
 
 def _xyz_points(spark: SparkSession, d: str) -> DataFrame:
@@ -488,12 +487,12 @@ def _xyz_points(spark: SparkSession, d: str) -> DataFrame:
     return good.select("file_id", *[F.col(v).cast("float").alias(v) for v in (*XYZ, "intensity")], "classification")
 
 
-@query(_READABLE + " SELECT file_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, i::DOUBLE AS intensity, k AS classification FROM v")
+@query(f"SELECT file_id, x, y, z, intensity, classification FROM {_READABLE}")
 def xyz_scan(spark: SparkSession, d: str) -> DataFrame:
     return _xyz_points(spark, d).select("file_id", *[F.col(v).cast("double").alias(v) for v in (*XYZ, "intensity")], "classification")
 
 
-@query(_READABLE + " SELECT file_id, count(*) AS n, min(x)::DOUBLE AS min_x, min(y)::DOUBLE AS min_y, min(z)::DOUBLE AS min_z, max(x)::DOUBLE AS max_x, max(y)::DOUBLE AS max_y, max(z)::DOUBLE AS max_z FROM v GROUP BY 1")
+@query(f"SELECT file_id, count(*) AS n, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM {_READABLE} GROUP BY 1")
 def xyz_metadata(spark: SparkSession, d: str) -> DataFrame:
     b = octree.file_bounds(_xyz_points(spark, d), "file_id")
     return b.select("file_id", "n", *[F.col(f"{m}_{v}").cast("double").alias(f"{m}_{v}") for m in ("min", "max") for v in XYZ])
