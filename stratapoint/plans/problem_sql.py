@@ -8,16 +8,42 @@ own AS (SELECT DISTINCT regexp_replace(lower(quantity), '[^\\pL\\pN]', '', 'g')
   WHERE regexp_replace(lower(quantity), '[^\\pL\\pN]', '', 'g') NOT IN (SELECT key FROM terms)),
 meant AS (SELECT * FROM terms UNION ALL SELECT * FROM own)"""
 
-P1_BRANCHES = f"""WITH {_TERMS},
+_VALUES = f"""{_TERMS},
 s AS (SELECT DISTINCT file_id, point_no, payload FROM extra_samples WHERE payload IS NOT NULL),
 k AS (SELECT file_id, point_no, payload, unnest(json_keys(payload)) AS name FROM s),
 v AS (SELECT file_id, point_no, name, json_extract_string(payload, '$."' || name || '"') AS value, regexp_replace(lower(name), '[^\\pL\\pN]', '', 'g') AS key FROM k),
 q AS (SELECT v.*, coalesce(m.quantity, v.key) AS quantity FROM v LEFT JOIN meant m ON v.key = m.key),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, point_no, quantity ORDER BY value IS NULL, name, value) AS rn FROM q) WHERE rn = 1),
-t AS (SELECT *, CASE WHEN value IS NULL THEN 'null' WHEN regexp_full_match(trim(value), '[+-]?[0-9]{{1,18}}') THEN 'whole'
-  WHEN regexp_full_match(trim(value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'real' ELSE 'text' END AS tag FROM o)
-SELECT file_id, point_no, quantity, tag, CASE WHEN tag = 'whole' THEN trim(value)::BIGINT ELSE 0 END AS whole, CASE WHEN tag = 'real' THEN trim(value)::DOUBLE ELSE 0 END AS real,
- CASE WHEN tag = 'text' THEN value ELSE '' END AS text FROM t"""
+t AS (SELECT *, CASE WHEN value IS NULL THEN 'null' WHEN regexp_full_match(trim(value), '[+-]?[0-9]{{1,38}}') THEN CASE WHEN TRY_CAST(trim(value) AS BIGINT) IS NOT NULL THEN 'whole' ELSE 'big' END
+  WHEN regexp_full_match(trim(value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'real' WHEN trim(value) IN ('true', 'false') THEN 'flag' ELSE 'text' END AS tag FROM o)"""
+
+P1_BRANCHES = f"""WITH {_VALUES}
+SELECT file_id, point_no, quantity, tag, CASE WHEN tag = 'whole' THEN trim(value)::BIGINT ELSE 0 END AS whole, CASE WHEN tag = 'big' THEN ltrim(trim(value), '+') ELSE '' END AS big,
+ CASE WHEN tag = 'real' THEN trim(value)::DOUBLE ELSE 0 END AS real, tag = 'flag' AND trim(value) = 'true' AS flag, CASE WHEN tag = 'text' THEN value ELSE '' END AS text FROM t"""
+
+_SCHEMA = """files AS (SELECT file_id, delivered_at, extra_fields FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY loaded_at DESC) AS rn FROM reader_metadata) WHERE rn = 1 AND extra_fields IS NOT NULL),
+listed AS (SELECT file_id, delivered_at, unnest(range(len(extra_fields))) AS i, unnest(extra_fields) AS e FROM files),
+spelled AS (SELECT file_id, delivered_at, i, trim(e.name) AS name, regexp_replace(lower(trim(e.dtype)), '^[<>|=]', '') AS t, regexp_replace(lower(e.name), '[^\\pL\\pN]', '', 'g') AS key FROM listed WHERE e.name IS NOT NULL),
+kinds AS (SELECT * FROM (VALUES ('int8', 'i1'), ('int16', 'i2'), ('int32', 'i4'), ('int64', 'i8'), ('uint8', 'u1'), ('uint16', 'u2'), ('uint32', 'u4'), ('uint64', 'u8'), ('float16', 'f2'), ('float32', 'f4'), ('float64', 'f8'), ('bool', 'b1')) k(long, short)),
+typed AS (SELECT s.*, coalesce(k.short, s.t) AS type, coalesce(m.quantity, s.key) AS quantity FROM spelled s LEFT JOIN kinds k ON s.t = k.long LEFT JOIN meant m ON s.key = m.key),
+first_fields AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, quantity ORDER BY i) AS rn FROM typed) WHERE rn = 1),
+canon AS (SELECT quantity, string_agg(DISTINCT name, '|' ORDER BY name) AS spellings, CASE WHEN bool_and(type = 'b1') THEN 'boolean' WHEN bool_and(regexp_full_match(type, '[iu][124]|i8|b1')) THEN 'bigint'
+  WHEN bool_and(regexp_full_match(type, '[iu][1248]|b1')) THEN 'decimal(20,0)' ELSE 'double' END AS canonical FROM first_fields GROUP BY 1)"""
+
+P1_SCHEMA = f"""WITH {_TERMS}, {_SCHEMA}
+SELECT f.quantity, f.type, c.canonical, c.spellings, count(*) AS n_files, arg_min(f.file_id, (f.delivered_at, f.file_id)) AS first_file, arg_max(f.file_id, (f.delivered_at, f.file_id)) AS last_file
+FROM first_fields f JOIN canon c USING (quantity) GROUP BY 1, 2, 3, 4"""
+
+# One column a quantity, whichever there are; numbers of all columns are doubles here.
+P1_TABLE = f"""WITH {_VALUES}, {_SCHEMA},
+points AS (SELECT DISTINCT file_id, point_no FROM extra_samples WHERE file_id IS NOT NULL AND point_no IS NOT NULL),
+numbers AS (SELECT file_id, point_no, quantity, tag, CASE WHEN tag IN ('whole', 'big', 'real') THEN trim(value)::DOUBLE WHEN tag = 'flag' THEN (trim(value) = 'true')::INT::DOUBLE END AS x FROM t),
+columns_ AS (SELECT quantity, canonical FROM canon UNION ALL SELECT quantity, CASE WHEN bool_or(tag = 'real') THEN 'double' ELSE 'bigint' END FROM numbers WHERE quantity NOT IN (SELECT quantity FROM canon) GROUP BY 1),
+cells AS (SELECT n.file_id, n.point_no, n.quantity, CASE WHEN c.canonical = 'double' OR n.x = floor(n.x) THEN n.x END AS x FROM numbers n JOIN columns_ c USING (quantity)
+ UNION ALL SELECT file_id, point_no, (SELECT min(quantity) FROM columns_), NULL FROM points
+ UNION ALL SELECT (SELECT min(file_id) FROM points), (SELECT min(point_no) FROM points WHERE file_id = (SELECT min(file_id) FROM points)), quantity, NULL FROM columns_),
+long AS (SELECT file_id, point_no, 'q_' || quantity AS q, x FROM cells)
+PIVOT long ON q USING max(x) GROUP BY file_id, point_no"""
 
 _LINKS = """newest AS (SELECT tile_id, CASE WHEN parent_id >= 0 THEN parent_id END AS parent_id FROM
   (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY written_at DESC, parent_id DESC NULLS LAST) AS rn FROM tile_info) WHERE rn = 1),
@@ -71,11 +97,21 @@ tree AS (SELECT tileset_id, 'root' AS tile_path, '' AS parent_path, json_extract
 base AS (SELECT *, coalesce(round(TRY_CAST(json_extract_string(j, '$.geometricError') AS DOUBLE) * 1000)::BIGINT, -1) AS error_milli,
   CASE WHEN json_type(j, '$.boundingVolume.box') = 'ARRAY' THEN json_array_length(j, '$.boundingVolume.box')::BIGINT ELSE 0 END AS n_box FROM tree)"""
 
-P4_TILES = f"WITH RECURSIVE {_TILES} SELECT tileset_id, tile_path, parent_path, error_milli, n_box FROM base"
-P4_FOUND = f"""WITH RECURSIVE {_TILES},
-u AS (SELECT tileset_id, tile_path, parent_path, error_milli, n_box, CASE
+_URIS = """CASE
   WHEN json_type(j, '$.content.uri') = 'VARCHAR' THEN [json_extract_string(j, '$.content.uri')] WHEN json_type(j, '$.content.url') = 'VARCHAR' THEN [json_extract_string(j, '$.content.url')]
-  WHEN json_type(j, '$.contents') = 'ARRAY' THEN list_filter(json_extract_string(j, '$.contents[*].uri'), lambda x: x IS NOT NULL) ELSE [] END AS uris FROM base)
+  WHEN json_type(j, '$.contents') = 'ARRAY' THEN list_filter(json_extract_string(j, '$.contents[*].uri'), lambda x: x IS NOT NULL) ELSE [] END"""
+# Labels without a walk: before a tile is entered, all tiles of smaller places were entered, all of these but its ancestors
+# left, and their contents passed twice; inside it stand those whose path goes on from its own.
+_LABELLED = f"""{_TILES},
+held AS (SELECT tileset_id, tile_path, parent_path, error_milli, n_box, {_URIS} AS uris, len(string_split(tile_path, '/')) - 1 AS level, list_transform(string_split(tile_path, '/')[2:], lambda x: x::INTEGER) AS place FROM base),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tileset_id ORDER BY place) - 1 AS r, coalesce(sum(len(uris)) OVER (PARTITION BY tileset_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM held),
+inner_ AS (SELECT a.tileset_id, a.tile_path, count(*) - 1 AS tiles, sum(len(b.uris)) AS contents FROM held a JOIN held b ON a.tileset_id = b.tileset_id AND starts_with(b.tile_path || '/', a.tile_path || '/') GROUP BY 1, 2),
+labelled AS (SELECT r.*, (2 * r - level + 2 * passed)::BIGINT AS pre, (2 * r - level + 2 * passed + 1 + 2 * i.tiles + 2 * i.contents)::BIGINT AS post FROM ranked r JOIN inner_ i USING (tileset_id, tile_path))"""
+
+P4_TILES = f"WITH RECURSIVE {_LABELLED} SELECT tileset_id, pre, post, level::BIGINT AS level, tile_path, parent_path, error_milli, n_box FROM labelled"
+P4_CONTENTS = f"""WITH RECURSIVE {_LABELLED}, each AS (SELECT tileset_id, pre AS tile_pre, tile_path, unnest(uris) AS uri, unnest(range(len(uris))) AS k FROM labelled)
+SELECT tileset_id, (tile_pre + 1 + 2 * k)::BIGINT AS pre, (tile_pre + 2 + 2 * k)::BIGINT AS post, tile_pre, tile_path, uri FROM each"""
+P4_FOUND = f"""WITH RECURSIVE {_TILES}, u AS (SELECT tileset_id, tile_path, parent_path, error_milli, n_box, {_URIS} AS uris FROM base)
 SELECT DISTINCT tileset_id, tile_path, parent_path, error_milli, n_box, unnest(CASE WHEN len(uris) = 0 THEN [''] ELSE uris END) AS uri FROM u"""
 
-MORE = {"p1_branches": P1_BRANCHES, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p3_found": P3_FOUND, "p3_points": P3_POINTS, "p4_found": P4_FOUND}
+MORE = {"p1_schema": P1_SCHEMA, "p1_branches": P1_BRANCHES, "p1_table": P1_TABLE, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p3_found": P3_FOUND, "p3_points": P3_POINTS, "p4_found": P4_FOUND, "p4_tiles": P4_TILES, "p4_contents": P4_CONTENTS}

@@ -17,13 +17,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_schema(spark: SparkSession, d: str) -> DataFrame:
-    return drift.union_schema(table(spark, d, "reader_metadata"), table(spark, d, "field_terms"))
+    """One row per alternative of each path of the union schema."""
+    u = drift.union_schema(table(spark, d, "reader_metadata"), table(spark, d, "field_terms"))
+    return u.select("quantity", "canonical", F.array_join("spellings", "|").alias("spellings"), F.inline("alternatives"))
 
 
 def p1_branches(spark: SparkSession, d: str) -> DataFrame:
     """The branches a value doesn't stand in are 0 or empty here; tag names the one it does."""
     t = drift.tagged_values(table(spark, d, "extra_samples"), table(spark, d, "field_terms"))
-    return t.na.fill({"whole": 0, "real": 0.0, "text": ""})
+    return t.withColumn("big", F.col("big").cast("string")).na.fill({"whole": 0, "big": "", "real": 0.0, "flag": False, "text": ""})
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
