@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapoint.functions import geometry as G
-from stratapoint.operators.hierarchy import descendants, resolve_hierarchy
+from stratapoint.operators.hierarchy import carry_down, fold_below, resolve_hierarchy
 from stratapoint.session import cut_lineage
 
 
@@ -44,39 +44,33 @@ def union_boxes(boxes: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.when(F.col("n") == 1, F.col("one")).otherwise(whole).alias("box"), "n")
 
 
+def _links(tiles: DataFrame, *values: str | Column) -> DataFrame:
+    return tiles.select(F.col("tile_id").alias("id"), F.col("parent_id").alias("parent"), *values)
+
+
 def subtree_max(tiles: DataFrame, value: str) -> DataFrame:
-    """tiles: tile_id, parent_id and a value. For each tile the largest value below it (null without tiles below).
+    """tiles: tile_id (unique), parent_id and a value. For each tile with tiles below it their largest value and number.
 
-    One aggregation over the pairs of ancestors and descendants; maxima are taken before the shuffle, so a root of very many
-    tiles moves one row a task.
+    Tiles on or below circles are left out.
     """
-    h = resolve_hierarchy(tiles.select(F.col("tile_id").alias("id"), F.col("parent_id").alias("parent")), with_path=True)
-    pairs = descendants(h).join(tiles.select(F.col("tile_id").alias("id"), value), "id")
-    return pairs.groupBy(F.col("ancestor").alias("tile_id")).agg(F.max(value).alias("below"), F.count(F.lit(1)).alias("n_below"))
+    folded = fold_below(_links(tiles, F.col(value).alias("value"), F.lit(1).cast("long").alias("one")), {"value": "max", "one": "sum"})
+    return folded.where("below_one > 0").select(F.col("id").alias("tile_id"), F.col("below_value").alias("below"), F.col("below_one").alias("n_below"))
 
 
 def geometric_errors(tiles: DataFrame) -> DataFrame:
-    """tiles: tile_id, parent_id, elem_max_size, has_content. tile_id, geometric_error, kept.
+    """tiles: tile_id (unique), parent_id, elem_max_size, has_content. tile_id, geometric_error, kept.
 
     The error of a tile is the largest element size below it, 0 without any; a tile is kept if it or one below has content.
+    Tiles on or below circles are left out.
     """
-    h = resolve_hierarchy(tiles.select(F.col("tile_id").alias("id"), F.col("parent_id").alias("parent")), with_path=True)
-    h = cut_lineage(h.where("kind in ('rooted', 'orphaned')"))
-    sized = tiles.select(F.col("tile_id").alias("id"), "elem_max_size", "has_content")
-    below = descendants(h).join(sized, "id").groupBy("ancestor").agg(
-        F.max(F.when(F.col("has_content"), F.col("elem_max_size"))).alias("error"), F.max("has_content").alias("filled")
-    )
-    own = h.select("id").join(sized, "id")
-    return own.join(below, F.col("id") == F.col("ancestor"), "left").select(
-        F.col("id").alias("tile_id"), F.coalesce("error", F.lit(0.0)).alias("geometric_error"), (F.coalesce("has_content", F.lit(False)) | F.coalesce("filled", F.lit(False))).alias("kept")
-    )
+    filled = F.coalesce("has_content", F.lit(False))
+    folded = fold_below(_links(tiles, F.when(filled, F.col("elem_max_size")).alias("size"), filled.alias("filled")), {"size": "max", "filled": "max"})
+    return folded.select(F.col("id").alias("tile_id"), F.coalesce("below_size", F.lit(0.0)).alias("geometric_error"), (F.col("filled") | F.coalesce("below_filled", F.lit(False))).alias("kept"))
 
 
 def inherited(tiles: DataFrame, value: str) -> DataFrame:
-    """The value of each tile, or that of its nearest ancestor that has one: tile_id, value."""
-    h = resolve_hierarchy(tiles.select(F.col("tile_id").alias("id"), F.col("parent_id").alias("parent")), with_path=True)
-    up = h.select("id", F.posexplode("path").alias("at", "a")).join(tiles.select(F.col("tile_id").alias("a"), value), "a")
-    return up.groupBy("id").agg(F.max(F.when(F.col(value).isNotNull(), F.struct("at", value)))[value].alias(value)).withColumnRenamed("id", "tile_id")
+    """The value of each tile (unique), or that of its nearest ancestor that has one: tile_id, value."""
+    return carry_down(_links(tiles, value), value).withColumnRenamed("id", "tile_id")
 
 
 def shown_points(tiles: DataFrame) -> DataFrame:
@@ -174,12 +168,13 @@ def sync_boxes(tiles: DataFrame) -> DataFrame:
 
 
 def subtree_bounds(tiles: DataFrame) -> DataFrame:
-    """tiles: tile_id, parent_id, box. Bounds of each tile and all below it, transforms apart: one aggregation over the paths."""
-    h = resolve_hierarchy(tiles.select(F.col("tile_id").alias("id"), F.col("parent_id").alias("parent")), with_path=True)
+    """tiles: tile_id (unique), parent_id, box. Bounds of each tile and all below it, transforms apart; tiles without any box
+    in their subtree, and those on or below circles, have none."""
     low, high = G.box_bounds(F.col("box"))
-    own = tiles.where("box is not null").select(F.col("tile_id").alias("id"), *[a.alias(f"l{k}") for k, a in enumerate(low)], *[b.alias(f"h{k}") for k, b in enumerate(high)])
-    up = h.where("kind in ('rooted', 'orphaned')").select("id", F.explode("path").alias("tile_id")).join(own, "id")
-    return up.groupBy("tile_id").agg(*[F.min(f"l{k}").alias(f"l{k}") for k in range(3)], *[F.max(f"h{k}").alias(f"h{k}") for k in range(3)])
+    lows, highs = [f"l{k}" for k in range(3)], [f"h{k}" for k in range(3)]
+    folded = fold_below(_links(tiles, *[a.alias(n) for a, n in zip(low, lows, strict=True)], *[b.alias(n) for b, n in zip(high, highs, strict=True)]), {n: "min" for n in lows} | {n: "max" for n in highs})
+    ends = [F.least(n, f"below_{n}").alias(n) for n in lows] + [F.greatest(n, f"below_{n}").alias(n) for n in highs]
+    return folded.select(F.col("id").alias("tile_id"), *ends).where("l0 is not null")
 
 
 def with_metadata(tiles: DataFrame, metadata: DataFrame, key: str = "file_id") -> DataFrame:

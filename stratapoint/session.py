@@ -59,19 +59,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_counted(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
-    """``cut_lineage`` and the number of rows that meet the condition, counted while they are written.
+def cut_counted(df: DataFrame, *conditions: str) -> tuple[DataFrame, int | tuple[int, ...]]:
+    """``cut_lineage`` and the numbers of rows that meet each condition (one number of one), counted while they are written.
 
-    Should the count not arrive with the job's end, the written rows are counted.
+    Should the counts not arrive with the job's end, the written rows are counted.
     """
     seen = Observation()
-    out = cut_lineage(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    counts = [F.count_if(F.expr(c)).alias(f"n{k}") for k, c in enumerate(conditions)]
+    out = cut_lineage(df.observe(seen, *counts))
     got: list[dict] = []
     waiting = threading.Thread(target=lambda: got.append(seen.get), daemon=True)
     waiting.start()
     waiting.join(10)
-    n = got[0].get("n") if got else None
-    return out, out.where(condition).count() if n is None else n
+    n = tuple(got[0].values()) if got and len(got[0]) == len(conditions) else tuple(out.agg(*counts).first())
+    return out, n[0] if len(n) == 1 else n
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
