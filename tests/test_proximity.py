@@ -73,6 +73,27 @@ def test_regions(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_inside_cells_accept_part_of_the_pairs(spark):
+    rows = cloud(300, 0.6, 4, (10.0, 20.0, 30.0))
+    df = spark.createDataFrame([(i, g, x, y, z) for i, g, x, y, z in rows], "id long, group long, x double, y double, z double")
+    told = proximity.pairs_within(df, 0.25, tell=True).collect()
+    sure = {(r.id_a, r.id_b) for r in told if r.sure}
+    assert len(told) == len({(r.id_a, r.id_b) for r in told}) and sure and len(sure) < len(told) and {(r.id_a, r.id_b) for r in told} == brute(rows, 0.25)
+
+
+def test_rings_of_many_sides_shuffled_and_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    turn = [2 * math.pi * k / 700 for k in range(700)]
+    size = [rng.uniform(2.0, 6.0) for _ in turn]
+    regions = [(1, [math.cos(t) * s for t, s in zip(turn, size)], [math.sin(t) * s for t, s in zip(turn, size)]), (2, [-5.0, 5.0, 5.0, 0.0, 0.0, -5.0], [-5.0, -5.0, 5.0, 5.0, 0.0, 0.0])]
+    points = [(i, rng.choice([-5.0, 0.0, 2.5, rng.uniform(-6, 6)]), rng.choice([-5.0, 0.0, 5.0, rng.uniform(-6, 6)])) for i in range(1500)]
+    want = {(i, r) for i, x, y in points for r, xs, ys in regions if inside(x, y, xs, ys)}
+    for limit in (200_000, 0):
+        monkeypatch.setattr(proximity, "BROADCAST_ROWS", limit)
+        got = proximity.points_in_regions(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(regions, "region_id long, xs array<double>, ys array<double>"), 8.0, 4)
+        assert {tuple(r) for r in got.collect()} == want and len(want) > 300
+
+
 def test_cover_cells_are_inside_or_on_the_border():
     xs, ys = [0.0, 8.0, 8.0, 0.0], [0.0, 0.0, 8.0, 8.0]
     cells = list(proximity.cover_polygon(xs, ys, 4.0, 3))
