@@ -1,9 +1,9 @@
 """Evaluation passages that stand in documents, whole, in part or altered, by spaced-seed hashing.
 
 Texts become arrays of word hashes (or of characters, for scripts without blanks). A seed is a mask over a window that
-leaves some positions out; its hash at every place of a document is looked up among those of the evaluation items. Around
-each hit the two texts are compared place by place along the hit's diagonal, substitutions allowed, and the runs found
-there decide.
+leaves some positions out; a family of masks is chosen so that, wherever up to k places of a window are altered, one of them
+ignores all of these. Seeds of items and of documents are joined; the two windows of each hit are compared place by place,
+and what differs in at most k places is a passage found.
 """
 
 from __future__ import annotations
@@ -18,18 +18,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratapoint.session import BROADCAST_ROWS, cut_counted
 
 WORDS, CHARS = 13, 30
-# Fixed masks over the places of a window, for unaltered windows; 0: the place is ignored.
-WORD_MASKS = ("1110110110111", "1101101111011")
-CHAR_MASKS = ("111111110111110111101111111111", "111111111101111011111011111111")
 CHAR_LANGS = ("zh", "ja", "th")
 
+#: Altered places that the search allows for at least; what is asked for is decided on the windows found.
+TOLERATED = 2
 BLOCK_CHARS = 1_000_000
-#: Seeds of evaluation items that one pass over the corpus looks for; more items are taken in blocks.
-PASS_SEEDS = 4_000_000
-#: Pairs of places with one seed that are compared at once.
-PASS_PAIRS = 1_000_000
+#: Bits of the filter by which documents look for seeds of items: ``FILTER_ROOM`` a seed, ``FILTER_BITS`` (64 MB) at most. A
+#: filter that is full lets more windows through to the join, and loses none.
+FILTER_ROOM, FILTER_BITS = 64, 1 << 29
+#: Parts into which the hits of one seed are split where items are too many to be broadcast.
+SALTS = 16
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -124,20 +127,6 @@ def units(texts: list[str], chars: bool) -> tuple[np.ndarray, np.ndarray]:
     return _mix(words ^ (end - start).astype(np.uint64)), np.searchsorted(start, begins)
 
 
-def seeds(u: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the mask's window beginning at each place."""
-    n = len(u) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h, factor = np.zeros(n, np.uint64), 1
-        for k, used in enumerate(mask):
-            if used == "1":
-                h += u[k : k + n] * np.uint64(factor)
-                factor = factor * 0x9E3779B97F4A7C15 % 2**64
-        return _mix(h)
-
-
 def covering_masks(span: int, altered: int) -> tuple[str, ...]:
     """Masks of which at least one ignores all altered places, wherever these are.
 
@@ -151,79 +140,104 @@ def covering_masks(span: int, altered: int) -> tuple[str, ...]:
     return tuple("".join("1" if b in pair else "0" for b in of) for pair in itertools.combinations(range(blocks), 2))
 
 
-class Index:
-    """Seeds of a block of evaluation items, by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], chars: bool, substitutions: int = 0) -> None:
-        self.chars, self.span, self.substitutions = chars, CHARS if chars else WORDS, substitutions
-        self.masks = covering_masks(self.span, substitutions) if substitutions else CHAR_MASKS if chars else WORD_MASKS
-        self.ids = [i for i, _ in items]
-        texts = [shown(t) for _, t in items]
-        self.units, self.bounds = units(texts, chars) if texts else (np.empty(0, np.uint64), np.zeros(1, np.int64))
-        owner = np.repeat(np.arange(len(items)), np.diff(self.bounds))
-        self.seeds = []
-        for mask in self.masks:
-            h = seeds(self.units, mask)
-            at = np.nonzero(owner[: len(h)] == owner[self.span - 1 :])[0] if len(h) else np.empty(0, np.int64)
-            order = np.argsort(h[at], kind="stable")
-            self.seeds.append((h[at][order], at[order], owner[at][order]))
-        #: characters of which each window of an item, altered or not, holds one; a text without them holds no window
-        self.marks = None
-        if chars and texts and all(all(sum(ord(c) >= 0xE00 for c in w) > substitutions for w in _windows(t, CHARS)) for t in texts):
-            self.marks = re.compile(f"[{chr(0xE00)}-{chr(0x10FFFF)}]")
-
-    def hits(self, u: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, longest run of equal places, most equal places in one window) for every diagonal with a seed hit."""
-        if not len(u):
-            return
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        found = set()
-        for mask, (known, at, item) in zip(self.masks, self.seeds, strict=True):
-            h = seeds(u, mask)
-            if not len(h) or not len(known):
-                continue
-            low = np.searchsorted(known, h)
-            hit = np.nonzero(known[np.minimum(low, len(known) - 1)] == h)[0]
-            hit = hit[owner[hit] == owner[hit + self.span - 1]]
-            if not len(hit):
-                continue
-            high = np.searchsorted(known, h[hit], side="right")
-            many = high - low[hit]
-            part = np.cumsum(many) // PASS_PAIRS
-            cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(hit)]
-            for a, b in itertools.pairwise(cuts):
-                n = many[a:b]
-                place = np.repeat(hit[a:b], n)
-                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[hit[a:b]], n)
-                if self.substitutions:  # some mask meets every wanted window itself, so the others can go
-                    same = np.zeros(len(place), np.int64)
-                    for k in range(self.span):
-                        same += u[place + k] == self.units[at[entry] + k]
-                    near = same >= self.span - self.substitutions
-                    place, entry = place[near], entry[near]
-                found.update(zip(owner[place].tolist(), item[entry].tolist(), (place - at[entry]).tolist(), strict=True))
-        for text, item, shift in found:
-            a0, a1 = self.bounds[item], self.bounds[item + 1]
-            begin, end = max(a0, bounds[text] - shift), min(a1, bounds[text + 1] - shift)
-            same = self.units[begin:end] == u[begin + shift : end + shift]
-            edges = np.diff(np.concatenate([[0], same, [0]]).astype(np.int8))
-            runs = np.nonzero(edges == -1)[0] - np.nonzero(edges == 1)[0]
-            total = np.concatenate([[0], np.cumsum(same)])
-            most = int((total[self.span :] - total[: -self.span]).max()) if len(same) >= self.span else 0
-            yield text, item, int(runs.max()) if len(runs) else 0, most
-
-
-def _windows(text: str, span: int) -> list[str]:
-    counted = "".join(c for c in text if _counts()[ord(c)])
-    return [counted[i : i + span] for i in range(len(counted) - span + 1)]
-
-
-def _search(indexes, substitutions: int):  # noqa: ANN001, ANN202
+class Seeds:
+    """Seeds of all windows of ``span`` units, a hash for each mask of :func:`covering_masks`.
+
+    A mask is two blocks of the window, so its hash is made of the hashes of runs as long as these, which all masks share.
+    """
+
+    def __init__(self, span: int, altered: int) -> None:
+        self.span = span
+        of = [k * (altered + 2) // span for k in range(span)]
+        self.blocks = [(of.index(k), of.count(k)) for k in range(altered + 2)]
+        self.pairs = list(itertools.combinations(range(altered + 2), 2))
+        kinds = np.arange(1, 2 * len(self.pairs) + 1, dtype=np.uint64) + np.uint64(1000 * span)
+        self.factors = (_mix(kinds) | np.uint64(1)).reshape(-1, 2)
+
+    def __call__(self, u: np.ndarray) -> np.ndarray:
+        """One row a mask, one column a window."""
+        n = max(len(u) - self.span + 1, 0)
+        runs: dict[int, np.ndarray] = {}
+        out = np.empty((len(self.pairs), n), np.uint64)
+        with np.errstate(over="ignore"):
+            for size in {size for _, size in self.blocks} if n else ():
+                h = u[: len(u) - size + 1].copy()
+                for k in range(1, size):
+                    h *= _B
+                    h += u[k : len(u) - size + 1 + k]
+                runs[size] = h
+            for row, pair, factors in zip(out, self.pairs, self.factors, strict=True):
+                if n:
+                    (a, sa), (b, sb) = (self.blocks[k] for k in pair)
+                    np.multiply(runs[sa][a : a + n], factors[0], out=row)
+                    row += runs[sb][b : b + n] * factors[1]
+        return out
+
+
+def _bits(seeds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each seed in a filter of 2^size bits."""
+    with np.errstate(over="ignore"):
+        return seeds >> np.uint64(64 - size), (seeds * _B) >> np.uint64(64 - size)
+
+
+def _holds(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+WINDOWS = "seeds array<long>, units array<long>"
+
+
+def _windows(u: np.ndarray, bounds: np.ndarray, seeds: np.ndarray, hit: np.ndarray | None, span: int) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+    """(text, seeds, units) of the different windows of each text; ``hit``: which seeds of which windows count (None: all)."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    n = seeds.shape[1]
+    at = np.nonzero(owner[:n] == owner[span - 1 : span - 1 + n])[0] if hit is None else np.nonzero(hit.any(axis=0))[0]
+    at = at[owner[at] == owner[at + span - 1]]
+    window = u[at[:, None] + np.arange(span)]
+    with np.errstate(over="ignore"):  # a text may hold a window very often: once is enough
+        whole = _mix((window * _powers(_B, span)).sum(axis=1, dtype=np.uint64) + owner[at].astype(np.uint64) * _B)
+    once = np.unique(whole, return_index=True)[1]
+    at, window = at[once], window[once]
+    mine = np.ones((len(seeds), len(at)), bool) if hit is None else hit[:, at]
+    sizes = mine.sum(axis=0)
+    ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    plain = lambda a: pa.array(a.reshape(-1).view(np.int64), pa.int64())
+    return owner[at], pa.ListArray.from_arrays(ends(sizes), plain(np.ascontiguousarray(seeds[:, at].T[mine.T]))), pa.ListArray.from_arrays(ends(np.full(len(at), span)), plain(np.ascontiguousarray(window)))
+
+
+def _of_items(altered: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, langs, texts = (batch.column(c).to_pylist() for c in ("item_id", "lang", "text"))
+            for chars in (False, True):
+                mine = [k for k, lang in enumerate(langs) if ((lang or "").lower()[:2] in CHAR_LANGS) == chars]
+                if not mine:
+                    continue
+                span = CHARS if chars else WORDS
+                plain = [shown(texts[k]) for k in mine]
+                u, bounds = units(plain, chars)
+                text, seeds, windows = _windows(u, bounds, Seeds(span, altered)(u), None, span)
+                counted = [np.array([ord(c) >= WIDE for c in t if _counts()[ord(c)]], bool) for t in plain] if chars else []
+                # the least number of wide characters in a window of the item
+                wide = [int(np.convolve(c, np.ones(span, int), "valid").min()) if len(c) >= span else span for c in counted] or [span] * len(mine)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[mine[k]] for k in text], pa.int64()), pa.array([chars] * len(text), pa.bool_()), pa.array([wide[k] for k in text], pa.int32()), seeds, windows],
+                    ["item_id", "chars", "wide", "seeds", "units"],
+                )
+
+    return run
+
+
+#: Characters from here on are wide: a text without any can hold no window that has more of them than places are altered.
+WIDE = 0xE00
+_WIDE = re.compile(f"[{chr(WIDE)}-{chr(0x10FFFF)}]")
+
+
+def _of_documents(filters, altered: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_kind = indexes.value
+        kinds = [(chars, words, only_wide, Seeds(CHARS if chars else WORDS, altered)) for chars, words, only_wide in filters.value]
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            out: set[tuple] = set()
             begin = 0
             while begin < len(ids):
                 end, size = begin, 0
@@ -231,48 +245,84 @@ def _search(indexes, substitutions: int):  # noqa: ANN001, ANN202
                     size += len(texts[end])
                     end += 1
                 plain = [shown(t) for t in texts[begin:end]]
-                for index in by_kind:
-                    rows = range(len(plain))
-                    if index.marks:
-                        rows = [k for k in rows if not plain[k].isascii() and index.marks.search(plain[k])]
-                    if not index.ids or not rows:
+                for chars, words, only_wide, make in kinds:
+                    rows = [k for k, t in enumerate(plain) if not only_wide or (not t.isascii() and _WIDE.search(t))]
+                    if not rows:
                         continue
-                    u, bounds = units([plain[k] for k in rows], index.chars)
-                    for text, item, run_, most in index.hits(u, bounds):
-                        if run_ >= index.span if substitutions == 0 else most >= index.span - substitutions:
-                            out.add((ids[begin + rows[text]], index.ids[item]))
+                    u, bounds = units([plain[k] for k in rows], chars)
+                    seeds = make(u)
+                    hit = np.zeros(seeds.shape, bool)
+                    for h, got in zip(seeds, hit, strict=True):
+                        first, second = _bits(h, (len(words) * 64).bit_length() - 1)
+                        at = np.nonzero(_holds(words, first))[0]
+                        got[at[_holds(words, second[at])]] = True
+                    if not hit.any():
+                        continue
+                    text, found, windows = _windows(u, bounds, seeds, hit, make.span)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[begin + rows[k]] for k in text], pa.int64()), found, windows], ["doc_id", "seeds", "units"])
                 begin = end
-            docs, items = zip(*sorted(out), strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], ["doc_id", "item_id"])
 
     return run
 
 
-def leaked(documents: DataFrame, items: DataFrame, substitutions: int = 0) -> DataFrame:
-    """documents: doc_id, text. items: item_id, lang, text. Pairs (doc_id, item_id), each once for a unique doc_id.
+def _filter(seeds: DataFrame, n: int) -> np.ndarray:
+    """A bit filter of the seeds, put together by tasks; what comes here is bounded by ``FILTER_BITS``."""
+    size = min(max(n * FILTER_ROOM, 1 << 16), FILTER_BITS).bit_length() - 1
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), size))
+            words, where = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(bits, where, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    rows = seeds.select("seed").mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros((1 << size) // 64, np.uint64)
+    table = rows.toArrow()
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
 
-    With no substitutions: the document holds at least 13 consecutive words of the item (30 characters for items in zh, ja
-    and th). With k substitutions (up to 11): it holds a window of that length with at most k places altered, wherever these
-    are. Null texts hold nothing and items without so many words can't be held. The items, a test set, are read to the driver
-    in blocks of at most ``PASS_SEEDS`` characters (fewer with more masks); each block is one pass over the documents, which
-    are not shuffled.
+
+def passages(documents: DataFrame, items: DataFrame, altered: int = TOLERATED) -> DataFrame:
+    """documents: doc_id, text. items: item_id, lang, text. doc_id, item_id, altered: each document with each item of which it
+    holds a window of 13 words (30 characters for items in zh, ja and th) with at most that many places altered, wherever
+    these are; altered is the least number over all windows.
+
+    Null texts hold nothing and items without so many words can't be held. A window counts once a text, however often it stands
+    there. Documents aren't shuffled; only their windows that pass the filter of the items' seeds meet the items: by a
+    broadcast of the seeds up to a counted number, else shuffled on seed and salt.
     """
     spark = documents.sparkSession
-    most = PASS_SEEDS * 2 // len(covering_masks(WORDS, substitutions)) if substitutions else PASS_SEEDS
+    asked = items.where("item_id is not null and text is not null").select("item_id", "lang", "text")
+    made = asked.mapInArrow(_of_items(altered), f"item_id long, chars boolean, wide int, {WINDOWS}")
+    windows, _ = cut_counted(made.distinct(), "true")
+    seeds, (n_words, n_chars) = cut_counted(windows.select("item_id", "chars", "wide", F.explode("seeds").alias("seed"), "units"), "not chars", "chars")
+    filters = []
+    for chars, n in ((False, n_words), (True, n_chars)):
+        if n:
+            mine = seeds.where("chars" if chars else "not chars")
+            only_wide = chars and mine.agg(F.min("wide")).first()[0] > altered
+            filters.append((chars, _filter(mine, n), only_wide))
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    blocks: list[list[tuple[int, str, str]]] = [[]]
-    size = 0
-    for r in items.where("item_id is not null and text is not null").select("item_id", "lang", "text").orderBy("item_id").toLocalIterator():
-        if size and size + len(r.text) > most:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item_id, r.lang, r.text))
-        size += len(r.text)
-    out = None
-    for block in blocks:
-        by_char = [(i, t) for i, lang, t in block if (lang or "").lower()[:2] in CHAR_LANGS]
-        by_word = [(i, t) for i, lang, t in block if (lang or "").lower()[:2] not in CHAR_LANGS]
-        shared = spark.sparkContext.broadcast([Index(by_word, False, substitutions), Index(by_char, True, substitutions)])
-        found = texts.mapInArrow(_search(shared, substitutions), "doc_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
-    return out
+    hits = texts.mapInArrow(_of_documents(spark.sparkContext.broadcast(filters), altered), f"doc_id long, {WINDOWS}").select("doc_id", F.explode("seeds").alias("seed"), "units")
+    known = seeds.select("item_id", "seed", F.col("units").alias("i_units"))
+    if n_words + n_chars <= BROADCAST_ROWS:
+        met = hits.join(F.broadcast(known), "seed")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
+    differing = F.size(F.filter(F.zip_with("units", "i_units", lambda a, b: a != b), lambda x: x))
+    compared = met.where(F.size("units") == F.size("i_units")).select("doc_id", "item_id", differing.alias("altered")).where(F.col("altered") <= altered)
+    return compared.groupBy("doc_id", "item_id").agg(F.min("altered").alias("altered"))
+
+
+def leaked(documents: DataFrame, items: DataFrame, substitutions: int = 0) -> DataFrame:
+    """Pairs (doc_id, item_id), each once for a unique doc_id, of :func:`passages` with at most so many places altered.
+
+    Altered passages are searched for in any case, up to ``TOLERATED`` places or as many as are asked for; with no
+    substitutions a check for unaltered windows follows: the document holds at least 13 consecutive words (30 characters) of
+    the item.
+    """
+    found = passages(documents, items, max(substitutions, TOLERATED))
+    return found.where(F.col("altered") <= substitutions).select("doc_id", "item_id")

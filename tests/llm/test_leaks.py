@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import regex
 
@@ -54,12 +55,30 @@ def test_forms(spark):
     assert got <= altered and (5, 1) in altered
 
 
-def test_blocks_of_items(spark, monkeypatch):
+def test_many_items_and_a_full_filter(spark, monkeypatch):
     items = [(k, "en", PASSAGE.replace("one", f"w{k}")) for k in range(8)]
     docs = [(1, "w3 " + " ".join(PASSAGE.split()[1:])), (2, "nothing")]
     want = brute(docs, items)
-    monkeypatch.setattr(leaks, "PASS_SEEDS", 250)
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 10)
     assert run(spark, docs, items) == want
+    monkeypatch.setattr(leaks, "FILTER_BITS", 1 << 7)
+    assert run(spark, docs, items) == want
+
+
+def test_a_word_over_and_over(spark):
+    import time
+
+    text = "ha " * 10_000
+    began = time.time()
+    assert run(spark, [(1, text), (2, "x " + "ha " * 12)], [(1, "en", text), (2, "th", "ก" * 10_000)]) == {(1, 1)}
+    assert time.time() - began < 20
+
+
+def test_least_number_of_altered_places(spark):
+    w = PASSAGE.split()
+    docs = spark.createDataFrame([(1, " ".join(w[:13])), (2, " ".join(["x"] + w[1:13]) + ". " + " ".join(w[:5] + ["x", "y"] + w[7:13])), (3, " ".join(w[:5] + ["x", "y"] + w[7:12] + ["z"]))], "doc_id long, text string")
+    got = leaks.passages(docs, spark.createDataFrame([(7, "en", " ".join(w[:13]))], "item_id long, lang string, text string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 7, 0), (2, 7, 1)}
 
 
 def test_empty(spark):
@@ -90,3 +109,12 @@ def test_covering_masks():
 def test_altered_places_may_be_the_only_ones_of_the_script(spark):
     text = "abcdefghijklmnopqrstuvwxyzabc" + THAI[0]
     assert run(spark, [(1, text.replace(THAI[0], "x"))], [(1, "th", text)], substitutions=1) == {(1, 1)}
+
+
+def test_isolated_windows_with_altered_words(spark):
+    rng = random.Random(3)
+    for size in (13, 16, 20):
+        words = [f"word{k}" for k in range(size)]
+        docs = [(k, " ".join("zzz" if p in set(rng.sample(range(size), 1 + k % 2)) else w for p, w in enumerate(words))) for k in range(60)]
+        want = {(d, 1) for d, t in docs if any(sum(a != b for a, b in zip(t.split()[s : s + 13], words[q : q + 13], strict=True)) <= 2 for s in range(size - 12) for q in range(size - 12))}
+        assert run(spark, docs, [(1, "en", " ".join(words))], substitutions=2) == want
