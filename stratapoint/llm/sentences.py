@@ -1,10 +1,12 @@
 """Sentences of running text in many scripts, as a best path of whole sentence spans.
 
-A line's possible ends are found by their marks and judged by local rules on the mark, the word before and what follows (case,
-script; usual first words in lines all in capitals); rejected ends are out. Spans between two ends left are scored by their
-closing, by whether quotation marks and brackets are balanced in them, and against fewer than 3 characters.
-The spans of greatest total score are chosen by dynamic programming over the line; an end
-beyond doubt is a fixed point of it, so that the work stays in proportion to the line.
+Every stop of a line (in Thai, every blank) is a possible end. A segmentation of the line is a sequence of spans, and its score the
+sum of theirs. A span is scored as a whole: by its closing (the mark, the word before it, what is attached), by its opening (case,
+script and usual first words), by its length (short spans count against it), and by whether quotation marks and brackets are balanced
+in it. None of these decides alone: an abbreviation that hardly ever ends a sentence closes a span if what follows
+opens like a sentence and both sides are long enough. The spans of greatest total are chosen by semi-Markov dynamic programming.
+As the length counts up to a bound only, each end looks back over that many characters and takes the best of all before by a running
+maximum, so the work is in proportion to the line.
 """
 
 from __future__ import annotations
@@ -41,10 +43,14 @@ MAY_END = frozenset(
 )
 # The letters before the last one of spaced abbreviations, by the last.
 SPACED = {"a": ("u",), "ä": ("o",), "д": ("т",), "п": ("т",), "э": ("н",), "s": ("u",), "m": ("p", "a")}
+# Of these, those written in capitals.
+SPACED_CAPITALS = "s"
 # Words that follow ordinal numbers.
 AFTER_ORDINALS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember jahrhundert jahrhunderts jh jahrtausend mal tag auflage".split()
 )
+# Words after which an ellipsis goes on, where capitals hide how the next word begins.
+GOES_ON = frozenset("and then but or und dann aber oder et puis mais ou y luego pero o и потом но или και μετά αλλά ή".split())
 # Usual first words.
 OPENERS = frozenset(
     """
@@ -53,16 +59,18 @@ OPENERS = frozenset(
     """.split()
 )
 
+_START = re.compile(r"<|\{\{|\[|(?:https?|ftp)://|&", re.I)
 _SPAN = re.compile(
-    r"""(?P<behind><ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>|<sup>\s*\[[^<]*</sup>|<!--.*?-->
-    |\{\{(?:[^{}]|\{(?!\{)|\}(?!\})|\{\{(?:[^{}]|\{(?!\{)|\}(?!\})|\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\})*\}\})*\}\}|\{\{\{[^{}]*\}\}\}
-    |</?[A-Za-z][^<>]*>)
+    r"""(?P<behind><ref\b[^<>]*/>|<sup>\s*\[[^<]*</sup>|</?[A-Za-z][^<>]*>)
     |(?P<link>\[\[[^\[\]]*\]\]|\[(?:https?:|ftp:)?//[^\[\]]*\])
     |(?P<url>(?:https?|ftp)://[^\s<>\[\]{}|"”»]*[^\s<>\[\]{}|"”».,;:!?)])
     |(?P<blank>&nbsp;|&\#160;|&emsp;|&ensp;|&thinsp;)
     |(?P<entity>&\#?\w{1,12};)""",
     re.I | re.X,
 )
+_REF = re.compile(r"<ref\b[^<>]*[^<>/]>|<ref>", re.I)
+_REF_END = re.compile(r"</ref\s*>", re.I)
+_BRACES = re.compile(r"\{\{|\}\}")
 _HINT = re.compile(r"[<{&]|\[\[|//")
 _IN_LINK = re.compile(r"[^\w\s]|(?<=\[)https?[^\s\]]*|(?<=\[)//\S*")
 BEHIND, WORD = chr(0xE000), chr(0xE001)
@@ -72,6 +80,7 @@ _END = re.compile(f"[{MARKS}]+(?:[{_CLOSERS}]+[{MARKS}]+)*")
 _END_GREEK = re.compile(f"[{MARKS};{chr(0x37E)}]+(?:[{_CLOSERS}]+[{MARKS};{chr(0x37E)}]+)*")
 _PAIRS = re.compile("[()（）\\[\\]［］{}「」『』《》«»“”„\"]")
 _OPEN = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "「": "」", "『": "』", "《": "》", "«": "»", "„": "“”", "“": "”"}
+_OPENED_BY = {c: "".join(o for o, ends in _OPEN.items() if c in ends) for ends in _OPEN.values() for c in ends} | {'"': '"'}
 _NUMBERED = re.compile(r"\[[0-9]{1,3}\]")
 _BEFORE = re.compile(r"[^\s()（\[“”«„\"" + BEHIND + WORD + r"、，。：:,;]*\Z")
 _NEXT = re.compile(r"[\w" + chr(0x900) + "-" + chr(0x97F) + chr(0xE00) + "-" + chr(0xE7F) + r"]+")
@@ -84,44 +93,103 @@ _LOWER_CASE = re.compile(r"[a-zà-öø-ÿа-яё" + "α-ω]")
 _UPPER_CASE = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]")
 
 NARROW = chr(0xA0) + chr(0x202F)
+# Scores of spans. A boundary's closing and opening add up; below 0 it is no end unless the rest of the spans is worth it.
 SURE = 6.0
+LIKELY = 3.0
+POSSIBLE = 2.0
+DOUBTFUL = -1.0
+UNLIKELY = -2.0
 UNBALANCED = -20.0
+#: What a beginning in small letters, or with a usual first word after a doubtful closing, adds.
+SMALL = -8.0
+OPENER = 2.5
+#: Spans below ``TINY`` characters hardly are sentences; from ``SHORT`` on the length doesn't matter.
+TINY, SHORT = 3, 24
+#: Longer than any abbreviation listed, so what stands further before a stop can't change which one it is.
+LOOK_BACK = 24
+
+
+def _length(size: int) -> float:
+    """How well a span of this many characters is a sentence, from -3 to 0."""
+    return -3.0 if size < TINY else min(size / SHORT - 1.0, 0.0)
+
+
+def _templates(line: str) -> dict[int, int]:
+    """Ends of the templates that are closed in the line, by their begins, to any depth."""
+    stack: list[int] = []
+    out: dict[int, int] = {}
+    for m in _BRACES.finditer(line):
+        if m[0] == "{{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.end()
+    return out
 
 
 def _masked(line: str) -> str:
-    """The line with what can't hold an end made harmless, every character in its place."""
-
-    def safe(m: re.Match) -> str:
-        size = m.end() - m.start()
-        kind = m.lastgroup
+    """The line with what can't hold an end made harmless, every character in its place. Each closing mark is searched once."""
+    parts: list[str] = []
+    at = pos = 0
+    templates = _templates(line) if "{{" in line else {}
+    ref_end = comment_end = -1  # of the next closing mark; len(line) + 1: there is none
+    none = len(line) + 1
+    while m := _START.search(line, pos):
+        k = m.start()
+        end, kind = 0, "behind"
+        if line.startswith("{{", k):
+            end = templates.get(k, 0)
+        elif line.startswith("<!--", k):
+            if comment_end < k + 7:
+                comment_end = line.find("-->", k + 4) + 3 or none
+                comment_end = none if comment_end == 2 else comment_end
+            end = comment_end if comment_end < none else 0
+        elif line[k] == "<" and (r := _REF.match(line, k)):
+            if ref_end < r.end():
+                found = _REF_END.search(line, r.end())
+                ref_end = found.end() if found else none
+            end = ref_end if ref_end < none else r.end()
+        if not end and (x := _SPAN.match(line, k)):
+            end, kind = x.end(), x.lastgroup
+        if not end:
+            pos = k + (2 if line.startswith("{{", k) and not line.startswith("{{{", k) else 1)
+            continue
+        parts.append(line[at:k])
+        size = end - k
         if kind == "behind":
-            return BEHIND * size
-        if kind == "link":
-            return _IN_LINK.sub(lambda x: WORD * (x.end() - x.start()), m[0])
-        return (chr(0xA0) if kind == "blank" else WORD) * size
-
-    return _SPAN.sub(safe, line)
+            parts.append(BEHIND * size)
+        elif kind == "link":
+            parts.append(_IN_LINK.sub(lambda x: WORD * (x.end() - x.start()), line[k:end]))
+        else:
+            parts.append((chr(0xA0) if kind == "blank" else WORD) * size)
+        at = pos = end
+    parts.append(line[at:])
+    return "".join(parts)
 
 
 def _pairs(line: str) -> list[tuple[int, int]]:
-    """Outermost matched quotations and brackets."""
+    """Outermost matched quotations and brackets. How many of each sign are open is kept, so nothing is searched in vain."""
     stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
     found: list[tuple[int, int]] = []
     for m in _PAIRS.finditer(line):
         c, at = m[0], m.start()
         if c == '"':
-            close = any(s == '"' for s, _ in stack)
+            close = open_.get(c, 0) > 0
         elif c == "“":
-            close = any(s == "„" for s, _ in stack)
+            close = open_.get("„", 0) > 0
         else:
             close = c not in _OPEN
         if not close:
             stack.append((c, at))
+            open_[c] = open_.get(c, 0) + 1
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == c == '"' or c in _OPEN.get(stack[k][0], ""):
-                found.append((stack[k][1], at))
-                del stack[k:]
+        if not any(open_.get(o, 0) for o in _OPENED_BY.get(c, ())):
+            continue
+        while stack:
+            sign, begin = stack.pop()
+            open_[sign] -= 1
+            if sign in _OPENED_BY[c]:
+                found.append((begin, at))
                 break
     if len(found) < 2:
         return found
@@ -132,64 +200,75 @@ def _pairs(line: str) -> list[tuple[int, int]]:
     return outer
 
 
-def _closing(text: str, at: int, mark: str, end: int, capitals: bool, cjk: bool) -> float:
-    """How well a sentence may close with the mark at ``at`` and what is attached up to ``end``; -1 and less: it can't."""
+class _Words:
+    """The first word at or after a place, for places in rising order."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.found, self.none = text, None, False
+
+    def after(self, place: int) -> tuple[str, bool]:
+        """The word, and whether a full stop follows it at once; both empty without one."""
+        if not self.none and (self.found is None or self.found.start() < place):
+            self.found = _NEXT.search(self.text, place)
+            self.none = self.found is None
+        if self.none:
+            return "", False
+        return self.found[0], self.text[self.found.end() : self.found.end() + 1] == "."
+
+
+def _boundary(text: str, at: int, mark: str, end: int, follow: int, upcoming: str, stopped: bool, capitals: bool, cjk: bool) -> float:
+    """Closing of the span with the mark at ``at`` and what is attached up to ``end``, and opening of the next at ``follow``."""
     n = len(text)
     last = mark[-1]
-    follow = end
-    while follow < n and text[follow].isspace():
-        follow += 1
     if follow >= n:
         return SURE
     gap = follow > end
     if not gap and text[end] in ",:-–—/%°)]}、，：":
         return UNBALANCED
-    word = _NEXT.search(text, follow)
-    upcoming = word[0] if word and word.start() - follow <= 16 else ""
     first = upcoming[:1]
     if not first:
-        return 2.0 if gap else -1.0
+        return POSSIBLE if gap else DOUBTFUL
     small, big = first.islower() and not capitals, first.isupper()
-    dots = mark.strip(".…") == "" and mark != "."
-    if dots:
-        if cjk or small or (not gap and not big):
-            return -2.0
-        return 3.0
+    usual = upcoming.lower() in OPENERS and not small and not stopped
+    opening = SMALL if small else 0.0
+    if mark.strip(".…") == "" and mark != ".":
+        if cjk:
+            return UNBALANCED
+        last_word = _BEFORE.search(text, max(0, at - LOOK_BACK), at) if capitals else None
+        goes_on = last_word is not None and last_word[0].lower() in GOES_ON
+        return (LIKELY if gap or big else -5.0) + opening + (SMALL if goes_on else 0.0)
     if last != ".":
         if last in "。！？｡．।॥؟۔":
             if last == "．" and at and text[at - 1].isdigit() and first.isdigit() and not gap:
-                return -2.0
+                return UNLIKELY
             return SURE
-        if small:
-            return -2.0
-        return SURE if gap else 3.0
-    before = _BEFORE.search(text, max(0, at - 24), at)
+        return (SURE if gap else LIKELY) + opening
+    before = _BEFORE.search(text, max(0, at - LOOK_BACK), at)
     word_before = before[0].lower().lstrip("'’-–.¿¡") if before else ""
     tail = word_before.rpartition(".")[2].rpartition("-")[2]
+    # a lone capital is an initial, not the abbreviation that is written with the small letter
+    initial = len(tail) == 1 and not capitals and text[at - 1].isupper() and "." not in word_before
     if not gap:
-        if small or not tail:
-            return -2.0
+        if not tail:
+            return UNLIKELY
         if first.isdigit():
-            return 2.0 if len(upcoming) >= 4 and upcoming[:4].isdigit() and tail.isalpha() and len(tail) > 2 else -2.0
+            return POSSIBLE if len(upcoming) >= 4 and upcoming[:4].isdigit() and tail.isalpha() and len(tail) > 2 else UNLIKELY
         if len(tail) < 2 or word_before in NEVER or tail in NEVER or word_before in MAY_END or "." in word_before:
-            return -2.0
+            return UNLIKELY
         if not big and not cjk and (0x0900 <= ord(first) <= 0x097F):
-            return -2.0
-        return 2.0
-    if small:
-        return -2.0
-    if word_before in MAY_END or (len(tail) == 1 and _spaced(text, at, tail)):
-        score = 2.0
-        if capitals:
-            score = 2.0 if upcoming.lower() in OPENERS or first.isdigit() else -1.0
-        return score
+            return UNLIKELY
+        return POSSIBLE + opening
+    if (word_before in MAY_END and not initial) or (len(tail) == 1 and _spaced(text, at, tail) and (not initial or tail in SPACED_CAPITALS)):
+        # in capitals the case of what follows tells nothing, so it has to be a usual first word or a number
+        return (DOUBTFUL + (LIKELY if upcoming.lower() in OPENERS or first.isdigit() else 0.0) if capitals else POSSIBLE) + opening
     if word_before in NEVER or tail in NEVER:
-        return -2.0
+        # letters and what is abbreviated in several parts go on with any word
+        return UNLIKELY + (OPENER if usual and not capitals and len(tail) > 1 and "." not in word_before else 0.0) + opening
     if len(tail) == 1 and tail.isalpha() and not (0x3040 <= ord(tail) <= 0x9FFF):
-        return -2.0
+        return UNLIKELY + opening
     if tail.isdigit() and upcoming.lower() in AFTER_ORDINALS:
-        return -2.0
-    return SURE
+        return UNLIKELY + opening
+    return SURE + opening
 
 
 def _spaced(text: str, at: int, tail: str) -> bool:
@@ -218,7 +297,8 @@ def line_ends(line: str) -> list[int]:
     capitals = _LOWER_CASE.search(text) is None and _UPPER_CASE.search(text) is not None
     pairs = _pairs(text) if _PAIRS.search(text) else []
     opened = {o for o, _ in pairs}
-    # possible ends: (end, start of what follows, closing score, enclosing pair or None)
+    words = _Words(text)
+    # possible ends: (end, start of what follows, score of the boundary, enclosing pair or None)
     ends: list[tuple[int, int, float, tuple[int, int] | None]] = []
     p = 0
     if thai:
@@ -226,7 +306,9 @@ def line_ends(line: str) -> list[int]:
             a, b = text[m.start() - 1], text[m.end()]
             if any(c in ".ๆ" or c.isdigit() or c.isascii() and c.isalpha() for c in (a, b)):
                 continue
-            inside = next((q for q in pairs if q[0] < m.start() <= q[1]), None)
+            while p < len(pairs) and pairs[p][1] < m.start():
+                p += 1
+            inside = pairs[p] if p < len(pairs) and pairs[p][0] < m.start() else None
             ends.append((m.start(), m.end(), SURE, inside))
     else:
         for m in (_END_GREEK if greek else _END).finditer(text):
@@ -247,15 +329,14 @@ def line_ends(line: str) -> list[int]:
                     end += 2
                 else:
                     break
-            score = _closing(text, mark_at, mark, end, capitals, cjk)
-            while p < len(pairs) and pairs[p][1] < mark_at:
-                p += 1
-            inside = pairs[p] if p < len(pairs) and pairs[p][0] < mark_at else None
-            if score < 0:
-                continue
             start = end
             while start < n and text[start].isspace():
                 start += 1
+            upcoming, stopped = words.after(start)
+            score = _boundary(text, mark_at, mark, end, start, upcoming, stopped, capitals, cjk)
+            while p < len(pairs) and pairs[p][1] < mark_at:
+                p += 1
+            inside = pairs[p] if p < len(pairs) and pairs[p][0] < mark_at else None
             ends.append((end, start, score, inside))
     if not ends:
         return [n]
@@ -263,33 +344,37 @@ def line_ends(line: str) -> list[int]:
         ends.append((n, n, SURE, None))
     else:
         ends[-1] = (n, n, SURE, None)
-    return _best_path(text, ends)
-
-
-def _best_path(text: str, ends: list[tuple[int, int, float, tuple[int, int] | None]]) -> list[int]:
-    start0 = 0
-    best, back, fixed = [0.0], [-1], [True]  # of position k: the best total of spans that end there
-    starts = [start0] + [e[1] for e in ends]
-    for j, (end, _, score, inside) in enumerate(ends, 1):
-        top, who = -1e18, j - 1
-        i = j - 1
-        while i >= 0:
-            begin = starts[i]
-            value = best[i] + score
-            if inside is not None and not (begin == inside[0] and end > inside[1]):
-                value += UNBALANCED
-            if i and ends[i - 1][3] is not None and ends[i - 1][0] <= ends[i - 1][3][1]:
-                value += UNBALANCED  # it begins inside a quotation that the span before left open
-            if end - begin < 3 and i:
-                value -= 3.0
+    return _best_path(ends)
+
+
+def _best_path(ends: list[tuple[int, int, float, tuple[int, int] | None]]) -> list[int]:
+    """The ends of the spans of greatest total score, the last end always among them."""
+    best, back, starts = [0.0], [-1], [0]  # of place k, behind the k-th end: the best total of spans up to there
+    by_start = {0: 0}
+    far, far_who, passed = -1e18, 0, 0  # best of the places so far back that the length doesn't matter
+    for j, (end, start, boundary, pair) in enumerate(ends, 1):
+        while passed < j and end - starts[passed] >= SHORT:
+            if best[passed] > far:
+                far, far_who = best[passed], passed
+            passed += 1
+        top, who = far, far_who
+        for i in range(passed, j):
+            value = best[i] + (_length(end - starts[i]) if i else 0.0)
             if value > top:
                 top, who = value, i
-            if fixed[i]:
-                break
-            i -= 1
-        best.append(top)
+        if pair is not None:
+            top += UNBALANCED
+            i = by_start.get(pair[0])  # the whole span stands in the pair
+            if i is not None and end > pair[1]:
+                value = best[i] + (_length(end - starts[i]) if i else 0.0)
+                if value > top:
+                    top, who = value, i
+        top += boundary
+        # what begins within a pair that this span leaves open is out of balance too
+        best.append(top + UNBALANCED if pair is not None and end <= pair[1] else top)
         back.append(who)
-        fixed.append(score >= SURE and inside is None)
+        starts.append(start)
+        by_start.setdefault(start, j)
     out = []
     j = len(ends)
     while j > 0:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from stratapoint.llm import sentences as S
@@ -50,3 +52,47 @@ def test_table(spark):
     units = {(r.number, r.sentence) for r in S.sentences(df).collect() if r.doc_id == 4}
     assert units == {(1, "One."), (2, "Two")}
     assert S.sentence_ends(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def greedy(line, monkeypatch):
+    """Every stop taken or left by its own score, without a look at spans."""
+    with monkeypatch.context() as m:
+        m.setattr(S, "_best_path", lambda ends: [e for e, _, score, pair in ends if (score > 0 and (pair is None or e > pair[1])) or e == ends[-1][0]])
+        return S.line_ends(line)
+
+
+@pytest.mark.parametrize("line", [
+    "The plan was made at once. In no. The end of it came late.",  # too short for a doubtful end
+    "They read about modern art. The gallery in the old town was closed. He went on.",
+    'He told her “It was. It is.” He went on. “All of it. All.” He left.',  # only the second quotation is a whole span
+    "Sie kam im Dez. Die Stadt am Fluss war leer. Am Abend ging sie fort.",
+])
+def test_spans_against_single_ends(line, monkeypatch):
+    want = {
+        "The plan": ["once.", "In no. The end of it came late."], "They read": ["art.", "closed.", "on."], "He told": ["He went on.", "All.”", "left."], "Sie kam": ["Dez.", "leer.", "fort."],
+    }[" ".join(line.split()[:2])]
+    ends = S.line_ends(line)
+    got = [line[a:b].strip() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert len(got) == len(want) and all(g.endswith(w) for g, w in zip(got, want, strict=True))
+    if line.startswith(("The plan", "He told")):
+        assert greedy(line, monkeypatch) != ends
+
+
+def test_initials_are_no_abbreviations():
+    for case in ("В 1635 году карта при К. Г. Лесбор была стала.¦ Это было в 1976 г.¦ Конец.", "It was built with A. M. Kastar at 5 p. m.¦ The end.", "U. A. Berg kam nach Halle u. a.¦ Die Stadt.", "AND THEN... THE END.¦ IT WAS."):
+        parts = case.split("¦")
+        assert [sum(map(len, parts[: k + 1])) for k in range(len(parts))] == S.line_ends("".join(parts))
+
+
+LONG = [
+    "x. " * 100_000, "a." * 100_000, "(" + "X. " * 100_000 + ")", "“" * 60_000 + "A. " * 60_000, "(" * 60_000 + "] " * 60_000 + "x.", "<ref>a. " * 60_000, "{{a. " * 60_000, "<!-- a. " * 60_000, '"A. ' * 60_000,
+    "ก " * 100_000, "。" * 100_000, ". , " * 60_000, "[[a. " * 60_000, "<a. " * 60_000, "http://a.b.c " * 30_000, "A.) " * 60_000, "...)" * 60_000, "etc. (" * 60_000,
+]
+
+
+@pytest.mark.parametrize("line", LONG, ids=[x[:8] for x in LONG])
+def test_long_lines_take_linear_time(line):
+    line = line.rstrip()
+    began = time.time()
+    ends = S.line_ends(line)
+    assert time.time() - began < 6 and ends[-1] == len(line) and ends == sorted(set(ends))
