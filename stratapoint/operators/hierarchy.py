@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratapoint.session import cut_counted
 
 #: Rows of one key that are no burden to one task. Beyond it keys are counted before a join.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 200_000
 #: A pointer that more than one in HOT rows share is looked up by broadcast: there are fewer than HOT such pointers.
 HOT = 1000
 

@@ -102,12 +102,17 @@ def parse_strict(text: str) -> object:
 
 
 def _error_milli(tile: dict) -> int:
+    """Thousandths, halves away from zero; -1 without a number. What is beyond a long is the nearest long."""
     e = tile.get("geometricError")
     if isinstance(e, str):
         e = float(e) if _DECIMAL.fullmatch(e) else None
-    if isinstance(e, bool) or not isinstance(e, int | float) or abs(e) > 9e15:
+    if isinstance(e, bool) or not isinstance(e, int | float):
         return -1
-    return round(e * 1000)
+    m = e * 1000
+    if abs(m) >= 2**63:
+        return 2**63 - 1 if m > 0 else -(2**63)
+    whole = int(m)
+    return whole + (m > 0) - (m < 0) if abs(m - whole) == 0.5 else round(m)
 
 
 def _uris(tile: dict) -> list[str]:
@@ -174,7 +179,8 @@ def node_table(tilesets: DataFrame) -> DataFrame:
 
     A null document or one that is no strict JSON (NaN and Infinity are none), or without an object as root, gives no rows.
     Foreign members (extras, extensions) are not searched. Mistyped members count as absent; entries of children that are no
-    objects are no tiles but keep their place.
+    objects are no tiles but keep their place. A geometricError is rounded with halves away from zero, and one whose
+    thousandths are beyond a long is the nearest long.
     """
     docs = newest(tilesets.select("tileset_id", "loaded_at", "doc"), "tileset_id", "loaded_at").where("doc is not null")
     return docs.select("tileset_id", "doc").mapInPandas(_flatten, NODES)

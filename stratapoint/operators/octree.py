@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratapoint.functions import geometry as G
+from stratapoint.operators.proximity import pairs_within
 from stratapoint.session import cut_lineage, spread
 
 AXES = ("x", "y", "z")
 LEAF_CAPACITY = 20_000
 PRUNE_BELOW = 100
 MIN_SPACING = 0.001
-MAX_LEVEL = 30
 #: A place that more than one in STACK_SHARE points share is handled apart.
 STACK_SHARE = 1000
 WORKING = ("node", "cell", "kept", "lx", "ly", "lz", "inner_node", "_d")
@@ -42,6 +42,11 @@ class Root:
     def spacing(self) -> float:
         return math.dist(self.low, self.high) / 125
 
+    @property
+    def last_level(self) -> int:
+        """The level whose spacing is at the limit: its nodes keep all points."""
+        return max(1, math.ceil(math.log2(self.spacing / (MIN_SPACING * self.scale))))
+
     def sizes(self, level: int) -> tuple[float, float, float]:
         size = [b - a for a, b in zip(self.low, self.high, strict=True)]
         for k in range(level):
@@ -129,14 +134,11 @@ def first_of_cells(points: DataFrame, arrival: Sequence[str]) -> DataFrame:
 
 
 def conflict_pairs(points: DataFrame, key: str, distance: float) -> DataFrame:
-    """Pairs of points of one (node, cell) nearer than ``distance``, by an equi-join on cells of that edge around each point."""
-    fine = points.withColumns({f"f{v}": F.floor(F.col(v).cast("double") / distance) for v in AXES})
-    left = fine.select("node", "cell", *[F.col(f"f{v}") for v in AXES], F.col(key).alias("a"), *[F.col(v).cast("double").alias(f"a{v}") for v in AXES])
-    right = fine.select("node", "cell", F.col(key).alias("b"), *[F.col(v).cast("double").alias(f"b{v}") for v in AXES], *[F.explode(F.sequence(F.col("fx") - 1, F.col("fx") + 1)).alias("fx")], "fy", "fz")
-    for v in ("fy", "fz"):
-        right = right.withColumn(v, F.explode(F.sequence(F.col(v) - 1, F.col(v) + 1)))
-    met = left.join(right, ["node", "cell", "fx", "fy", "fz"]).where("a < b")
-    return met.where(sum((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in AXES) < distance * distance).select("node", "cell", "a", "b")
+    """Pairs (node, cell, a, b) of points of one (node, cell) nearer than ``distance``, by the near-points operator, which
+    splits crowded places. ``key`` is unique."""
+    placed = points.select(F.col(key).alias("id"), F.struct("node", "cell").alias("group"), *[F.col(v).cast("double").alias(v) for v in AXES])
+    pairs = pairs_within(placed, distance, tell=True, strict=True)
+    return pairs.select("group.node", "group.cell", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 # ---- level of detail ----
@@ -183,7 +185,8 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
 
     Level by level: nodes with fewer than ``leaf_capacity`` points, or whose spacing is at the limit, keep all of theirs; the
     others keep, cell by cell and in arrival order, each point at least ``spacing`` from those kept, and hand the rest to their
-    children. The root keeps none. Points with a null or NaN coordinate are left out; an empty table gives none. Input columns
+    children. The root keeps none. A node's diagonal is 125 spacings, so one of 3 x 3 x 3 cells holds at most some 22 000 points a
+    spacing apart, and finer cells are never called for. Points with a null or NaN coordinate are left out; an empty table gives none. Input columns
     named like the working ones (``WORKING``) are dropped.
     """
     points = points.drop(*WORKING)
@@ -192,7 +195,7 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
         ok = ok & F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
     columns = points.columns
     placed = points.where(ok).withColumns({v: F.col(v).cast("float") for v in AXES})
-    placed, tail, stacks = _set_stacks_apart(placed, arrival)
+    placed, tail, stacks = _set_stacks_apart(placed, arrival, root.last_level)
     pending = cut_lineage(with_nodes(placed, root, 1))
     stacks = None if stacks is None else cut_lineage(with_nodes(stacks, root, 1))
     done: DataFrame | None = None
@@ -203,7 +206,7 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
         counts = pending.groupBy("node").count()
         if stacks is not None:
             counts = counts.unionByName(stacks.select("node", F.col("n").alias("count"))).groupBy("node").agg(F.sum("count").alias("count"))
-        last = spacing <= MIN_SPACING * root.scale or level >= MAX_LEVEL
+        last = level >= root.last_level
         internal = cut_lineage(counts.where(F.lit(not last) & (F.col("count") >= leaf_capacity)).select(F.col("node").alias("inner_node")))
         n = internal.count()
         if n == 0:
@@ -230,7 +233,7 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
         level += 1
 
 
-def _set_stacks_apart(placed: DataFrame, arrival: Sequence[str]) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def _set_stacks_apart(placed: DataFrame, arrival: Sequence[str], levels: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(points to thin, the rest, its places with their counts), where one place holds more than a thousandth of all points.
 
     Of points at one place a node keeps at most one, the first that arrived, so no more than one a level is ever kept above the
@@ -241,7 +244,7 @@ def _set_stacks_apart(placed: DataFrame, arrival: Sequence[str]) -> tuple[DataFr
     bucket = F.pmod(F.xxhash64(*AXES), F.lit(65_536))
     sizes = cut_lineage(placed.groupBy(bucket.alias("_b")).count())
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    least = max(total / STACK_SHARE, 2 * MAX_LEVEL)
+    least = max(total / STACK_SHARE, 2 * levels)
     full = sizes.where(F.col("count") > least).select("_b")
     if full.isEmpty():
         return placed, None, None
@@ -251,7 +254,7 @@ def _set_stacks_apart(placed: DataFrame, arrival: Sequence[str]) -> tuple[DataFr
         return placed, None, None
     stacked = placed.join(F.broadcast(places), list(AXES), "left_semi")
     order = F.struct(*arrival)
-    first = stacked.withColumn("_r", F.row_number().over(Window.partitionBy(*AXES).orderBy(*arrival))).where(F.col("_r") <= MAX_LEVEL + 1)
+    first = stacked.withColumn("_r", F.row_number().over(Window.partitionBy(*AXES).orderBy(*arrival))).where(F.col("_r") <= levels + 1)
     until = cut_lineage(first.groupBy(*AXES).agg(F.max(order).alias("_until")))
     marked = placed.join(F.broadcast(until), list(AXES), "left")
     thin = marked.where(F.col("_until").isNull() | (order <= F.col("_until"))).select(*placed.columns)
@@ -306,13 +309,23 @@ def tile_tree(shown: DataFrame, root: Root) -> DataFrame:
         *[F.coalesce(F.max(F.when(F.col("up") == F.col("node"), F.col(f"max_{v}"))), F.max(f"max_{v}")).alias(f"max_{v}") for v in AXES],
     )
     level = F.length("up")
-    error = F.when(F.col("deepest") == level, F.lit(0.0)).otherwise(F.lit(10 * root.spacing / root.scale) / F.pow(F.lit(2.0), level))
+    error = F.when(F.col("deepest") == level, F.lit(0.0)).otherwise(node_error(root, level))
     return all_nodes.select(
         F.col("up").alias("node"), F.when(level > 0, F.substring("up", F.lit(1), level - 1)).alias("parent"), level.alias("level"), "n", error.alias("geometric_error"),
         *[f"min_{v}" for v in AXES], *[f"max_{v}" for v in AXES], (F.col("n") > 0).alias("has_content"),
     )
 
 
+def node_spacing(root: Root, level: Column) -> Column:
+    """Spacing of the nodes of a level: half of the level above."""
+    return F.lit(root.spacing) / F.pow(F.lit(2.0), level)
+
+
+def node_error(root: Root, level: Column) -> Column:
+    """Geometric error of the tiles of a level that have children: ten spacings in the source's units."""
+    return node_spacing(root, level) * 10 / root.scale
+
+
 def ready_nodes(nodes: DataFrame, active: DataFrame) -> DataFrame:
     """Nodes of which no active node is an ancestor (or the node itself): they are final and may be written.
 
@@ -335,28 +348,38 @@ def first_per_tile(features: DataFrame, tile: Sequence[str], order: Sequence[Col
     return features.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
-def feature_quadtree(features: DataFrame, edge: float, keep: int = 20, max_level: int = 20) -> DataFrame:
-    """features: id, x, y, weight. The tile that shows each feature: a top grid of ``edge``, and below it halves.
+def feature_quadtree(features: DataFrame, edge: float, keep: int = 20) -> DataFrame:
+    """features: id (unique), x, y, weight. The tile that shows each feature: a top grid of ``edge``, and below it halves.
 
     Each tile shows its ``keep`` heaviest (ties by id) and hands the rest to its four children; one window a level. Equal
-    places never part, so the last level shows all it gets.
+    places never part, so a tile whose features all stand at one place shows them all. Features with a null or NaN coordinate
+    are left out.
     """
-    pending = features.withColumns({"level": F.lit(0), "tx": F.floor(F.col("x") / edge), "ty": F.floor(F.col("y") / edge)})
+    ok = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
+    pending = features.where(ok).withColumns({"level": F.lit(0), "tx": F.floor(F.col("x") / edge), "ty": F.floor(F.col("y") / edge)})
     done = None
     order = [F.col("weight").desc_nulls_last(), F.col("id")]
-    for level in range(max_level + 1):
+    level = 0
+    while True:
         pending = cut_lineage(pending)
+        place = F.struct("x", "y")
+        sizes = pending.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+        single = cut_lineage(sizes.where((F.col("n") > keep) & (F.col("a") == F.col("b"))).select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty")))
+        here = (F.col("tx") == F.col("_tx")) & (F.col("ty") == F.col("_ty"))
+        parted = pending
+        if not single.isEmpty():
+            stacked = pending.join(single, here, "left_semi")
+            parted = pending.join(single, here, "left_anti")
+            done = stacked if done is None else done.unionByName(stacked)
         # a rank with a limit: Spark takes each task's first ones before the shuffle, so a tile of very many features is no load
-        shown = pending if level == max_level else cut_lineage(first_per_tile(pending, ["tx", "ty"], order, keep).drop("rank"))
+        shown = cut_lineage(first_per_tile(parted, ["tx", "ty"], order, keep).drop("rank"))
         done = shown if done is None else done.unionByName(shown)
-        if level == max_level:
-            return done
-        rest = pending.join(shown.select(F.col("id").alias("_shown")), F.col("id") == F.col("_shown"), "left_anti")
+        rest = parted.join(shown.select(F.col("id").alias("_shown")), F.col("id") == F.col("_shown"), "left_anti")
         if rest.isEmpty():
             return done
-        e = edge / 2 ** (level + 1)
-        pending = rest.withColumns({"level": F.lit(level + 1), "tx": F.floor(F.col("x") / e), "ty": F.floor(F.col("y") / e)})
-    return done
+        level += 1
+        e = edge / 2**level
+        pending = rest.withColumns({"level": F.lit(level), "tx": F.floor(F.col("x") / e), "ty": F.floor(F.col("y") / e)})
 
 
 def seeded_sample(points: DataFrame, per_file: DataFrame, file: str, arrival: Sequence[str], seed: int) -> DataFrame:
@@ -376,11 +399,3 @@ def seeded_sample(points: DataFrame, per_file: DataFrame, file: str, arrival: Se
     draws = totals.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("take").cast("int"))))
     draws = draws.withColumn("_n", F.pmod(F.xxhash64(F.lit(seed), F.col(file), F.col("_i")), F.col("_total"))).select(file, "_n")
     return draws.join(numbered, [file, "_n"]).drop("_b", "_k", "_n", "_start")
-
-
-def cells_for(fullest: int, limit: int = 100_000, most: int = 8) -> int:
-    """Cells a side of a node's grid, 3 or more, so that its fullest cell of three stays below ``limit`` if spread evenly."""
-    cells = 3
-    while cells < most and fullest * (3 / cells) ** 3 > limit:
-        cells += 1
-    return cells

@@ -52,9 +52,9 @@ def _mark(df: DataFrame, keys: DataFrame | None, name: str) -> DataFrame:
     return join_dimension(df, keys.withColumnRenamed("n", name), "cell", "left")
 
 
-def pairs_within(points: DataFrame, radius: float, tell: bool = False) -> DataFrame:
-    """points: id (unique), group, x, y, z. All pairs of one group at most ``radius`` apart: id_a < id_b and, if asked to tell,
-    ``sure``: whether an inside cell accepted the pair without a test.
+def pairs_within(points: DataFrame, radius: float, tell: bool = False, strict: bool = False) -> DataFrame:
+    """points: id (unique), group, x, y, z. All pairs of one group at most ``radius`` apart (``strict``: nearer than it): id_a
+    < id_b and, if asked to tell, the group and ``sure``: whether an inside cell accepted the pair without a test.
 
     Points with a null, NaN or infinite coordinate or a null id or group have no place. The covering of a point's ball: the
     cell of the last level that holds the point is inside, and points that share it are pairs by the equi-join alone. Around it
@@ -134,7 +134,7 @@ def pairs_within(points: DataFrame, radius: float, tell: bool = False) -> DataFr
     distance = sum((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in AXES)
     for h, c in zip(home_parts, cover_parts, strict=True):  # cells of different levels never meet
         joined = h.join(c, ["cell", "salt"]).where((F.col("ga") == F.col("gb")) & (F.col("forward") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
-        exact, hit = distance <= radius * radius, F.lit(False)
+        exact, hit = distance < radius * radius if strict else distance <= radius * radius, F.lit(False)
         if "inside" in c.columns:
             hit = F.col("inside")
             for v, k in zip(AXES, cells, strict=True):
@@ -142,13 +142,13 @@ def pairs_within(points: DataFrame, radius: float, tell: bool = False) -> DataFr
             exact = F.when(hit, True).otherwise(exact)
         else:
             exact = exact & apart
-        found.append(joined.where(exact).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), hit.alias("sure")))
+        found.append(joined.where(exact).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), F.col("ga").alias("group"), hit.alias("sure")))
     if not placed.where(_beyond("", FARTHEST)).isEmpty():
-        found.append(_far_pairs(placed, radius).withColumn("sure", F.lit(False)))
+        found.append(_far_pairs(placed, radius, strict).withColumn("sure", F.lit(False)))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out if tell else out.drop("sure")
+    return out if tell else out.drop("group", "sure")
 
 
 def _same_cell(edge: float) -> Column:
@@ -169,14 +169,14 @@ def _sharing(points: DataFrame, edge: float, level: int, crowded: DataFrame | No
     same = F.col("a_id") < F.col("b_id")
     for c in of[1:]:
         same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-    return a.join(b, ["cell", "salt"]).where(same).select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), F.lit(True).alias("sure"))
+    return a.join(b, ["cell", "salt"]).where(same).select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), F.col("a_group").alias("group"), F.lit(True).alias("sure"))
 
 
 def _beyond(side: str, least: float) -> Column:
     return F.greatest(*[F.abs(f"{side}{v}") for v in AXES]) >= least
 
 
-def _far_pairs(points: DataFrame, radius: float) -> DataFrame:
+def _far_pairs(points: DataFrame, radius: float, strict: bool) -> DataFrame:
     """Pairs of which a point is beyond ``FARTHEST``. Cells of two radii stay doubles, so neighbours may be the same cell."""
     near_or_beyond = points.where(_beyond("", FARTHEST - 2 * radius))
     cells = [f"c{v}" for v in AXES]
@@ -195,7 +195,8 @@ def _far_pairs(points: DataFrame, radius: float) -> DataFrame:
         same = same & (F.col(f"a{k}") == F.col(f"b{k}"))
     distance = sum((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in AXES)
     joined = h.join(c, ["cell", "salt"]).where(same & (F.col("aid") < F.col("bid")) & (_beyond("a", FARTHEST) | _beyond("b", FARTHEST)))
-    return joined.where(distance <= radius * radius).select(F.col("aid").alias("id_a"), F.col("bid").alias("id_b"))
+    near = distance < radius * radius if strict else distance <= radius * radius
+    return joined.where(near).select(F.col("aid").alias("id_a"), F.col("bid").alias("id_b"), F.col("agroup").alias("group"))
 
 
 # ---- polygons ----

@@ -132,10 +132,20 @@ def tokenize(lines: pa.Array, separators: list[str]) -> tuple[np.ndarray, np.nda
     return count, error_at, first_field, fields
 
 
-def _whole(text: str) -> int:
-    """A whole number; one of more than ten digits is only told to be too large."""
-    digits = text.lstrip("+0")
-    return int(digits or "0") if len(digits) <= 10 else 2**62
+def _decimals(texts: pa.Array) -> np.ndarray:
+    """Decimal numbers as doubles; those beyond are infinite."""
+    plain = pc.replace_substring_regex(texts, r"^\+", "")
+    try:
+        return pc.cast(plain, pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # some number is too large for the fast way
+        return np.array([float(t) for t in plain.to_pylist()], np.float64)
+
+
+def _wholes(texts: pa.Array) -> np.ndarray:
+    """Whole numbers; one of more than ten digits is only told to be too large."""
+    digits = pc.replace_substring_regex(texts, r"^\+?0*([0-9])", r"\1")
+    large = pc.greater(pc.binary_length(digits), 10)
+    return pc.cast(pc.if_else(large, pa.scalar(str(2**62), digits.type), digits), pa.int64()).to_numpy(zero_copy_only=False)
 
 
 def _read_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -157,13 +167,12 @@ def _read_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         # bytes that are no valid text can't match either; fields of records come from valid strings
         part = part.cast(pa.large_string())
         ok = pc.match_substring_regex(part, DECIMAL if k < 4 else WHOLE).to_numpy(zero_copy_only=False) & have
-        texts = np.array(part.to_pylist(), object)
-        parsed = np.zeros(len(good), np.float64 if k < 4 else object)
-        parsed[ok] = [float(t) if k < 4 else _whole(t) for t in texts[ok]]
+        parsed = np.zeros(len(good), np.float64 if k < 4 else np.int64)
+        parsed[ok] = (_decimals if k < 4 else _wholes)(part.filter(pa.array(ok)))
         if k < 4:
             ok &= np.isfinite(parsed)
         else:
-            ok &= np.array(parsed <= (255 if k < 7 else 4294967295), bool)
+            ok &= parsed <= (255 if k < 7 else 4294967295)
         wrong = ~ok & ~bad & have
         field[good[wrong]] = name
         bad |= wrong

@@ -6,12 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratapoint.functions import geometry as G
 from stratapoint.operators.hierarchy import carry_down, fold_below, resolve_hierarchy
-from stratapoint.session import cut_lineage
+from stratapoint.session import cut_lineage, numbered
 
 
 def children(tiles: DataFrame) -> DataFrame:
@@ -138,12 +138,9 @@ def batch_offsets(fields: DataFrame, table: str, order: str) -> DataFrame:
 
 
 def class_instances(rows: DataFrame, class_id: str, order: Sequence[Column]) -> DataFrame:
-    """Dense instance numbers over (class, order), from 0: counts per class first, so no task numbers all rows."""
-    sizes = rows.groupBy(class_id).count()
-    before = Window.orderBy(class_id).rowsBetween(Window.unboundedPreceding, -1)  # one row a class
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy(class_id).orderBy(*order)
-    return rows.join(F.broadcast(starts), class_id).withColumn("instance", F.row_number().over(inside) - 1 + F.col("_start")).drop("_start")
+    """Dense instance numbers over (class, order), from 0. Rows are cut into ranges of that order, so neither a class of very
+    many rows nor very many classes meet in one task. Rows without a class are left out."""
+    return numbered(rows.where(F.col(class_id).isNotNull()), "instance", class_id, *order)
 
 
 def sync_boxes(tiles: DataFrame) -> DataFrame:

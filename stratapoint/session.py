@@ -7,7 +7,7 @@ import tempfile
 import threading
 import zipfile
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -118,7 +118,7 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, how: str =
     return picked.join(salted, [key, "_salt"], how).drop("_salt")
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with ``name``: each row's place (from 0) in the order of the columns, without one task that sees all rows.
 
     Rows are cut into ranges of the order and written; the rows of each range are counted (one number a range) and the counts

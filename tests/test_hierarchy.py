@@ -61,3 +61,41 @@ def test_hot_pointers_take_the_broadcast_way(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "HOT", 2)
     links = [(0, None), (1, 0)] + [(i, 1) for i in range(2, 400)] + [(i, i - 1) for i in range(400, 420)]
     assert run(spark, links) == brute(links)
+
+
+def test_stars_are_split(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "TASK_ROWS", 20)
+    monkeypatch.setattr(hierarchy, "HOT", 10)
+    for top in ([], [(0, None)], [(0, 0)], [(0, 1), (1, 0)]):  # orphaned, rooted, on circles
+        two_steps = [(k, 0) for k in range(10, 70)] + [(k, k - 100) for k in range(110, 170)] + [(k, 10) for k in range(200, 260)]
+        links = top + two_steps
+        assert run(spark, links) == brute(links)
+
+
+def test_folds_and_inheritance_equal_plain_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(0, None)] + [(k, rng.choice([rng.randrange(k), k - 1])) for k in range(1, 150)] + [(200, 999), (201, 200), (300, 301), (301, 300), (302, 301), (303, 302), (400, -1)]
+    values = {i: rng.choice([None, float(rng.randrange(100))]) for i, _ in links}
+    up = dict(links)
+    below = {i: [] for i, _ in links}
+    for i in up:
+        at, seen = up[i], set()
+        while at in up and at not in seen:
+            seen.add(at)
+            below[at].append(values[i])
+            at = up[at]
+    df = spark.createDataFrame([(i, p, values[i], 1) for i, p in links], "id long, parent long, v double, one long")
+    for limit in (200_000, 20):
+        monkeypatch.setattr(hierarchy, "TASK_ROWS", limit)
+        got = {r.id: (r.below_v, r.below_one, r.low) for r in hierarchy.fold_below(df.withColumn("low", df.v), {"v": "max", "one": "sum", "low": "min"}).withColumnRenamed("below_low", "l").drop("low").withColumnRenamed("l", "low").collect()}
+        assert set(got) == {i for i, _ in links if not 300 <= i < 400}
+        for i, (most, count, least) in got.items():
+            known = [v for v in below[i] if v is not None]
+            assert (most, count, least) == (max(known, default=None), len(below[i]) or None, min(known, default=None))
+        carried = {r.id: r.v for r in hierarchy.carry_down(df, "v").collect()}
+        for i in up:
+            at, seen = i, set()
+            while at in up and values[at] is None and at not in seen:
+                seen.add(at)
+                at = up[at]
+            assert carried[i] == (values[at] if at in up else None)

@@ -62,5 +62,10 @@ def test_intervals_hold_each_other(spark):
     assert [(r["tile_path"], r["uri"]) for r in c] == [("root/0/1", "u")]
 
 
+def test_errors_round_halves_away_and_end_at_a_long():
+    for given, want in ((0.0125, 13), (-0.0125, -13), (0.0135, 14), ("0.0125", 13), (0.0124, 12), (9.1e15, 9100000000000000000), (1e16, 2**63 - 1), (-1e16, -(2**63)), ("1e999", 2**63 - 1), (10**30, 2**63 - 1), (7, 7000), (0, 0), (True, -1), ("x", -1), (None, -1)):
+        assert nested._error_milli({"geometricError": given}) == want
+
+
 def test_empty(spark):
     assert found(spark, []) == set()

@@ -114,3 +114,14 @@ def test_short_layouts(spark):
     got = read(spark, [(1, 1, 1, "1;2;3", "")], [(1, ";", 3, None, "")])
     assert got[1]["reason"] is None and got[1]["z"] == 3 and got[1]["intensity"] is None and not math.isnan(got[1]["x"])
     assert re.fullmatch(records.DECIMAL, "5.") and not re.fullmatch(records.DECIMAL, ".")
+
+
+def test_numbers_at_the_edges():
+    import pyarrow as pa
+
+    from stratapoint.operators import records as R
+
+    texts = ["+1", "-.5", "1.", "007.25", "1e5", "1E-400", "0", "123456789012345678901234567890"]
+    assert R._decimals(pa.array(texts, pa.large_string())).tolist() == [float(t) for t in texts]
+    assert R._decimals(pa.array([*texts, "1e999", "-1e999"], pa.large_string())).tolist() == [float(t) for t in [*texts, "1e999", "-1e999"]]
+    assert R._wholes(pa.array(["0", "000", "+007", "4294967295", "0004294967296", "9" * 40], pa.large_string())).tolist() == [0, 0, 7, 4294967295, 4294967296, 2**62]
