@@ -199,3 +199,17 @@ def reproject(points: DataFrame, source: int | str | None, target: int | str | N
 
     moved = points.withColumn("_moved", move(x.cast("double"), y.cast("double"), z.cast("double")))
     return moved.withColumns({v: F.col(f"_moved.{v}") for v in "xyz"}).drop("_moved")
+
+
+def in_use(files: DataFrame, file: str, crs: str) -> DataFrame:
+    """crs, files: the reference systems that files name, and how many files each. Files without one are left out."""
+    named = files.where(F.col(crs).isNotNull() & F.col(file).isNotNull()).select(F.col(crs).alias("crs"), file).distinct()
+    return named.groupBy("crs").agg(F.count(F.lit(1)).alias("files"))
+
+
+def the_one(files: DataFrame, file: str, crs: str) -> str | None:
+    """The reference system of all files that name one; None if none does, MixedCrs if they differ."""
+    found = in_use(files, file, crs).orderBy("crs").limit(3).collect()  # three are enough to tell
+    if len(found) > 1:
+        raise MixedCrs("files of several reference systems: " + ", ".join(f"{r.crs} ({r.files} files)" for r in found))
+    return found[0].crs if found else None

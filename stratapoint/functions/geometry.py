@@ -156,3 +156,29 @@ def task_depth(name: Column) -> Column:
     """Levels below a node that one task may handle, by the length of its name."""
     n = F.length(name)
     return F.when(n == 0, 0).when(n <= 2, 1).when(n <= 4, 2).when(n <= 6, 3).otherwise(5)
+
+
+def in_tile(point: Sequence[Column], low: Sequence[Column | float], high: Sequence[Column | float]) -> Column:
+    """Whether a point stands in a tile: at the lower bounds or above, and below the upper ones."""
+    inside = F.lit(True)
+    for p, a, b in zip(point, low, high, strict=True):
+        inside = inside & (p >= a) & (p < b)
+    return inside
+
+
+#: What names of classes and properties look like.
+IDENTIFIER = "^[a-zA-Z_][a-zA-Z0-9_]*$"
+
+
+def is_identifier(name: Column) -> Column:
+    return name.rlike(IDENTIFIER)
+
+
+def mangled(name: Column) -> Column:
+    """The attribute name of a property: a line below and capitals."""
+    return F.concat(F.lit("_"), F.upper(name))
+
+
+def plain(attribute: Column) -> Column:
+    """The property name of an attribute: small letters without the line below in front."""
+    return F.lower(F.regexp_replace(attribute, "^_", ""))

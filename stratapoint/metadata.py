@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import types as T
 
 from stratapoint.errors import InvalidMetadata
+from stratapoint.functions.geometry import IDENTIFIER
 
 # Component types and the numbers each composite type holds.
 COMPONENTS = {
@@ -15,11 +16,10 @@ COMPONENTS = {
     "INT64": T.LongType(), "UINT64": T.DecimalType(20, 0), "FLOAT32": T.FloatType(), "FLOAT64": T.DoubleType(),
 }
 SIZES = {"SCALAR": 1, "VEC2": 2, "VEC3": 3, "VEC4": 4, "MAT2": 4, "MAT3": 9, "MAT4": 16}
-_IDENTIFIER = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
 
 def check_identifier(name: str) -> str:
-    if name and not _IDENTIFIER.fullmatch(name):
+    if name and not re.search(IDENTIFIER, name.replace("\n", " ")):
         raise InvalidMetadata(f"{name!r} is no identifier")
     return name
 

@@ -268,9 +268,11 @@ def near_pairs(vertices: DataFrame, distance: float) -> DataFrame:
 @dataclass(frozen=True)
 class Options:
     preserve_border: bool = False
-    preserve_seams: bool = False  # vertices at one place with other attributes stay
+    preserve_seams: bool = False  # vertices at one place with other attributes stay, on borders or not
+    preserve_foldovers: bool = False  # vertices that were welded stay
     preserve_curvature: bool = False
-    link_distance: float = 0.0  # border vertices nearer than this are welded first
+    link: bool = True  # border vertices at one place belong together
+    link_distance: float = 100 * 2.0**-52  # and so do those this far apart
     max_iterations: int = 100
     aggressiveness: float = 7.0
     rebuild_every: int = 5
@@ -308,18 +310,29 @@ def _border_quadrics(points: np.ndarray, faces: np.ndarray) -> np.ndarray:
     return out
 
 
-def _weld(points: np.ndarray, faces: np.ndarray, distance: float) -> np.ndarray:
-    border = _border(points, faces)
-    at = np.nonzero(border)[0]
-    order = at[np.argsort(points[at, 0], kind="stable")]
-    to = np.arange(len(points))
-    for k, i in enumerate(order):
-        for j in order[k + 1 :]:
-            if points[j, 0] - points[i, 0] > distance:
-                break
-            if to[j] == j and ((points[i] - points[j]) ** 2).sum() <= distance * distance:
-                to[j] = to[i]
-    return to[faces]
+def _link(points: np.ndarray, faces: np.ndarray, attributes: np.ndarray | None, distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Border vertices within ``distance`` of each other: (faces, seam, foldover).
+
+    Those with the same attributes are welded (foldover); others stay two (seam), as each side keeps its attributes. Only the
+    vertices of neighbouring cells of that size are compared.
+    """
+    to, seam, foldover = np.arange(len(points)), np.zeros(len(points), bool), np.zeros(len(points), bool)
+    cells: dict[tuple, list[int]] = {}
+    for i in np.nonzero(_border(points, faces))[0].tolist():
+        home = np.floor(points[i] / distance)  # far from the origin a cell is one place
+        around = {(x, y, z) for x in (home[0] - 1, home[0], home[0] + 1) for y in (home[1] - 1, home[1], home[1] + 1) for z in (home[2] - 1, home[2], home[2] + 1)}
+        welded = False
+        for j in (j for c in around for j in cells.get(c, ())):
+            if ((points[i] - points[j]) ** 2).sum() > distance * distance:
+                continue
+            if attributes is not None and not np.array_equal(attributes[i], attributes[j]):
+                seam[[i, j]] = True
+            elif not welded:
+                to[i], welded = j, True
+                foldover[j] = True
+        if not welded:
+            cells.setdefault(tuple(home), []).append(i)
+    return to[faces], seam, foldover
 
 
 def _edges(faces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,19 +365,23 @@ def _targets(points: np.ndarray, q: np.ndarray, edges: np.ndarray, border: np.nd
     return where, np.abs(error)
 
 
-def _turns_over(points: np.ndarray, faces: np.ndarray, around: set[int], gone: set[int], moved: tuple[int, int], to: np.ndarray) -> bool:
-    for f in around - gone:
-        tri = faces[f]
-        p = points[tri]
-        before = np.cross(p[1] - p[0], p[2] - p[0])
-        r = np.array([to if v in moved else points[v] for v in tri])
-        u, v = r[1] - r[0], r[2] - r[0]
-        after = np.cross(u, v)
-        lengths = np.linalg.norm(u) * np.linalg.norm(v)
-        size = np.linalg.norm(after)
-        if lengths == 0 or size < 1e-3 * lengths or before @ after < 0.2 * np.linalg.norm(before) * size:
-            return True
-    return False
+def _across(p: np.ndarray) -> np.ndarray:
+    """Normals, as long as twice the area, of triangles (n, 3, 3)."""
+    u, v = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    return u[:, [1, 2, 0]] * v[:, [2, 0, 1]] - u[:, [2, 0, 1]] * v[:, [1, 2, 0]]
+
+
+def _turns_over(points: np.ndarray, faces: np.ndarray, left: list[int], moved: tuple[int, int], to: np.ndarray) -> bool:
+    """Whether one of the faces left would turn over or collapse if two of its corners moved."""
+    if not left:
+        return False
+    tri = faces[left]
+    p = points[tri]
+    r = np.where(((tri == moved[0]) | (tri == moved[1]))[:, :, None], to, p)
+    before, after = _across(p), _across(r)
+    lengths = np.sqrt((((r[:, 1] - r[:, 0]) ** 2).sum(axis=1)) * ((r[:, 2] - r[:, 0]) ** 2).sum(axis=1))
+    size = np.sqrt((after * after).sum(axis=1))
+    return bool(((lengths == 0) | (size < 1e-3 * lengths) | ((before * after).sum(axis=1) < 0.2 * np.sqrt((before * before).sum(axis=1)) * size)).any())
 
 
 def decimate(points: np.ndarray, faces: np.ndarray, target: int, options: Options = Options(), attributes: np.ndarray | None = None, fixed_threshold: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -372,43 +389,54 @@ def decimate(points: np.ndarray, faces: np.ndarray, target: int, options: Option
 
     Each round collapses edges whose error is under a threshold that grows from round to round (or stays fixed) and whose
     faces no other collapse of the round has touched, until ``target`` faces are left. Attributes (n, k) of another length than
-    the points are left out. No triangle turns over.
+    the points are left out. No triangle turns over. Border vertices at one place are linked first: with equal attributes they
+    become one, with others they are a seam, whose vertices stay so that no gap opens.
     """
     points, faces = np.array(points, float), np.array(faces, int).reshape(-1, 3)
     if attributes is not None and len(attributes) != len(points):
         attributes = None
     attributes = None if attributes is None else np.array(attributes, float)
-    if options.link_distance > 0 and len(faces):
-        faces = _weld(points, faces, options.link_distance)
+    seam = foldover = np.zeros(len(points), bool)
+    if options.link and len(faces):
+        faces, seam, foldover = _link(points, faces, attributes, options.link_distance)
     faces = faces[(faces[:, 0] != faces[:, 1]) & (faces[:, 1] != faces[:, 2]) & (faces[:, 2] != faces[:, 0])]
-    seam = np.zeros(len(points), bool)
     if options.preserve_seams and len(points):
-        _, inverse, times = np.unique(points, axis=0, return_inverse=True, return_counts=True)
-        seam = times[inverse.reshape(-1)] > 1
+        used = np.unique(faces)
+        _, inverse, times = np.unique(points[used], axis=0, return_inverse=True, return_counts=True)
+        seam = seam.copy()
+        seam[used] |= times[inverse.reshape(-1)] > 1
+    fixed = seam | foldover if options.preserve_foldovers else seam
     q = None
+    changed = True  # since edges and their errors were last worked out
     for i in range(options.max_iterations):
         if len(faces) <= target:
             break
-        if q is None or i % options.rebuild_every == 0:
-            q = _quadrics(points, faces) + _border_quadrics(points, faces)
-            border = _border(points, faces)
         threshold = fixed_threshold if fixed_threshold is not None else 1e-9 * (i + 3) ** options.aggressiveness
-        edges, _ = _edges(faces)
-        where, error = _targets(points, q, edges, border)
-        if options.preserve_curvature:
-            p = points[faces]
-            n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
-            n /= np.linalg.norm(n, axis=1, keepdims=True) + 1e-300
-            mean = np.zeros_like(points)
-            for k in range(3):
-                np.add.at(mean, faces[:, k], n)
-            mean /= np.linalg.norm(mean, axis=1, keepdims=True) + 1e-300
-            bend = (1 - (mean[edges[:, 0]] * mean[edges[:, 1]]).sum(axis=1)) / 2
-            error = error + bend * np.linalg.norm(points[edges[:, 0]] - points[edges[:, 1]], axis=1)
-        ok = (error < threshold) & (border[edges[:, 0]] == border[edges[:, 1]]) & (seam[edges[:, 0]] == seam[edges[:, 1]]) & ~seam[edges[:, 0]]
-        if options.preserve_border:
-            ok &= ~border[edges[:, 0]]
-        chosen = np.nonzero(ok)[0]
+        if changed:
+            if q is None or i >= rebuild:
+                q = _quadrics(points, faces) + _border_quadrics(points, faces)
+                border = _border(points, faces)
+                rebuild = i + options.rebuild_every
+            edges, _ = _edges(faces)
+            allowed = (border[edges[:, 0]] == border[edges[:, 1]]) & ~fixed[edges].any(axis=1)
+            if options.preserve_border:
+                allowed &= ~border[edges[:, 0]]
+            edges = edges[allowed]
+            if not len(edges):
+                break
+            where, error = _targets(points, q, edges, border)
+            if options.preserve_curvature:
+                p = points[faces]
+                n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+                n /= np.linalg.norm(n, axis=1, keepdims=True) + 1e-300
+                mean = np.zeros_like(points)
+                for k in range(3):
+                    np.add.at(mean, faces[:, k], n)
+                mean /= np.linalg.norm(mean, axis=1, keepdims=True) + 1e-300
+                bend = (1 - (mean[edges[:, 0]] * mean[edges[:, 1]]).sum(axis=1)) / 2
+                error = error + bend * np.linalg.norm(points[edges[:, 0]] - points[edges[:, 1]], axis=1)
+            changed = False
+        chosen = np.nonzero(error < threshold)[0]
         if not len(chosen):
             if fixed_threshold is not None:
                 break
@@ -427,7 +455,7 @@ def decimate(points: np.ndarray, faces: np.ndarray, target: int, options: Option
             if near & touched:
                 continue
             gone = around[a] & around[b]
-            if _turns_over(points, faces, near, gone, (a, b), where[k]):
+            if _turns_over(points, faces, sorted(near - gone), (a, b), where[k]):
                 continue
             if attributes is not None:
                 d = points[b] - points[a]
@@ -443,6 +471,7 @@ def decimate(points: np.ndarray, faces: np.ndarray, target: int, options: Option
             if fixed_threshold is not None:
                 break
             continue
+        changed = True
         faces = np.delete(faces, sorted(dead), axis=0)
         faces = faces[(faces[:, 0] != faces[:, 1]) & (faces[:, 1] != faces[:, 2]) & (faces[:, 2] != faces[:, 0])]
     used, faces = np.unique(faces, return_inverse=True) if len(faces) else (np.empty(0, int), faces)
@@ -457,16 +486,17 @@ def decimate_lossless(points: np.ndarray, faces: np.ndarray, options: Options =
 MESHES = "mesh long, points array<array<double>>, faces array<array<int>>"
 
 
-def simplify(meshes: DataFrame, ratio: float, options: Options = Options()) -> DataFrame:
-    """meshes: mesh, points, faces (one row a mesh; a mesh's collapses follow each other). Each with ``ratio`` of its faces."""
+def simplify(meshes: DataFrame, ratio: float, options: Options = Options(), lossless: bool = False) -> DataFrame:
+    """meshes: mesh, points, faces (one row a mesh; a mesh's collapses follow each other). Each with ``ratio`` of its faces or,
+    lossless, with those that the surface needs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for m, p, f in zip(batch["mesh"], batch["points"], batch["faces"], strict=True):
-                faces = np.array([list(x) for x in f], int).reshape(-1, 3)
-                points, faces, _ = decimate(np.array([list(x) for x in p]).reshape(-1, 3), faces, int(len(faces) * ratio), options)
+                points, faces = np.array([list(x) for x in p], float).reshape(-1, 3), np.array([list(x) for x in f], int).reshape(-1, 3)
+                points, faces, _ = decimate_lossless(points, faces, options) if lossless else decimate(points, faces, int(len(faces) * ratio), options)
                 rows.append((m, points.tolist(), faces.tolist()))
             yield pd.DataFrame(rows, columns=["mesh", "points", "faces"])
 
-    return meshes.select("mesh", "points", "faces").mapInPandas(run, MESHES)
+    return spread(meshes.select("mesh", "points", "faces"), "mesh").mapInPandas(run, MESHES)

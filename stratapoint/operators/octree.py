@@ -342,6 +342,11 @@ def prefix_counts(counts: DataFrame, levels: int) -> DataFrame:
     return counts.select("node", "n", at).groupBy(F.expr("substring(node, 1, k)").alias("prefix")).agg(F.sum("n").alias("n"))
 
 
+def by_weight(features: DataFrame, weight: str, *ties: str) -> DataFrame:
+    """Features from the heaviest on, those without weight last; equal weights by the columns of ties."""
+    return features.orderBy(F.col(weight).desc_nulls_last(), *ties)
+
+
 def first_per_tile(features: DataFrame, tile: Sequence[str], order: Sequence[Column], keep: int) -> DataFrame:
     """The first ``keep`` features of each tile with their rank; the others are handed down."""
     w = Window.partitionBy(*tile).orderBy(*order)

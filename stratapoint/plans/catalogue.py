@@ -126,52 +126,32 @@ def _lod(spark: SparkSession, d: str) -> tuple[DataFrame, octree.Root]:
     return octree.build_lod(slim, LI_ARRIVAL, root, LEAF_CAPACITY), root
 
 
-@query()
+# deep enough for a few hundred thousand points
+LOD_SQL_LEVELS = 6
+_LOD_SQL = views.lod_sql(PTS_LI_N_SQL, ", ".join(LI_ARRIVAL), LEAF_CAPACITY, LOD_SQL_LEVELS)
+
+
+@query(f"WITH {_LOD_SQL} SELECT l_orderkey, l_linenumber, shown_in AS node FROM shown")
+def lod_points(spark: SparkSession, d: str) -> DataFrame:
+    """Every point with the node that shows it."""
+    return _lod(spark, d)[0].select("l_orderkey", "l_linenumber", "node")
+
+
+@query(f"WITH {_LOD_SQL} SELECT shown_in AS node, count(*) AS n FROM shown GROUP BY 1")
 def lod_node_counts(spark: SparkSession, d: str) -> DataFrame:
     return _lod(spark, d)[0].groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS total, 0::BIGINT AS too_near, 0::BIGINT AS overfull FROM lineitem")
-def lod_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """No point is lost; no two points that an inner node shows in one cell are too near; no leaf is overfull."""
-    shown, root = _lod(spark, d)
-    shown = shown.persist()
-    counts = shown.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    inner = counts.select(F.explode(G.prefixes(F.col("node"))).alias("up"), "node").where("up != node").select(F.col("up").alias("inner_node")).distinct()
-    overfull = counts.join(inner, counts.node == inner.inner_node, "left_anti").where(F.col("n") >= LEAF_CAPACITY).count()
-    kept = shown.join(inner, shown.node == inner.inner_node, "left_semi")
-    level = F.length("node")
-    low = {}
-    for k, v in enumerate(XYZ):
-        digit = lambda i, v=v: F.substring("node", i, F.lit(1)).cast("int").bitwiseAND({"x": 4, "y": 2, "z": 1}[v])
-        low[f"l{v}"] = F.aggregate(F.sequence(F.lit(1), level), F.struct(F.lit(root.low[k]).alias("a"), F.lit(root.high[k] - root.low[k]).alias("s")), lambda acc, i: F.struct((acc["a"] + F.when(digit(i) > 0, acc["s"] * 0.5).otherwise(0.0)).alias("a"), (acc["s"] * 0.5).alias("s")))["a"]
-    sizes = [F.lit(root.high[k] - root.low[k]) / F.pow(F.lit(2.0), level) for k in range(3)]
-    placed = kept.withColumns(low).withColumn("cell", G.cell_key([F.col(v) for v in XYZ], [F.col(f"l{v}") for v in XYZ], sizes))
-    keyed = placed.withColumn("s", F.lit(root.spacing) / F.pow(F.lit(2.0), level)).withColumn("id", F.monotonically_increasing_id()).persist()
-    fine = keyed.withColumns({f"f{v}": F.floor(F.col(v).cast("double") / F.col("s")) for v in XYZ})
-    a = fine.select("node", "cell", "fx", "fy", "fz", "s", F.col("id").alias("a"), *[F.col(v).cast("double").alias(f"a{v}") for v in XYZ])
-    b = fine.select("node", "cell", "fx", "fy", "fz", F.col("id").alias("b"), *[F.col(v).cast("double").alias(f"b{v}") for v in XYZ])
-    for v in ("fx", "fy", "fz"):
-        b = b.withColumn(v, F.explode(F.sequence(F.col(v) - 1, F.col(v) + 1)))
-    near = a.join(b, ["node", "cell", "fx", "fy", "fz"]).where("a < b and (ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz) < s * s * 0.999999").agg(F.count(F.lit(1)).alias("too_near"))
-    total = counts.agg(F.sum("n").alias("total")).first()[0] or 0  # one row
-    return near.select(F.lit(total).cast("long").alias("total"), "too_near", F.lit(overfull).cast("long").alias("overfull"))
-
-
-@query("SELECT count(*) AS points, 0::BIGINT AS small_tiles, true AS tree_is_whole FROM lineitem")
+@query(f"""WITH {_LOD_SQL}, {views.prune_sql(LOD_SQL_LEVELS, octree.PRUNE_BELOW)},
+e AS (SELECT t.*, EXISTS (SELECT 1 FROM tiles u WHERE length(u.node) > length(t.node) AND starts_with(u.node, t.node)) AS inner_tile FROM tiles t)
+SELECT node, level::INTEGER AS level, n, round(CASE WHEN inner_tile THEN 10 * sqrt(sx * sx + sy * sy + sz * sz) / 125 / pow(2, level) ELSE 0 END, 4) AS geometric_error FROM e, s0""")
 def lod_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """The tile tree after pruning: its points, its tiles that should have been merged, and whether each has its parent."""
+    """The tile tree after pruning."""
     shown, root = _lod(spark, d)
     counts = shown.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     target = octree.prune_map(counts).select(F.col("node").alias("from"), "target")
     moved = shown.join(target, shown.node == F.col("from")).withColumn("node", F.col("target"))
-    t = octree.tile_tree(moved, root)
-    parents = t.select(F.col("node").alias("p"))
-    checked = t.join(parents, t.parent == F.col("p"), "left")
-    return checked.agg(
-        F.sum("n").alias("points"), F.count_if((F.col("n") > 0) & (F.col("n") < octree.PRUNE_BELOW) & (F.col("level") > 1)).alias("small_tiles"),
-        F.min(F.col("p").isNotNull() | (F.col("level") == 0)).alias("tree_is_whole"),
-    )
+    return octree.tile_tree(moved, root).select("node", "level", "n", _r("geometric_error", 4).alias("geometric_error"))
 
 
 @query(f"""WITH {views.path_sql(PTS_LI_N_SQL, 1, '*')} SELECT node, count(*) AS n, round((min(x) + max(x)) / 2, 4) AS center_x, round((min(y) + max(y)) / 2, 4) AS center_y, round((min(z) + max(z)) / 2, 4) AS center_z,
@@ -214,8 +194,8 @@ def depth_policy(spark: SparkSession, d: str) -> DataFrame:
 @query(_NODES_SQL + f", r AS (SELECT lx, ly, lz, sx, sy, sz FROM s0) SELECT node, round(10 * sqrt(sx * sx + sy * sy + sz * sz) / 125 / pow(2, length(node)), 6) AS geometric_error, round(sqrt(sx * sx + sy * sy + sz * sz) / 125 / pow(2, length(node)), 6) AS spacing FROM nodes, r")
 def node_errors(spark: SparkSession, d: str) -> DataFrame:
     root = octree.root_of(views.pts_emb(spark, d))
-    s = F.lit(root.spacing) / F.pow(F.lit(2.0), F.length("node"))
-    return _nodes(spark, d).select("node", _r(s * 10).alias("geometric_error"), _r(s).alias("spacing"))
+    level = F.length("node")
+    return _nodes(spark, d).select("node", _r(octree.node_error(root, level)).alias("geometric_error"), _r(octree.node_spacing(root, level)).alias("spacing"))
 
 
 @query(f"SELECT l_returnflag, count(*) AS n, floor(count(*) * least(1.0::DOUBLE, {PREVIEW_POINTS}::DOUBLE / (SELECT count(*) FROM lineitem)))::BIGINT AS taken FROM {PTS_LI_SQL} GROUP BY 1")
@@ -239,24 +219,26 @@ def spatial_bucket20(spark: SparkSession, d: str) -> DataFrame:
     return octree.first_per_tile(c, ["tx", "ty"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 20).drop("c_acctbal")
 
 
-@query("SELECT count(*) AS features, 0::BIGINT AS overfull, 0::BIGINT AS misplaced FROM customer")
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS id, c_nationkey::DOUBLE AS x, c_acctbal / 100 AS y, c_acctbal AS weight FROM customer),
+q AS (SELECT id, x, y, weight, 0 AS level, floor(x / 50)::BIGINT AS tx, floor(y / 50)::BIGINT AS ty, row_number() OVER (PARTITION BY floor(x / 50), floor(y / 50) ORDER BY weight DESC NULLS LAST, id) AS rank FROM c
+ UNION ALL SELECT id, x, y, weight, level + 1, floor(x / (50 / pow(2, level + 1)))::BIGINT, floor(y / (50 / pow(2, level + 1)))::BIGINT,
+  row_number() OVER (PARTITION BY floor(x / (50 / pow(2, level + 1))), floor(y / (50 / pow(2, level + 1))) ORDER BY weight DESC NULLS LAST, id) FROM q WHERE rank > 20)
+SELECT id, level, tx, ty FROM q WHERE rank <= 20""")
 def feature_quadtree(spark: SparkSession, d: str) -> DataFrame:
+    """The tile that shows each customer; no twenty-one of the given ones stand at one place."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("x"), (F.col("c_acctbal") / 100).alias("y"), F.col("c_acctbal").alias("weight"))
-    t = octree.feature_quadtree(c, 50.0)
-    e = F.lit(50.0) / F.pow(F.lit(2.0), "level")
-    inside = (F.col("tx") * e <= F.col("x")) & (F.col("x") < (F.col("tx") + 1) * e) & (F.col("ty") * e <= F.col("y")) & (F.col("y") < (F.col("ty") + 1) * e)
-    per_tile = t.groupBy("level", "tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.count_if(~inside).alias("bad"))
-    return per_tile.agg(F.sum("n").alias("features"), F.count_if((F.col("n") > 20) & (F.col("level") < 20)).alias("overfull"), F.sum("bad").alias("misplaced"))
+    return octree.feature_quadtree(c, 50.0).select("id", "level", "tx", "ty")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount >= 0.02 AND l_discount < 0.05")
 def points_in_tile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity >= 10 and l_quantity < 20 and l_discount >= 0.02 and l_discount < 0.05").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    p = table(spark, d, "lineitem")
+    return p.where(G.in_tile([F.col("l_quantity"), F.col("l_discount")], [10, 0.02], [20, 0.05])).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 
 @query("SELECT p_partkey, p_retailprice AS weight FROM part ORDER BY p_retailprice DESC, p_partkey")
 def by_weight(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("weight")).orderBy(F.desc("weight"), "p_partkey")
+    return octree.by_weight(table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("weight")), "weight", "p_partkey")
 
 
 # ---- tile trees ----
@@ -383,9 +365,10 @@ def batch_offsets(spark: SparkSession, d: str) -> DataFrame:
     return tiles.batch_offsets(p, "t", "k")
 
 
-@query("SELECT p_partkey, ((8 - p_partkey % 8) % 8)::BIGINT AS padding, upper(p_brand) AS mangled, regexp_matches(p_name, '^[a-zA-Z_][a-zA-Z0-9_]*$') AS valid_id FROM part")
+@query("SELECT p_partkey, ((8 - p_partkey % 8) % 8)::BIGINT AS padding, '_' || upper(p_brand) AS mangled, lower(p_brand) AS plain, regexp_matches(p_name, '^[a-zA-Z_][a-zA-Z0-9_]*$') AS valid_id FROM part")
 def names_and_padding(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", G.padding(F.col("p_partkey"), 8).alias("padding"), F.upper("p_brand").alias("mangled"), F.col("p_name").rlike("^[a-zA-Z_][a-zA-Z0-9_]*$").alias("valid_id"))
+    m = G.mangled(F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", G.padding(F.col("p_partkey"), 8).alias("padding"), m.alias("mangled"), G.plain(m).alias("plain"), G.is_identifier(F.col("p_name")).alias("valid_id"))
 
 
 @query("""SELECT n_regionkey AS class_id, n_nationkey, (row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1)::BIGINT AS instance FROM nation""")
@@ -419,8 +402,7 @@ def dtype_promotion(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT crs_in, count(DISTINCT file_id) AS files FROM reader_metadata WHERE crs_in IS NOT NULL GROUP BY 1")
 def crs_in_use(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "reader_metadata").where("crs_in is not null").select("crs_in", "file_id").distinct()
-    return m.groupBy("crs_in").agg(F.count(F.lit(1)).alias("files"))
+    return crs.in_use(table(spark, d, "reader_metadata"), "file_id", "crs_in").withColumnRenamed("crs", "crs_in")
 
 
 # ---- coordinates and colours ----

@@ -71,3 +71,51 @@ def cell_sql(cells: int = 3) -> str:
         place = f"{float(cells)}::DOUBLE * (1.0::DOUBLE / s{v}::FLOAT::DOUBLE)::FLOAT::DOUBLE * ({v}::FLOAT - l{v}::FLOAT)::DOUBLE"
         parts.append(f"(least(greatest(trunc({place})::BIGINT, 0), {cells - 1}) << {shift * k})")
     return "(" + " + ".join(parts) + ")::INTEGER"
+
+
+def lod_sql(points: str, arrival: str, capacity: int, levels: int) -> str:
+    """SQL that thins points level by level: ``shown`` (the points' columns and node). Within a cell of a node that is split, rows
+    are visited one after the other in arrival order by recursion; each is kept if it is no nearer than the spacing to those kept.
+    ``levels`` must reach down to where no node is split."""
+    steps = [path_sql(points, 1, "*").replace(f"p0 AS (SELECT p.*, '' AS node", f"p0 AS (SELECT p.*, row_number() OVER (ORDER BY {arrival}) AS id, '' AS node"), "q1 AS MATERIALIZED (SELECT * FROM placed)"]
+    shown = []
+    for k in range(1, levels + 1):
+        steps.append(f"n{k} AS MATERIALIZED (SELECT node FROM q{k} GROUP BY 1 HAVING count(*) >= {capacity})")
+        shown.append(f"SELECT id, node FROM q{k} WHERE node NOT IN (SELECT node FROM n{k})")
+        if k == levels:
+            break
+        steps.append(f"c{k} AS MATERIALIZED (SELECT id, node, {cell_sql()} AS cell, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z FROM q{k} WHERE node IN (SELECT node FROM n{k}))")
+        steps.append(f"r{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node, cell ORDER BY id) AS rn FROM c{k})")
+        steps.append(f"w{k} AS (SELECT (sqrt(sx * sx + sy * sy + sz * sz) / 125 / {2**k}) AS spacing FROM s0)")
+        near = f"len(list_filter(kept, lambda o: (o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y) + (o.z - p.z) * (o.z - p.z) < spacing * spacing)) > 0"
+        steps.append(
+            f"""g{k} AS (SELECT node, cell, rn, id, true AS far, [{{'x': x, 'y': y, 'z': z}}] AS kept FROM r{k} WHERE rn = 1
+ UNION ALL SELECT p.node, p.cell, p.rn, p.id, NOT ({near}), CASE WHEN {near} THEN kept ELSE list_append(kept, {{'x': p.x, 'y': p.y, 'z': p.z}}) END
+ FROM g{k} g JOIN r{k} p ON p.node = g.node AND p.cell = g.cell AND p.rn = g.rn + 1, w{k})"""
+        )
+        steps.append(f"k{k} AS MATERIALIZED (SELECT id, node, far FROM g{k})")
+        shown.append(f"SELECT id, node FROM k{k} WHERE far")
+        digit = (
+            "(CASE WHEN x::FLOAT >= ((lx + (lx + sx)) * 0.5)::FLOAT THEN 4 ELSE 0 END + CASE WHEN y::FLOAT >= ((ly + (ly + sy)) * 0.5)::FLOAT THEN 2 ELSE 0 END"
+            " + CASE WHEN z::FLOAT >= (CASE WHEN flat THEN (lz + sz)::FLOAT ELSE ((lz + (lz + sz)) * 0.5)::FLOAT END) THEN 1 ELSE 0 END)"
+        )
+        steps.append(f"t{k} AS (SELECT q.*, {digit} AS digit FROM q{k} q WHERE id IN (SELECT id FROM k{k} WHERE NOT far))")
+        steps.append(
+            f"""u{k} AS (SELECT * EXCLUDE (node, digit, lx, ly, lz, sx, sy, sz, flat), node || digit::VARCHAR AS node, lx + CASE WHEN digit & 4 > 0 THEN sx * 0.5 ELSE 0 END AS lx, ly + CASE WHEN digit & 2 > 0 THEN sy * 0.5 ELSE 0 END AS ly,
+ CASE WHEN NOT flat AND digit & 1 > 0 THEN lz + sz * 0.5 ELSE lz END AS lz, sx / 2 AS sx, sy / 2 AS sy, CASE WHEN flat THEN sz ELSE sz / 2 END AS sz FROM t{k})"""
+        )
+        steps.append(f"q{k + 1} AS MATERIALIZED (SELECT *, sz / least(sx, sy) < 0.5 AS flat FROM u{k})")
+    return "RECURSIVE " + ",\n".join(steps) + ",\nnodes_of AS (" + " UNION ALL ".join(shown) + "),\nshown AS MATERIALIZED (SELECT p.*, n.node AS shown_in FROM q1 p JOIN nodes_of n USING (id))"
+
+
+def prune_sql(levels: int, least: int) -> str:
+    """SQL after ``shown``: ``tiles`` (node, level, n), where small nodes below level 1 have given their points to their parents."""
+    steps = ["own AS (SELECT shown_in AS node, count(*) AS n FROM shown GROUP BY 1)"]
+    for k in range(levels, 0, -1):
+        given = "" if k == levels else f" UNION ALL SELECT substr(node, 1, {k}), n FROM a{k + 1} WHERE n < {least}"
+        steps.append(f"a{k} AS (SELECT node, sum(n)::BIGINT AS n FROM (SELECT node, n FROM own WHERE length(node) = {k}{given}) GROUP BY 1)")
+    left = " UNION ALL ".join(f"SELECT node, {k} AS level, n FROM a{k}" + ("" if k == 1 else f" WHERE n >= {least}") for k in range(1, levels + 1))
+    return ",\n".join(steps) + f""",
+stay AS ({left}),
+up AS (SELECT DISTINCT substr(node, 1, k) AS node FROM stay, range({levels}) r(k) WHERE k < length(node)),
+tiles AS (SELECT node, level, n FROM stay UNION ALL SELECT node, length(node), 0 FROM up WHERE node NOT IN (SELECT node FROM stay))"""

@@ -63,24 +63,24 @@ def test_batch_table():
 
 
 def test_hierarchy():
-    classes = [("Wall", ["color"]), ("Building", ["name"]), ("Owner", ["id"])]
-    instances = [(0, {"color": "white"}, [1, 2]), (1, {"name": "b"}, [2]), (2, {"id": 7}, [])]
+    classes = [("Lamp", ["watts", "lit"]), ("Street", ["label"]), ("District", [])]
+    instances = [(2, {}, []), (1, {"label": "A 1"}, [0]), (1, {"label": None}, [0]), (0, {"watts": 40, "lit": True}, [1, 2]), (0, {"watts": 0, "lit": False}, [2])]
     h = batch_table.encode_hierarchy(classes, instances)
-    assert h["classIds"] == [0, 1, 2] and h["parentCounts"] == [2, 1, 0] and h["parentIds"] == [1, 2, 2] and h["instancesLength"] == 3
-    assert batch_table.decode_hierarchy(h) == [("Wall", {"color": "white"}, [1, 2]), ("Building", {"name": "b"}, [2]), ("Owner", {"id": 7}, [])]
+    assert h["classIds"] == [2, 1, 1, 0, 0] and h["parentCounts"] == [0, 1, 1, 2, 1] and h["parentIds"] == [0, 0, 1, 2, 2] and h["instancesLength"] == 5
+    assert batch_table.decode_hierarchy(h) == [(classes[k][0], values, ups) for k, values, ups in instances]
     with pytest.raises(InvalidContent):
         batch_table.encode_hierarchy(classes, [(0, {}, [5])])
 
 
 def test_glb_points_and_merge():
     p, c = points(3)
-    a = glb.from_points(p, c, {"field1": np.array([3, 5, 7], np.uint32)})
+    a = glb.from_points(p, c, {"echo": np.array([250, 0, 4], np.uint32)})
     assert len(a) % 4 == 0 and sniff.read(a)[0] == "points"
     q, d, e = glb.to_points(a)
-    assert np.array_equal(q, p) and np.array_equal(d, c) and e["field1"].dtype == np.float32
-    both = glb.merge_points([a, glb.from_points(p + 10, c, {"field1": np.array([11, 13, 17], np.uint32)})])
+    assert np.array_equal(q, p) and np.array_equal(d, c) and e["echo"].dtype == np.float32
+    both = glb.merge_points([a, glb.from_points(p + 10, c, {"echo": np.array([9, 80, 1], np.uint32)})])
     q, _, e = glb.to_points(both)
-    assert e["field1"].tolist() == [3, 5, 7, 11, 13, 17] and len(q) == 6
+    assert e["echo"].tolist() == [250, 0, 4, 9, 80, 1] and len(q) == 6
     gltf, _ = glb.unpack(both)
     assert gltf["accessors"][0]["max"][0] >= 10
     with pytest.raises(InvalidContent):

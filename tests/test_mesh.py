@@ -65,6 +65,24 @@ def test_welding():
     assert (times == 1).sum() < 16
 
 
+def test_links_are_seams_or_foldovers():
+    p, f = plane(3)
+    both, faces = np.concatenate([p, p + [3.0, 0, 0]]), np.concatenate([f, f + len(p)])
+    shared = 4  # vertices on the common side
+    for attributes, options, joined in ((None, mesh.Options(), True), (np.zeros((32, 1)), mesh.Options(), True), (np.repeat([[0.0], [1.0]], 16, axis=0), mesh.Options(), False), (None, mesh.Options(link=False), False)):
+        _, g, _ = mesh.decimate(both, faces, 1000, options, attributes)
+        edges, times = mesh._edges(g)
+        assert len(np.unique(g)) == 32 - (shared if joined else 0) and (times == 1).sum() == (18 if joined else 24)
+    # a seam keeps its vertices, a welded line too if asked
+    q, g, a = mesh.decimate(both, faces, 4, mesh.Options(aggressiveness=15), np.repeat([[0.0], [1.0]], 16, axis=0))
+    at = q[:, 0] == 3
+    assert len(g) < 30 and at.sum() == 2 * shared and np.isclose(area(q[g]), 18)
+    q, g, _ = mesh.decimate(both, faces, 4, mesh.Options(aggressiveness=15, preserve_foldovers=True))
+    assert ((q[:, 0] == 3) & (q[:, 1] == np.round(q[:, 1]))).sum() >= shared and len(g) < 30
+    q, g, _ = mesh.decimate(both, faces, 4, mesh.Options(aggressiveness=15))
+    assert len(g) <= 8 and np.isclose(area(q[g]), 18)
+
+
 def test_tables(spark):
     p, f = plane(3)
     v = spark.createDataFrame([(1, k, *map(float, x)) for k, x in enumerate(p)], "mesh long, vertex long, x double, y double, z double")

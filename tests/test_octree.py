@@ -95,18 +95,20 @@ def test_nulls_and_empty(spark):
 
 
 def test_cell_keys(spark):
-    probes = [(0, 0, 0), (0.5, 0.5, 0.5), (1, 1, 1), (2, 2, 2), (1, 0, 0), (0, 1, 0), (0.9, 0, 0), (0.5, 0, 1), (0.25, 0.75, 1)]
-    want = {1: [0] * 9, 2: [0, 7, 7, 7, 1, 2, 1, 5, 6], 3: [0, 21, 42, 42, 2, 8, 2, 2 * 16 + 1, 40]}
+    rng = np.random.default_rng(8)
+    probes = np.concatenate([rng.random((60, 3)) * 1.6 - 0.3, np.eye(3), np.zeros((1, 3))])  # some out of the box, which count to its edge
     df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(probes)], "k int, x double, y double, z double")
-    for cells, keys in want.items():
+    for cells in (1, 2, 3, 5):
+        place = np.clip(np.trunc(probes.astype(np.float32).astype(float) * cells).astype(int), 0, cells - 1)
+        keys = (place << (np.arange(3) * (cells - 1).bit_length())).sum(axis=1).tolist()
         key = G.cell_key([F.col(v) for v in "xyz"], [F.lit(0.0)] * 3, [F.lit(1.0)] * 3, cells)
         assert [r[0] for r in df.orderBy("k").select(key).collect()] == keys
 
 
 def test_node_files(spark):
-    names = ["", "1", "12345678", "222262175", "12345678123456781"]
+    names = ["", "7", "01234567", "012345670", "76543210012345674"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r[0] for r in df.select(G.node_file(F.col("n"), ".pnts")).collect()] == ["r.pnts", "r1.pnts", "r12345678.pnts", "22226217/r5.pnts", "12345678/12345678/r1.pnts"]
+    assert [r[0] for r in df.select(G.node_file(F.col("n"), ".pnts")).collect()] == ["r.pnts", "r7.pnts", "r01234567.pnts", "01234567/r0.pnts", "76543210/01234567/r4.pnts"]
 
 
 def test_prune_and_tree(spark):

@@ -29,12 +29,21 @@ def tile(low, high, **kw):
 
 
 def test_sync_and_order():
-    a, b, c = tile([1, 1, 1], [2, 2, 2]), tile([-4, -2, 1], [2, 4, 4]), tile([0, -4, -4], [4, 2, 2])
-    root = T.Tile(children=[a, b])
-    a.children.append(c)
-    assert list(root.descendants()) == [a, c, b]
-    root.sync_boxes()
-    assert np.allclose(root.box[:3], 0) and np.allclose([root.box[3], root.box[7], root.box[11]], 4)
+    rng = np.random.default_rng(12)
+    made = []
+    for k in range(9):
+        low = rng.random(3) * 20 - 10
+        made.append(tile(low, low + rng.random(3) * (k + 1)))
+    for k, up in ((1, 0), (2, 0), (3, 2), (4, 2), (5, 4), (6, 0), (7, 6), (8, 7)):
+        made[up].children.append(made[k])
+    places = {id(t): k for k, t in enumerate(made)}
+    assert [places[id(t)] for t in made[0].descendants()] == [1, 2, 3, 4, 5, 6, 7, 8]
+    corners = [T.box_corners(t.box) for t in made]
+    made[0].sync_boxes()
+    for top, below in ((0, range(9)), (2, (2, 3, 4, 5)), (6, (6, 7, 8))):
+        inside = np.concatenate([corners[k] for k in below])
+        got = T.box_corners(made[top].box)
+        assert np.allclose(got.min(axis=0), inside.min(axis=0)) and np.allclose(got.max(axis=0), inside.max(axis=0))
     with pytest.raises(BoxMissing):
         T.Tile().to_dict()
 
