@@ -16,7 +16,7 @@ def _convert(a: argparse.Namespace) -> None:
     from stratapoint.session import local_session
 
     next_version = a.spec_version == "1.1"
-    points = PointTiler(a.crs_in, a.crs_out, a.field, not a.no_colours, "glb" if next_version else "pnts", a.leaf_capacity)
+    points = PointTiler(a.crs_in, a.crs_out, a.field, not a.no_colours, "glb" if next_version else "pnts", a.leaf_capacity, a.force_crs_in)
     convert(local_session(a.jobs or "*"), a.files, a.out, [points, MeshTiler("glb" if next_version else "b3dm")], a.overwrite)
 
 
@@ -88,6 +88,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--out", default="tiles")
     c.add_argument("--crs-in")
     c.add_argument("--crs-out")
+    c.add_argument("--force-crs-in", action="store_true", help="take --crs-in whatever the files name")
     c.add_argument("--field", action="append", default=[], help="a further field to keep")
     c.add_argument("--no-colours", action="store_true")
     c.add_argument("--leaf-capacity", type=int, default=20_000)

@@ -101,17 +101,32 @@ def write_contents(contents: DataFrame, folder: str, suffix: str) -> int:
 class PointTiler:
     name = "points"
 
-    def __init__(self, crs_in: int | str | None = None, crs_out: int | str | None = None, fields: Sequence[str] = (), colours: bool = True, form: str = "pnts", leaf_capacity: int = octree.LEAF_CAPACITY) -> None:
-        if crs_out is not None and crs_in is None:
-            raise MissingCrs("a target system needs a source system")
-        self.crs_in, self.crs_out, self.fields, self.colours, self.form, self.leaf_capacity = crs_in, crs_out, list(fields), colours, form, leaf_capacity
+    def __init__(
+        self, crs_in: int | str | None = None, crs_out: int | str | None = None, fields: Sequence[str] = (), colours: bool = True, form: str = "pnts", leaf_capacity: int = octree.LEAF_CAPACITY, force_crs_in: bool = False
+    ) -> None:
+        self.crs_in, self.crs_out, self.fields, self.colours, self.form, self.leaf_capacity, self.force_crs_in = crs_in, crs_out, list(fields), colours, form, leaf_capacity, force_crs_in
+
+    def source_crs(self, spark: SparkSession, paths: Sequence[str]) -> int | str | None:
+        """The system that the points are in: the stated one or the one that files name. Files that name another than the
+        stated one, or several, raise MixedCrs, unless the stated one is forced; a target without any raises MissingCrs."""
+        if self.crs_in is not None and self.force_crs_in:
+            return self.crs_in
+        named = sources.named_crs(spark, paths)
+        if self.crs_in is not None:
+            stated = spark.createDataFrame([("", f"EPSG:{crs.code_of(self.crs_in)}")], "path string, crs string")
+            named = named.unionByName(stated)
+        found = crs.the_one(named, "path", "crs")
+        if found is None and self.crs_out is not None:
+            raise MissingCrs("a target system needs a source system, and no file names one")
+        return found
 
     def supports(self, path: str) -> bool:
         return sources.suffix(path) in sources.READERS
 
     def plan(self, spark: SparkSession, paths: Sequence[str], out: str) -> TileSet:
+        source = self.source_crs(spark, paths)
         points = sources.read_points(spark, paths)
-        points = crs.reproject(points, self.crs_in, self.crs_out)
+        points = crs.reproject(points, source, self.crs_out)
         points = points.where(" and ".join(f"{v} is not null and not isnan(double({v}))" for v in AXES)).persist()
         row = octree.root_statistics(points, "path").first()
         if not row or not row["n"]:
@@ -129,7 +144,7 @@ class PointTiler:
         placed = points.select(*keep).withColumns({v: m.cast("float") for v, m in zip(AXES, moved, strict=True)})
         root = octree.root_of(placed, scale)
         arrival = ["path", "point_no"]
-        shown = octree.build_lod(placed, arrival, root, self.leaf_capacity).persist()
+        shown = kept = octree.build_lod(placed, arrival, root, self.leaf_capacity).persist()
         counts = shown.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         target = octree.prune_map(counts).select(F.col("node").alias("_from"), "target")
         shown = shown.join(target, shown.node == F.col("_from")).withColumn("node", F.col("target")).drop("_from", "target")
@@ -145,7 +160,10 @@ class PointTiler:
         if written != total:
             raise TilingFailed(f"{total} points were read and {written} written")
         write_contents(encode_nodes(sample, fields, colours, self.form), out, suffix)
-        return self._tree(octree.tile_tree(shown, root), root, M.root_transform(offset, scale, rotation), scale, suffix)
+        tree = self._tree(octree.tile_tree(shown, root), root, M.root_transform(offset, scale, rotation), scale, suffix)
+        points.unpersist()
+        kept.unpersist()
+        return tree
 
     def _tree(self, table: DataFrame, root: octree.Root, transform: np.ndarray, scale: float, suffix: str) -> TileSet:
         tiles: dict[str, Tile] = {}

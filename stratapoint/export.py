@@ -101,6 +101,8 @@ def export(geometries: DataFrame, out: str, edge: float = TOP_EDGE, per_tile: in
     move[:3, 3] = np.round(center, 3)
     root.transform = move
     root.sync_boxes()
+    feats.unpersist()
+    tiles.unpersist()
     ts = TileSet(root, TOP_ERROR)
     ts.write(os.path.join(out, "tileset.json"))
     return ts

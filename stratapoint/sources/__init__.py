@@ -34,3 +34,11 @@ def read_points(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
             part = part.withColumn("point_no", F.monotonically_increasing_id())
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def named_crs(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """path, crs: the reference system each file names (null if it names none; only LAS files can). Headers alone are read."""
+    paths = list(paths)
+    las_files = [p for p in paths if suffix(p) == ".las"]
+    others = spark.createDataFrame([(p, None) for p in paths if p not in set(las_files)], "path string, crs string")
+    return las.metadata(spark, las_files).select("path", F.col("crs_in").alias("crs")).unionByName(others) if las_files else others

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,7 @@ class Header:
     offsets: tuple[float, float, float]
     low: tuple[float, float, float]
     high: tuple[float, float, float]
+    crs: str | None = None  # "EPSG:" and its code, if the file names one
 
     @property
     def dtype(self) -> np.dtype:
@@ -67,13 +69,85 @@ def read_header(path: str) -> Header:
     v = struct.unpack_from("<12d", raw, 131)
     if (major, minor) >= (1, 4):
         count = struct.unpack_from("<Q", raw, 247)[0] or count
-    return Header(path, (major, minor), count, offset, record, kind & 0x3F, v[0:3], v[3:6], (v[7], v[9], v[11]), (v[6], v[8], v[10]))
+    return Header(path, (major, minor), count, offset, record, kind & 0x3F, v[0:3], v[3:6], (v[7], v[9], v[11]), (v[6], v[8], v[10]), _crs(path, raw))
+
+
+# Records that hold the reference system, the keys of its codes in the first, and the code for "defined here".
+GEO_KEYS, WKT = 34735, 2112
+PROJECTED, GEOGRAPHIC, USER_DEFINED = 3072, 2048, 32767
+#: A reference system is a few thousand characters at most; larger records are not looked into.
+LARGEST_RECORD = 1 << 20
+
+
+def _records(path: str, head: bytes) -> Iterator[tuple[int, bytes]]:
+    """(id, content) of the projection records, behind the header and, from version 1.4, behind the points."""
+    size, _, n = struct.unpack_from("<HII", head, 94)
+    runs = [(size, n, "<H16sHH32x")]
+    if (head[24], head[25]) >= (1, 4) and len(head) >= 247:
+        runs.append((*struct.unpack_from("<QI", head, 235), "<H16sHQ32x"))
+    with open(path, "rb") as f:
+        for at, n, form in runs:
+            for _ in range(n):
+                f.seek(at)
+                lead = f.read(struct.calcsize(form))
+                if len(lead) < struct.calcsize(form):
+                    break
+                _, user, number, length = struct.unpack(form, lead)
+                if user.rstrip(b"\0") == b"LASF_Projection" and length <= LARGEST_RECORD:
+                    yield number, f.read(length)
+                at += len(lead) + length
+
+
+def _crs(path: str, head: bytes) -> str | None:
+    """The reference system's code from the file's geographic keys or text; the header tells which of them counts if it has both."""
+    found = dict(_records(path, head))
+    text = wkt_code(found[WKT].split(b"\0")[0].decode("utf-8", "replace")) if WKT in found else None
+    code = None
+    if GEO_KEYS in found:
+        raw = found[GEO_KEYS]
+        keys = struct.unpack(f"<{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
+        own = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}  # the value stands in the key itself
+        code = next((own[k] for k in (PROJECTED, GEOGRAPHIC) if own.get(k, 0) not in (0, USER_DEFINED)), None)
+    by_text = struct.unpack_from("<H", head, 6)[0] & 16
+    best = (text or code) if by_text else (code or text)
+    return None if best is None else f"EPSG:{best}"
+
+
+_WKT_PART = re.compile(r'"(?:[^"]|"")*"|[A-Za-z_][A-Za-z_0-9]*\s*[\[(]|[\])]|,|[^\s,\[\]()"]+')
+
+
+def wkt_code(text: str) -> int | None:
+    """The EPSG code of a reference system in well-known text: that of its outermost system or, of a compound one, its
+    horizontal part. None without one."""
+    path: list[list] = []
+    found: dict[int, int] = {}  # depth of the system: its code
+    compound = False
+    for m in _WKT_PART.finditer(text):
+        part = m[0]
+        if part[-1] in "[(":
+            name = part[:-1].strip().upper()
+            if not path:
+                compound = name.startswith("COMP")
+            path.append([name, []])
+        elif part in ")]":
+            if not path:
+                return None
+            name, values = path.pop()
+            if name in ("AUTHORITY", "ID") and len(values) > 1 and values[0].upper() == "EPSG" and values[1].isdigit():
+                system = path[-1][0] if path else ""
+                vertical = any(n.startswith("VERT") for n, _ in path)
+                if re.fullmatch(r"(PROJ|GEOG|GEOC|GEOD|BASEGEOG)(CS|CRS|ETICCRS|ICCRS|RAPHICCRS)|PROJECTEDCRS", system) and not vertical:
+                    found.setdefault(len(path), int(values[1]))
+        elif part != "," and path:
+            path[-1][1].append(part.strip('"'))
+    depth = 2 if compound else 1
+    return found.get(depth)
 
 
 def metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per file from its header alone, the points unread."""
-    rows = [(h.path, h.count, list(h.low) + list(h.high), h.has_colour, [(n, k) for n, k in h.extra_fields]) for h in map(read_header, paths)]
-    return spark.createDataFrame(rows, "path string, point_count long, aabb array<double>, has_color boolean, extra_fields array<struct<name: string, dtype: string>>")
+    rows = [(h.path, h.count, list(h.low) + list(h.high), h.crs, h.has_colour, [(n, k) for n, k in h.extra_fields]) for h in map(read_header, paths)]
+    return spark.createDataFrame(rows, "path string, point_count long, aabb array<double>, crs_in string, has_color boolean, extra_fields array<struct<name: string, dtype: string>>")
 
 
 _TYPES = {"u1": "smallint", "i1": "tinyint", "u2": "int", "i2": "smallint", "u4": "bigint", "i4": "int", "u8": "bigint", "f4": "float", "f8": "double"}
@@ -141,8 +215,8 @@ def _has_large_colour(h: Header, at: int, n: int) -> bool:
     return len(rows) > 0 and max(int(rows[c].max()) for c in ("red", "green", "blue")) > 255
 
 
-def write(path: str, xyz: np.ndarray, colours: np.ndarray | None = None, scale: float = 0.001, **fields: np.ndarray) -> None:
-    """A small LAS 1.2 file of format 0 or 2."""
+def write(path: str, xyz: np.ndarray, colours: np.ndarray | None = None, scale: float = 0.001, crs: int | str | None = None, **fields: np.ndarray) -> None:
+    """A small LAS 1.2 file of format 0 or 2; ``crs``: a projected system's code, or any system as text."""
     kind = 2 if colours is not None else 0
     dtype = np.dtype([(n, "<" + k) for n, k in FORMATS[kind]])
     rows = np.zeros(len(xyz), dtype)
@@ -155,10 +229,14 @@ def write(path: str, xyz: np.ndarray, colours: np.ndarray | None = None, scale:
     for n, v in fields.items():
         rows[n] = v
     head = bytearray(227)
+    record = b""
+    if crs is not None:
+        body = crs.encode() + b"\0" if isinstance(crs, str) else struct.pack("<8H", 1, 1, 0, 1, PROJECTED, 0, 1, crs)
+        record = struct.pack("<H16sHH32x", 0, b"LASF_Projection", WKT if isinstance(crs, str) else GEO_KEYS, len(body)) + body
     head[0:4], head[24], head[25] = b"LASF", 1, 2
-    struct.pack_into("<HIIBHI", head, 94, 227, 227, 0, kind, dtype.itemsize, len(xyz))
+    struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(record), 1 if record else 0, kind, dtype.itemsize, len(xyz))
     struct.pack_into("<12d", head, 131, scale, scale, scale, *low, high[0], low[0], high[1], low[1], high[2], low[2])
     with open(path, "wb") as f:
-        f.write(bytes(head) + rows.tobytes())
+        f.write(bytes(head) + record + rows.tobytes())
         f.flush()
         os.fsync(f.fileno())

@@ -155,6 +155,38 @@ def test_crs(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double")
     assert crs.reproject(df, 3857, 3857) is df and crs.reproject(df, None, None) is df
     with pytest.raises(crs.UnsupportedCrs):
-        crs.reproject(df, 3857, 28992)
+        crs.reproject(df, 3857, 5514)
     with pytest.raises(ValueError):
         crs.reproject(df, None, 3857)
+
+
+def near(got, want, off):
+    assert all(abs(float(g[0]) - w) <= off for g, w in zip(got, want, strict=False)), (got, want)
+
+
+def test_projections_at_published_points():
+    at = lambda lon, lat: (np.array([lon]), np.array([lat]), np.zeros(1))
+    # worked examples of the projections, on their own datums
+    near(crs.from_geodetic(crs.known(28992), *at(6.0, 53.0)), (196105.283, 557057.739), 0.01)
+    near(crs.from_geodetic(crs.known(27700), *at(1 + 43 / 60 + 4.5177 / 3600, 52 + 39 / 60 + 27.2531 / 3600)), (651409.903, 313177.270), 0.01)
+    near(crs.from_geodetic(crs.known(31370), *at(5.807370277777778, 50.679572500000006)), (251763.203, 153034.169), 0.05)
+    near(crs.from_geodetic(crs.known(2056), *at(7.439583333333333, 46.95240555555556)), (2600000.0, 1200000.0), 0.001)
+    # and shifted, within the metre or so that seven parameters are good for: a place by its coordinates on both datums
+    near(crs.transform(28992, 4326, np.array([155000.0]), np.array([463000.0]), np.zeros(1)), (5.38720621, 52.15517440), 5e-6)
+    near(crs.transform(2056, 4326, np.array([2600000.0]), np.array([1200000.0]), np.zeros(1)), (7.438632, 46.951083), 2e-5)
+    near(crs.transform(27700, 4326, np.array([651409.903]), np.array([313177.270]), np.zeros(1)), (1.716073972, 52.658007833), 6e-5)
+
+
+def test_all_systems_there_and_back(spark):
+    places = {2056: (8.2, 46.8), 21781: (8.2, 46.8), 2157: (-7.0, 53.0), 2180: (20.0, 52.0), 2193: (172.0, -42.0), 2326: (114.2, 22.3), 27700: (-1.5, 52.0), 28992: (5.1, 52.3), 31370: (4.8, 50.6), 3812: (4.8, 50.6)}
+    for code, p in crs.KNOWN.items():
+        lon, lat = places.get(code, (p.lon0 + 0.7, (p.lat0 if 30 < p.lat0 < 80 else 47.0) + 0.3))
+        if p.y0 == 1e7:
+            lat = -33.0
+        there = crs.transform(4326, code, np.array([lon]), np.array([lat]), np.array([12.0]))
+        near(crs.transform(code, 4326, *there), (lon, lat, 12.0), 1e-6 if p.kind == "geocentric" else 3e-8 if p.shift else 2e-8)
+    df = spark.createDataFrame([(155000.0, 463000.0, 3.0)], "x double, y double, z double")
+    r = crs.reproject(df, 28992, 4978).first()
+    near([[v] for v in r], [v[0] for v in crs.transform(4326, 4978, np.array([5.38720621]), np.array([52.15517440]), np.array([3.0]))], 0.5)
+    crs.register(990001, crs.Projection("tm", crs.BESSEL, 10.0, 0.0, 0, 0, 1.0, 5e5, 0.0))
+    assert crs.known("EPSG:990001").ellipsoid == crs.BESSEL

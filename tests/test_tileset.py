@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 
 from stratapoint import metadata as M
+from stratapoint import sources
 from stratapoint import tileset as T
 from stratapoint.codecs import pnts
 from stratapoint.convert import PointTiler, assign, convert, make_folder
-from stratapoint.errors import BoxMissing, InvalidMetadata, InvalidTileset, MissingCrs, NoTilerFound, TilingFailed, UnknownExtension
+from stratapoint.errors import BoxMissing, InvalidMetadata, InvalidTileset, MissingCrs, MixedCrs, NoTilerFound, TilingFailed, UnknownExtension
 from stratapoint.sources import las
 
 
@@ -117,8 +118,30 @@ def test_folders_and_routing(tmp_path):
     assert os.listdir(tmp_path / "x") == []
     with pytest.raises(NoTilerFound, match="a.txt, b.doc"):
         assign([PointTiler()], ["a.txt", "c.XYZ", "b.doc"])
+
+
+def test_reference_systems_of_files(spark, tmp_path):
+    p = np.random.default_rng(3).random((50, 3)) * 100
+    geog = 'GEOGCS["WGS 84",DATUM["W",SPHEROID["WGS 84",6378137,298.257223563,AUTHORITY["EPSG","7030"]],AUTHORITY["EPSG","6326"]],AUTHORITY["EPSG","4326"]]'
+    wkt = f'PROJCS["UTM, 31 (N)",{geog},PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],AUTHORITY["EPSG","32631"]]'
+    compound = f'COMPD_CS["both",{wkt},VERT_CS["h",VERT_DATUM["v",2005,AUTHORITY["EPSG","5100"]],AUTHORITY["EPSG","5720"]],AUTHORITY["EPSG","7405"]]'
+    newer = 'PROJCRS["x",BASEGEOGCRS["g",DATUM["d",ELLIPSOID["e",6378137,298.257222101]],ID["EPSG",4171]],CONVERSION["c",METHOD["m",ID["EPSG",9802]]],CS[Cartesian,2],ID["EPSG",2154]]'
+    for name, code in (("a", 3857), ("b", 3857), ("c", 2154), ("none", None), ("wkt", wkt), ("both", compound), ("geog", geog), ("newer", newer), ("odd", 'LOCAL_CS["x"]'), ("own", 32767)):
+        las.write(str(tmp_path / f"{name}.las"), p + [281345, 369123, 0], crs=code)
+    found = {os.path.basename(r.path)[:-4]: r.crs for r in sources.named_crs(spark, [str(tmp_path / f) for f in os.listdir(tmp_path)]).collect()}
+    assert found == {"a": "EPSG:3857", "b": "EPSG:3857", "c": "EPSG:2154", "none": None, "wkt": "EPSG:32631", "both": "EPSG:32631", "geog": "EPSG:4326", "newer": "EPSG:2154", "odd": None, "own": None}
+    assert len(las.scan(spark, [str(tmp_path / "wkt.las")]).collect()) == 50
+    path = lambda *names: [str(tmp_path / f"{n}.las") for n in names]
+    assert PointTiler().source_crs(spark, path("a", "b", "none")) == "EPSG:3857" and PointTiler(3857).source_crs(spark, path("a", "none")) == "EPSG:3857"
+    for tiler, files in ((PointTiler(), path("a", "c")), (PointTiler(2154), path("a"))):
+        with pytest.raises(MixedCrs, match="2154.*3857"):
+            tiler.source_crs(spark, files)
+    assert PointTiler(2154, force_crs_in=True).source_crs(spark, path("a")) == 2154
     with pytest.raises(MissingCrs):
-        PointTiler(crs_out=3857)
+        convert(spark, path("none"), str(tmp_path / "x"), [PointTiler(crs_out=3857)])
+    assert not os.path.exists(tmp_path / "x")
+    ts = convert(spark, path("a"), str(tmp_path / "y"), [PointTiler(crs_out=4978)])
+    assert abs(np.linalg.norm(ts.root.transform[:3, 3]) - 6378000) < 1000 and ts.count_points() == 50
 
 
 @pytest.mark.parametrize("form", ["pnts", "glb"])
