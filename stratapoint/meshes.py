@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
 
 from stratapoint import sources
@@ -27,49 +28,42 @@ def _encode(meshes: list[glb.Mesh], form: str) -> bytes:
     return b3dm.from_meshes(meshes, matrix=glb.Z_UP_TO_Y_UP) if form == "b3dm" else glb.encode(meshes, glb.Z_UP_TO_Y_UP)
 
 
-def _tile(meshes: list[glb.Mesh], out: str, name: str, form: str, offset: np.ndarray) -> Tile:
-    points = np.concatenate([m.points for m in meshes])
-    for m in meshes:
-        m.points = (m.points - offset).astype(np.float32)
-    with open(os.path.join(out, name), "wb") as f:
-        f.write(_encode(meshes, form))
-    half = max(float(((m.points.max(axis=0) - m.points.min(axis=0)) / 2).max()) for m in meshes)
-    return Tile(0.0, box_from_points(points - offset), refine=ADD, content_uri=name, extras={"size": half})
+def _write(path: str, data: bytes) -> None:
+    with open(path + ".part", "wb") as f:  # a task that is run again writes the same bytes
+        f.write(data)
+    os.replace(path + ".part", path)
 
 
-def mesh_tiles(spark: SparkSession, paths: Sequence[str], out: str, form: str = "b3dm") -> TileSet:
-    """One tree of all files' tiles about their first vertex. Files are keyed by their place, so ids of several never mix.
+#: One row a tile: the file's number, the tile and its parent in it, its box about the file's offset, its content's file.
+ROWS = "number int, id long, parent long, box array<double>, size double, content string, ox double, oy double, oz double, skipped int"
 
-    Geometry that no kernel here knows is left out and counted in the root's extras. Meshless branches are dropped.
-    """
+
+def _file_tiles(number: int, path: str, out: str, form: str) -> Iterator[tuple]:
+    """Reads a file, writes its contents about its first vertex, and gives its tiles, a parent before its children."""
     suffix = ".b3dm" if form == "b3dm" else ".glb"
-    tops: list[Tile] = []
-    offset: np.ndarray | None = None
+    parent: dict[int, int | None] = {}
+    parts: dict[int, list[glb.Mesh]] = {}
     skipped = 0
-    for number, path in enumerate(paths):
-        if sources.suffix(path) == ".obj":
-            library = {m["name"]: m for p in _libraries(path) for m in obj.read_materials(p)}
-            corners = obj.scan(spark, [path]).orderBy("mesh", "material", "face", "corner").toPandas()  # one file, one content
-            meshes = []
-            for (_, material), part in corners.groupby(["mesh", "material"], sort=True):
-                m = library.get(material)
-                meshes.append(glb.Mesh(
-                    part[["x", "y", "z"]].to_numpy(float), part[["nx", "ny", "nz"]].to_numpy(np.float32) if part["nx"].notna().all() else None,
-                    part[["u", "v"]].to_numpy(np.float32) if part["u"].notna().all() else None,
-                    primitives=[glb.Primitive(material=pbr(m) if m else None, texture=os.path.basename(m["texture"]) if m and m["texture"] else None)], name=material,
-                ))
-                if m and m["texture"] and os.path.exists(m["texture"]):
-                    with open(m["texture"], "rb") as src, open(os.path.join(out, os.path.basename(m["texture"])), "wb") as dst:
-                        dst.write(src.read())
-            if meshes:
-                offset = meshes[0].points[0].copy() if offset is None else offset
-                tops.append(_tile(meshes, out, f"{number}{suffix}", form, offset))
-            continue
-        with open(path, encoding="utf-8", errors="replace") as f:
-            model = step.Model.parse(f.read())
+    with open(path, encoding="utf-8", errors="replace") as f:
+        text = f.read()
+    if sources.suffix(path) == ".obj":
+        library = {m["name"]: m for p in _libraries(path) for m in obj.read_materials(p)}
+        names = [c.split()[0] for c in obj.CORNERS.split(", ")]
+        corners = pd.DataFrame(list(obj._parse(path, text)), columns=names).sort_values(["mesh", "material", "face", "corner"], kind="stable")
+        parent[0] = None
+        for (_, material), part in corners.groupby(["mesh", "material"], sort=True):
+            m = library.get(material)
+            parts.setdefault(0, []).append(glb.Mesh(
+                part[["x", "y", "z"]].to_numpy(float), part[["nx", "ny", "nz"]].to_numpy(np.float32) if part["nx"].notna().all() else None,
+                part[["u", "v"]].to_numpy(np.float32) if part["u"].notna().all() else None,
+                primitives=[glb.Primitive(material=pbr(m) if m else None, texture=os.path.basename(m["texture"]) if m and m["texture"] else None)], name=material,
+            ))
+            if m and m["texture"] and os.path.exists(m["texture"]):
+                with open(m["texture"], "rb") as src:
+                    _write(os.path.join(out, os.path.basename(m["texture"])), src.read())
+    else:
+        model = step.Model.parse(text)
         owner: dict[int, int] = {}
-        parent: dict[int, int | None] = {}
-        parts: dict[int, list[glb.Mesh]] = {}
         for i, p, _ in model.tree():
             spatial = model.entities[i][0] in step.SPATIAL
             owner[i] = i if spatial else owner[p]
@@ -79,33 +73,72 @@ def mesh_tiles(spark: SparkSession, paths: Sequence[str], out: str, form: str =
             skipped += lost
             if triangles is not None and len(triangles):
                 parts.setdefault(owner[i], []).append(glb.Mesh(triangles.reshape(-1, 3), name=str(model.entities[i][1][2] or model.entities[i][1][0]), properties={"id": model.entities[i][1][0], "class": model.entities[i][0]}))
+    first = next((parts[i][0].points[0] for i in parent if i in parts), None)
+    offset = np.zeros(3) if first is None else np.array(first, float)
+    for i, up in parent.items():
+        box, size, name = None, 0.0, None
+        if i in parts:
+            name = f"{number}_{i}{suffix}"
+            for m in parts[i]:
+                m.points = (m.points - offset).astype(np.float32)
+            points = np.concatenate([m.points for m in parts[i]]).astype(float)
+            box = box_from_points(points).tolist()
+            size = max(float(((m.points.max(axis=0) - m.points.min(axis=0)) / 2).max()) for m in parts[i])
+            _write(os.path.join(out, name), _encode(parts[i], form))
+        yield number, i, up, box, size, name, *offset.tolist(), skipped
+
+
+def mesh_tiles(spark: SparkSession, paths: Sequence[str], out: str, form: str = "b3dm") -> TileSet:
+    """One tree of all files' tiles, each file's about its first vertex. A file is a task's unit: it is read, encoded and written
+    there, and only its tiles' boxes come back. Files are keyed by their place, so ids of several never mix.
+
+    Geometry that no kernel here knows is left out and counted in the root's extras. Meshless branches are dropped.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, path in zip(batch["number"], batch["path"], strict=True):
+                yield pd.DataFrame(list(_file_tiles(int(number), path, out, form)), columns=names).astype({"parent": "Int64"})
+
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    files = spark.createDataFrame(list(enumerate(paths)), "number int, path string").repartition(max(1, len(paths)), "number")
+    by_file: dict[int, list] = {}
+    for r in files.mapInPandas(run, ROWS).collect():  # one short row a tile
+        by_file.setdefault(r.number, []).append(r)
+    tops: list[Tile] = []
+    for number in sorted(by_file):
+        rows = by_file[number]
         tiles: dict[int, Tile] = {}
-        for i in reversed(list(parent)):  # children before parents
-            below = [tiles[c] for c in parent if parent[c] == i and c in tiles]
-            if i in parts:
-                offset = parts[i][0].points[0].copy() if offset is None else offset
-                t = _tile(parts[i], out, f"{number}_{i}{suffix}", form, offset)
-            elif below:
-                t = Tile(refine=ADD, extras={"size": 0.0})
-            else:
+        below: dict[int, list[Tile]] = {}
+        for r in reversed(rows):  # children before parents
+            children = below.get(r.id, [])[::-1]
+            if r.content is None and not children:
                 continue
-            t.geometric_error = max([max(c.extras["size"], c.geometric_error) for c in below], default=0.0)
-            t.children = below
-            tiles[i] = t
-        tops += [tiles[i] for i in parent if parent[i] is None and i in tiles]
+            t = Tile(max([max(c.extras["size"], c.geometric_error) for c in children], default=0.0), None if r.box is None else np.array(r.box), refine=ADD, content_uri=r.content, children=children, extras={"size": r["size"]})
+            tiles[r.id] = t
+            if r.parent is not None:
+                below.setdefault(r.parent, []).append(t)
+        own = [tiles[r.id] for r in rows if r.parent is None and r.id in tiles]
+        if own:
+            top = own[0] if len(own) == 1 else _above(own)
+            top.transform[:3, 3] = rows[0].ox, rows[0].oy, rows[0].oz
+            tops.append(top)
     if not tops:
         raise TilingFailed("no meshes")
-    root = tops[0] if len(tops) == 1 else Tile(max(max(t.extras["size"], t.geometric_error) for t in tops), refine=ADD, children=tops)
-    move = np.eye(4)
-    move[:3, 3] = offset
-    root.transform = move
-    root.extras = {k: v for k, v in root.extras.items() if k != "size"} | ({"skippedItems": skipped} if skipped else {})
+    root = tops[0] if len(tops) == 1 else _above(tops)
+    skipped = sum(rows[0].skipped for rows in by_file.values())
     root.sync_boxes()
-    for t in root.descendants():
+    for t in [root, *root.descendants()]:
         t.extras = {k: v for k, v in t.extras.items() if k != "size"}
+    root.extras |= {"skippedItems": skipped} if skipped else {}
     return TileSet(root, root.geometric_error or 1.0, "1.0" if form == "b3dm" else "1.1")
 
 
+def _above(tiles: list[Tile]) -> Tile:
+    error = max(max(t.extras["size"], t.geometric_error) for t in tiles)
+    return Tile(error, refine=ADD, children=tiles, extras={"size": 0.0})
+
+
 def _libraries(path: str) -> list[str]:
     with open(path, encoding="utf-8", errors="replace") as f:
         names = [ln.split(None, 1)[1].strip() for ln in f if ln.startswith("mtllib ")]

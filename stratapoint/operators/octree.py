@@ -296,23 +296,23 @@ def prune_map(counts: DataFrame, least: int = PRUNE_BELOW) -> DataFrame:
 
 
 def tile_tree(shown: DataFrame, root: Root) -> DataFrame:
-    """Tiles of shown points (after pruning): node, parent, level, n, geometric_error, bounds, has_content.
+    """Tiles of shown points (after pruning): node, parent, level, n, geometric_error, bounds of all points in and below the
+    tile, has_content, inner_tile (it has tiles below).
 
     The error is ten spacings over the scale; of a tile without children 0. Nodes that keep no points of their own but have
-    tiles below them stay as tiles without content, boxed around their children.
+    tiles below them stay as tiles without content.
     """
     own = shown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.min(v).cast("double").alias(f"min_{v}") for v in AXES], *[F.max(v).cast("double").alias(f"max_{v}") for v in AXES])
     lifted = own.withColumn("up", F.explode(G.prefixes(F.col("node"))))
     all_nodes = lifted.groupBy("up").agg(
         F.sum(F.when(F.col("up") == F.col("node"), F.col("n")).otherwise(0)).alias("n"), F.max(F.length("node")).alias("deepest"),
-        *[F.coalesce(F.min(F.when(F.col("up") == F.col("node"), F.col(f"min_{v}"))), F.min(f"min_{v}")).alias(f"min_{v}") for v in AXES],
-        *[F.coalesce(F.max(F.when(F.col("up") == F.col("node"), F.col(f"max_{v}"))), F.max(f"max_{v}")).alias(f"max_{v}") for v in AXES],
+        *[F.min(f"min_{v}").alias(f"min_{v}") for v in AXES], *[F.max(f"max_{v}").alias(f"max_{v}") for v in AXES],
     )
     level = F.length("up")
-    error = F.when(F.col("deepest") == level, F.lit(0.0)).otherwise(node_error(root, level))
+    inner = F.col("deepest") > level
     return all_nodes.select(
-        F.col("up").alias("node"), F.when(level > 0, F.substring("up", F.lit(1), level - 1)).alias("parent"), level.alias("level"), "n", error.alias("geometric_error"),
-        *[f"min_{v}" for v in AXES], *[f"max_{v}" for v in AXES], (F.col("n") > 0).alias("has_content"),
+        F.col("up").alias("node"), F.when(level > 0, F.substring("up", F.lit(1), level - 1)).alias("parent"), level.alias("level"), "n",
+        F.when(inner, node_error(root, level)).otherwise(F.lit(0.0)).alias("geometric_error"), *[f"min_{v}" for v in AXES], *[f"max_{v}" for v in AXES], (F.col("n") > 0).alias("has_content"), inner.alias("inner_tile"),
     )
 
 

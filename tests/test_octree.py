@@ -118,7 +118,7 @@ def test_prune_and_tree(spark):
     shown = spark.createDataFrame([("0", 1.0, 1.0, 1.0), ("011", 2.0, 2.0, 2.0), ("011", 4.0, 3.0, 2.0)], "node string, x double, y double, z double")
     root = octree.Root((0.0, 0.0, 0.0), (125.0, 0.0, 0.0))
     t = {r.node: r for r in octree.tile_tree(shown, root).collect()}
-    assert set(t) == {"", "0", "01", "011"} and t["011"].geometric_error == 0 and t["01"].geometric_error == 2.5 and not t["01"].has_content and t["01"].max_x == 4.0 and t["0"].max_x == 1.0
+    assert set(t) == {"", "0", "01", "011"} and t["011"].geometric_error == 0 and t["01"].geometric_error == 2.5 and not t["01"].has_content and t["01"].max_x == 4.0 and t["0"].max_x == 4.0 and t["0"].inner_tile and not t["011"].inner_tile
     assert octree.prune_map(spark.createDataFrame([], "node string, n long")).collect() == []
 
 

@@ -156,7 +156,7 @@ def test_convert_points(spark, tmp_path, form):
     assert back.count_points() == 3000 and ts.root.refine == "REPLACE" and back.root.content_uri
     world = T.box_corners(back.root.world_box())
     assert np.allclose(world.min(axis=0), p.min(axis=0), atol=0.1) and np.allclose(world.max(axis=0), p.max(axis=0), atol=0.1)
-    assert all(t.geometric_error == 0 or t.children for t in back.root.descendants())
+    assert all(t.geometric_error == 0 or t.children or t.content_uri.endswith(".json") for t in back.root.descendants())
     with pytest.raises(FileExistsError):
         convert(spark, [str(tmp_path / "a.las")], out)
     las.write(str(tmp_path / "c.las"), np.empty((0, 3)))
@@ -189,3 +189,63 @@ def test_metadata():
         M.Property("VEC2")
     assert M.check_identifier("") == ""
     assert M.class_of(c.spark_type()["a"].dataType and M.T.StructType().add("n", "double", False)).to_dict()["properties"] == {"n": {"type": "SCALAR", "componentType": "FLOAT64", "required": True}}
+
+
+def all_tiles(folder, name="tileset.json"):
+    """Tiles of a tree over all of its files: (tile, links from the root, the boxes around it)."""
+    ts = T.TileSet.read(os.path.join(folder, name))
+    stack = [(ts.root, [], 0)]
+    while stack:
+        t, around, links = stack.pop()
+        if (t.content_uri or "").endswith(".json"):
+            assert links < 20
+            for u, above, deeper in all_tiles(folder, t.content_uri):
+                yield u, around + above, links + 1 + deeper
+            continue
+        yield t, around, links
+        stack += [(c, [*around, t.box], links) for c in t.children]
+
+
+def test_large_trees_are_written_by_tasks_in_files_of_few_levels(spark, tmp_path, monkeypatch):
+    from stratapoint import convert as C
+
+    p = np.random.default_rng(5).random((4000, 3)) * 64
+    p[:700] = [10, 20, 30]
+    las.write(str(tmp_path / "a.las"), p)
+    out = str(tmp_path / "out")
+    monkeypatch.setattr(C, "CONTENT_POINTS", 250)
+    monkeypatch.setattr(C, "FILE_LEVELS", 2)
+    ts = convert(spark, [str(tmp_path / "a.las")], out, [PointTiler(leaf_capacity=200)])
+    tiles = list(all_tiles(out))
+    assert max(links for _, _, links in tiles) >= 3 and all(len(list(T.TileSet.read(os.path.join(out, f)).root.descendants())) <= 100 for f in os.listdir(out) if f.endswith(".json"))
+    files = [t.content_uri for t, _, _ in tiles if t.content_uri]
+    on_disk = {os.path.relpath(os.path.join(d, f), out) for d, _, names in os.walk(out) for f in names if f.endswith(".pnts")}
+    assert len(files) == len(set(files)) and set(files) == on_disk and any(".1." in f for f in files)
+    assert ts.count_points() == 4000
+    total = 0
+    for t, around, _ in tiles:
+        for box in around:
+            a, b = T.box_corners(box), T.box_corners(t.box)
+            assert (a.min(axis=0) <= b.min(axis=0) + 1e-6).all() and (a.max(axis=0) >= b.max(axis=0) - 1e-6).all()
+        if t.content_uri and t.content_uri != "r.pnts":
+            content = pnts.decode((tmp_path / "out" / t.content_uri).read_bytes())
+            assert len(content) <= 330
+            total += len(content)
+    assert total == 4000
+
+
+def test_mesh_files_are_read_by_tasks(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    for k in range(3):
+        v = rng.random((12, 3)) * 5 + [1000 * k, 50, 7]
+        lines = [f"v {x} {y} {z}" for x, y, z in v] + [f"o part{k}", "usemtl none"] + [f"f {j + 1} {j + 2} {j + 3}" for j in range(10)]
+        (tmp_path / f"m{k}.obj").write_text("\n".join(lines))
+    out = str(tmp_path / "out")
+    ts = convert(spark, [str(tmp_path / f"m{k}.obj") for k in range(3)], out)
+    back = T.TileSet.read(os.path.join(out, "tileset.json"))
+    tops = back.root.children
+    assert len(tops) == 3 and len({tuple(t.transform[:3, 3]) for t in tops}) == 3 and sorted(os.listdir(out)) == ["0_0.b3dm", "1_0.b3dm", "2_0.b3dm", "tileset.json"]
+    assert all(abs(t.world_box()[0] - 1000 * k) < 10 for k, t in enumerate(tops)) and ts.geometric_error > 0
+    (tmp_path / "empty.obj").write_text("o x\n")
+    with pytest.raises(TilingFailed):
+        convert(spark, [str(tmp_path / "empty.obj")], str(tmp_path / "none"))
