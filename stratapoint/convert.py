@@ -216,7 +216,7 @@ class PointTiler:
 
     def plan(self, spark: SparkSession, paths: Sequence[str], out: str) -> TileSet:
         source = self.source_crs(spark, paths)
-        points = sources.read_points(spark, paths)
+        points = sources.read_points(spark, paths, self.fields)
         points = crs.reproject(points, source, self.crs_out)
         points = points.where(" and ".join(f"{v} is not null and not isnan(double({v}))" for v in AXES)).persist()
         row = octree.root_statistics(points, "path").first()

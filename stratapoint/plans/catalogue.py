@@ -481,4 +481,4 @@ def xyz_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other groups of queries add themselves
-from stratapoint.plans import contents, meshes, trees  # noqa: E402, F401
+from stratapoint.plans import contents, files, meshes, trees  # noqa: E402, F401

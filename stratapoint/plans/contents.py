@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,8 @@ from stratapoint.operators import octree
 from stratapoint.plans import views
 from stratapoint.plans.catalogue import query
 from stratapoint.plans.views import PTS_EMB_SQL, PTS_LI_N_SQL
-from stratapoint.streaming.node_counts import node_counts
+from stratapoint.session import shared_folder
+from stratapoint.streaming.node_counts import node_counts, thin_stream
 
 POINTS = "node string, x double, y double, z double, red int, green int, blue int, classification double"
 
@@ -97,7 +97,30 @@ def stream_node_counts(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(spark.read.parquet(f"{d}/lineitem.parquet").schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
     points = source.select((F.col("l_quantity") * 2000).alias("x"), F.col("l_extendedprice").alias("y"), (F.col("l_discount") * 1e6).alias("z"))
     name = f"node_counts_{os.getpid()}_{abs(hash(d)) % 10**8}_{np.random.default_rng().integers(10**9)}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    running = node_counts(points, root, 2).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    running = node_counts(points, root, 2).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name).withColumns({"min_z": F.round("min_z", 6), "max_z": F.round("max_z", 6)})
+
+
+@query(f"WITH {views.path_sql(PTS_EMB_SQL, 1, '*')} SELECT node, 2 * count(*) AS n, 2 * sum(label)::DOUBLE AS total FROM placed GROUP BY 1")
+def glb_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's glTF of points merged with itself: twice the points."""
+
+    def twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(content=[glb.merge_points([bytes(c)] * 2) for c in batch["content"]])[["node", "content"]]
+
+    merged = encode_nodes(_nodes(spark, d), ["classification"], True, "glb").mapInPandas(twice, "node string, content binary")
+    return read_points(merged).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("classification").alias("total"))
+
+
+@query(f"WITH {views.thin_sql(PTS_EMB_SQL, 'vec_id', 1)} SELECT vec_id, node FROM k1 WHERE far")
+def stream_thin(spark: SparkSession, d: str) -> DataFrame:
+    """embeddings as a stream of its file, thinned on the first level with state kept per cell."""
+    root = octree.root_of(views.pts_emb(spark, d))
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/embeddings.parquet").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    points = source.select("vec_id", *[F.element_at("embedding", k + 1).alias(v) for k, v in enumerate("xyz")])
+    name = f"thin_{os.getpid()}_{np.random.default_rng().integers(10**12)}"
+    running = thin_stream(points, root, 1, ["vec_id"]).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).select("vec_id", "node")

@@ -73,27 +73,43 @@ def cell_sql(cells: int = 3) -> str:
     return "(" + " + ".join(parts) + ")::INTEGER"
 
 
+def _thin_level(k: int) -> list[str]:
+    """SQL steps of one level over q{k} (points placed in nodes, with id as their order) and n{k} (the nodes to thin): k{k} tells
+    which points are far enough from those kept before them in their cell."""
+    near = "len(list_filter(kept, lambda o: (o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y) + (o.z - p.z) * (o.z - p.z) < spacing * spacing)) > 0"
+    return [
+        f"c{k} AS MATERIALIZED (SELECT id, node, {cell_sql()} AS cell, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z FROM q{k} WHERE node IN (SELECT node FROM n{k}))",
+        f"r{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node, cell ORDER BY id) AS rn FROM c{k})",
+        f"w{k} AS (SELECT (sqrt(sx * sx + sy * sy + sz * sz) / 125 / {2**k}) AS spacing FROM s0)",
+        f"""g{k} AS (SELECT node, cell, rn, id, true AS far, [{{'x': x, 'y': y, 'z': z}}] AS kept FROM r{k} WHERE rn = 1
+ UNION ALL SELECT p.node, p.cell, p.rn, p.id, NOT ({near}), CASE WHEN {near} THEN kept ELSE list_append(kept, {{'x': p.x, 'y': p.y, 'z': p.z}}) END
+ FROM g{k} g JOIN r{k} p ON p.node = g.node AND p.cell = g.cell AND p.rn = g.rn + 1, w{k})""",
+        f"k{k} AS MATERIALIZED (SELECT id, node, far FROM g{k})",
+    ]
+
+
+def _numbered_path(points: str, order: str) -> list[str]:
+    return [path_sql(points, 1, "*").replace("p0 AS (SELECT p.*, '' AS node", f"p0 AS (SELECT p.*, row_number() OVER (ORDER BY {order}) AS id, '' AS node"), "q1 AS MATERIALIZED (SELECT * FROM placed)"]
+
+
+def thin_sql(points: str, key: str, level: int = 1) -> str:
+    """SQL of the thinning of all first-level nodes, in order of a unique key: k1 (key, node, far)."""
+    steps = [*_numbered_path(points, key), "n1 AS (SELECT DISTINCT node FROM q1)", *_thin_level(level)]
+    return "RECURSIVE " + ",\n".join(steps).replace("k1 AS MATERIALIZED (SELECT id, node, far FROM g1)", f"k1 AS MATERIALIZED (SELECT q1.{key}, g1.node, g1.far FROM g1 JOIN q1 USING (id))")
+
+
 def lod_sql(points: str, arrival: str, capacity: int, levels: int) -> str:
     """SQL that thins points level by level: ``shown`` (the points' columns and node). Within a cell of a node that is split, rows
     are visited one after the other in arrival order by recursion; each is kept if it is no nearer than the spacing to those kept.
     ``levels`` must reach down to where no node is split."""
-    steps = [path_sql(points, 1, "*").replace(f"p0 AS (SELECT p.*, '' AS node", f"p0 AS (SELECT p.*, row_number() OVER (ORDER BY {arrival}) AS id, '' AS node"), "q1 AS MATERIALIZED (SELECT * FROM placed)"]
+    steps = _numbered_path(points, arrival)
     shown = []
     for k in range(1, levels + 1):
         steps.append(f"n{k} AS MATERIALIZED (SELECT node FROM q{k} GROUP BY 1 HAVING count(*) >= {capacity})")
         shown.append(f"SELECT id, node FROM q{k} WHERE node NOT IN (SELECT node FROM n{k})")
         if k == levels:
             break
-        steps.append(f"c{k} AS MATERIALIZED (SELECT id, node, {cell_sql()} AS cell, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z FROM q{k} WHERE node IN (SELECT node FROM n{k}))")
-        steps.append(f"r{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node, cell ORDER BY id) AS rn FROM c{k})")
-        steps.append(f"w{k} AS (SELECT (sqrt(sx * sx + sy * sy + sz * sz) / 125 / {2**k}) AS spacing FROM s0)")
-        near = f"len(list_filter(kept, lambda o: (o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y) + (o.z - p.z) * (o.z - p.z) < spacing * spacing)) > 0"
-        steps.append(
-            f"""g{k} AS (SELECT node, cell, rn, id, true AS far, [{{'x': x, 'y': y, 'z': z}}] AS kept FROM r{k} WHERE rn = 1
- UNION ALL SELECT p.node, p.cell, p.rn, p.id, NOT ({near}), CASE WHEN {near} THEN kept ELSE list_append(kept, {{'x': p.x, 'y': p.y, 'z': p.z}}) END
- FROM g{k} g JOIN r{k} p ON p.node = g.node AND p.cell = g.cell AND p.rn = g.rn + 1, w{k})"""
-        )
-        steps.append(f"k{k} AS MATERIALIZED (SELECT id, node, far FROM g{k})")
+        steps += _thin_level(k)
         shown.append(f"SELECT id, node FROM k{k} WHERE far")
         digit = (
             "(CASE WHEN x::FLOAT >= ((lx + (lx + sx)) * 0.5)::FLOAT THEN 4 ELSE 0 END + CASE WHEN y::FLOAT >= ((ly + (ly + sy)) * 0.5)::FLOAT THEN 2 ELSE 0 END"

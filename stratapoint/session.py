@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -47,15 +48,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``. Where none is set, tests and benchmarks on one
+    machine (a local master) get a temporary one, and a cluster raises RuntimeError."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not hasattr(sc, "_stratapoint_folder"):
+        sc._stratapoint_folder = tempfile.mkdtemp(prefix="shared-")
+    return sc._stratapoint_folder
 
-    The folder is the session's ``spark.checkpoint.dir``. Where none is set (tests on one machine) a temporary one is
-    made; a cluster must name a shared folder.
-    """
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new empty folder below the shared one, as a path of the file system."""
+    base = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    os.makedirs(path)
+    return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

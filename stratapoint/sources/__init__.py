@@ -19,8 +19,13 @@ def suffix(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
 
-def read_points(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Points of files of any mix of suffixes, as one table; columns that some files lack are null."""
+#: What is read beside places and colours where nothing is asked for.
+USUAL_FIELDS = ("intensity", "classification")
+
+
+def read_points(spark: SparkSession, paths: Iterable[str], fields: Iterable[str] = USUAL_FIELDS) -> DataFrame:
+    """Points of files of any mix of suffixes, as one table; columns that some files lack are null. Readers of binary files give
+    the asked fields; delimited files have those of their columns."""
     by: dict[str, list[str]] = {}
     for p in paths:
         by.setdefault(suffix(p), []).append(p)
@@ -29,7 +34,7 @@ def read_points(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
         raise FormatNotSupported(f"no reader for {', '.join(unknown)}")
     out = None
     for s, files in by.items():
-        part = READERS[s](spark, files)
+        part = READERS[s](spark, files, tuple(fields)) if s in (".las", ".ply") else READERS[s](spark, files)
         if "point_no" not in part.columns:
             part = part.withColumn("point_no", F.monotonically_increasing_id())
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -26,21 +27,29 @@ def thin_stream(points: DataFrame, root: Root, level: int, columns: Sequence[str
     """Points of a stream that lie at least the level's spacing from all kept before in their (node, cell).
 
     The state of a cell is its kept points, whose number is bounded by the cell's size over the spacing. Within a micro-batch
-    rows are taken in order of ``columns``. Output: node, cell, columns, x, y, z of the kept points.
+    rows are taken in order of ``columns``; nulls and NaN are left out. Output: node, cell, columns, x, y, z of the kept points.
     """
     spacing = root.spacing / 2**level
-    placed = with_nodes(points, root, level).withColumn("cell", cell_of(root, level)).select("node", "cell", *columns, *AXES)
+    ok = reduce(lambda a, b: a & b, [F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) for v in AXES])
+    placed = with_nodes(points.where(ok), root, level).withColumn("cell", cell_of(root, level)).select("node", "cell", *columns, *AXES)
     limit = spacing * spacing
 
+    near = [(i, j, k) for i in (0, -1, 1) for j in (0, -1, 1) for k in (0, -1, 1)]
+
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         kept = [tuple(p) for p in state.get[0]] if state.exists else []
+        boxes: dict[tuple, list[tuple]] = {}  # kept points by boxes of the spacing, so that only neighbours are compared
+        for p in kept:
+            boxes.setdefault(tuple(math.floor(v / spacing) for v in p), []).append(p)
         rows = pd.concat(list(batches)).sort_values(list(columns), kind="stable")
         flags = []
-        for x, y, z in zip(*[rows[v].astype(float) for v in AXES], strict=True):
-            far = all((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 >= limit for a, b, c in kept)
+        for x, y, z in zip(*[rows[v].astype(float).tolist() for v in AXES], strict=True):
+            i, j, k = math.floor(x / spacing), math.floor(y / spacing), math.floor(z / spacing)
+            far = all((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 >= limit for u, v, w in near for a, b, c in boxes.get((i + u, j + v, k + w), ()))
             flags.append(far)
             if far:
                 kept.append((x, y, z))
+                boxes.setdefault((i, j, k), []).append((x, y, z))
         state.update(([list(p) for p in kept],))
         yield rows[flags]
 
