@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ PRUNE_BELOW = 100
 MIN_SPACING = 0.001
 #: A place that more than one in STACK_SHARE points share is handled apart.
 STACK_SHARE = 1000
-WORKING = ("node", "cell", "kept", "lx", "ly", "lz", "inner_node", "_d")
+WORKING = ("node", "cell", "kept", "lx", "ly", "lz", "inner_node", "_d", "_bx", "_by", "_bz", "_f", "_m", "_s", "_near", "_refused")
 
 
 @dataclass(frozen=True)
@@ -144,42 +145,94 @@ def conflict_pairs(points: DataFrame, key: str, distance: float) -> DataFrame:
 # ---- level of detail ----
 
 
+#: Rows of one cell of one node that a task sorts and visits. Fuller cells are relieved of rows that are surely refused first.
+CELL_ROWS = 20_000_000
+#: Parts of one crowded box in the relief's join.
+SALTS = 16
+
+
 def _thin(spacing: float, position: list[int], keys: list[int]):  # noqa: ANN202
     """Greedy thinning of rows sorted by (node, cell, arrival), streamed: only kept points are remembered, and of those
-    only the cell's at hand, whose number is bounded by its size over the spacing."""
+    only the cell's at hand, whose number is bounded by its size over the spacing.
+
+    Space is cut into boxes whose diagonal is below the spacing. A box with a kept point refuses all others at a glance, and a
+    point in another is compared with those kept in the 124 boxes around its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit, inverse = spacing * spacing, 1.0 / spacing
+        limit, edge = spacing * spacing, spacing / 3**0.5 * (1 - 1e-6)
         now, kept = None, {}
-        around = [(i, j, k) for i in (0, -1, 1) for j in (0, -1, 1) for k in (0, -1, 1)]
+        reach = (0, -1, 1, -2, 2)
+        around = [(i << 80) + (j << 40) + k for i in reach for j in reach for k in reach][1:]
         for batch in batches:
-            node, cell = batch.column(keys[0]).to_pylist(), batch.column(keys[1]).to_pylist()
+            node, cell = batch.column(keys[0]), batch.column(keys[1]).to_numpy(zero_copy_only=False)
+            same_node = pc.equal(node.slice(1), node.slice(0, max(len(node) - 1, 0))).to_numpy(zero_copy_only=False)
+            begins = np.concatenate([[0], np.nonzero(~(same_node & (cell[1:] == cell[:-1])))[0] + 1]).tolist() if len(node) else []
             xyz = np.stack([batch.column(p).to_numpy(zero_copy_only=False).astype(np.float64) for p in position], axis=1)
-            places = np.floor(xyz * inverse).astype(np.int64).tolist()
-            flags = []
-            for key, point, place in zip(zip(node, cell, strict=True), xyz.tolist(), places, strict=True):
+            flags = np.zeros(len(node), bool)
+            for begin, end in zip(begins, [*begins[1:], len(node)], strict=True):
+                key = (node[begin].as_py(), int(cell[begin]))
                 if key != now:
-                    now, kept = key, {}
-                x, y, z = point
-                a, b, c = place
-                far = True
-                for i, j, k in around:
-                    near = kept.get((a + i, b + j, c + k))
-                    if near:
-                        for p, q, r in near:
-                            if (x - p) * (x - p) + (y - q) * (y - q) + (z - r) * (z - r) < limit:
-                                far = False
-                                break
-                        if not far:
+                    now, kept, origin = key, {}, np.floor(xyz[begin] / edge)
+                # a cell is some 70 boxes wide; points outside the root box may lie further off
+                place = np.clip(np.floor(xyz[begin:end] / edge) - origin, -(2.0**38), 2.0**38).astype(np.int64).tolist()
+                boxes = [(i << 80) + (j << 40) + k for i, j, k in place]
+                for at, (box, (x, y, z)) in enumerate(zip(boxes, xyz[begin:end].tolist(), strict=True), begin):
+                    if box in kept:
+                        continue
+                    for step in around:
+                        near = kept.get(box + step)
+                        if near is not None and (x - near[0]) * (x - near[0]) + (y - near[1]) * (y - near[1]) + (z - near[2]) * (z - near[2]) < limit:
                             break
-                if far:
-                    kept.setdefault((a, b, c), []).append(point)
-                flags.append(far)
+                    else:
+                        kept[box] = (x, y, z)
+                        flags[at] = True
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], [*batch.schema.names, "kept"])
 
     return run
 
 
+def _surely_refused(inner: DataFrame, arrival: Sequence[str], spacing: float) -> tuple[DataFrame, DataFrame]:
+    """(rows left, rows surely refused) of points with node and cell: refused ones are nearer than the spacing to a point that
+    surely is kept, because nothing in reach arrived before it.
+
+    Boxes of the spacing's size and their first arrivals are bounded by geometry, not by the points; these are reduced before
+    every shuffle, and a box of very many points is salted. Visiting the rows left in order gives the same points as visiting all.
+    """
+    edge = spacing / 3**0.5
+    boxes = [f"_b{v}" for v in AXES]
+    where = ["node", "cell", *boxes]
+    placed = inner.withColumns({b: F.floor(F.col(v).cast("double") / edge) for v, b in zip(AXES, boxes, strict=True)})
+    order = F.struct(*arrival)
+    first = cut_lineage(placed.groupBy(*where).agg(F.min(F.struct(order.alias("a"), *[F.col(v).cast("double").alias(v) for v in AXES])).alias("_f")))
+    earliest = first.select(*where, F.col("_f.a").alias("_m"))
+    for b in boxes:  # the earliest arrival within two boxes each way, axis by axis
+        earliest = earliest.withColumn(b, F.explode(F.array(*[F.col(b) + k for k in (-2, -1, 0, 1, 2)]))).groupBy(*where).agg(F.min("_m").alias("_m"))
+    sure = first.join(earliest, where).where(F.col("_m") == F.col("_f.a")).select(*where, "_f")
+    reach = sure
+    for b in boxes:
+        reach = reach.withColumn(b, F.explode(F.array(*[F.col(b) + k for k in (-2, -1, 0, 1, 2)])))
+    near = reach.groupBy(*where).agg(F.collect_list("_f").alias("_near")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one a box, so 125 at most
+    salted = placed.withColumn("_s", F.pmod(F.xxhash64(*arrival), F.lit(SALTS)).cast("int"))
+    gap = lambda k: sum((F.col(v).cast("double") - k[v]) * (F.col(v).cast("double") - k[v]) for v in AXES)
+    refused = F.coalesce(F.exists("_near", lambda k: (gap(k) < spacing * spacing) & (k["a"] < order)), F.lit(False))
+    marked = cut_lineage(salted.join(near, [*where, "_s"], "left").withColumn("_refused", refused).select(*inner.columns, "_refused"))
+    return marked.where("not _refused").drop("_refused"), marked.where("_refused").drop("_refused")
+
+
+def _relieved(inner: DataFrame, arrival: Sequence[str], spacing: float) -> tuple[DataFrame, DataFrame | None]:
+    """inner without rows that are surely refused, and these, as long as some cell is fuller than ``CELL_ROWS`` and that helps."""
+    refused = None
+    before = None
+    while True:
+        fullest = inner.groupBy("node", "cell").count().agg(F.max("count")).first()[0] or 0
+        if fullest <= CELL_ROWS or (before is not None and fullest > 0.9 * before):
+            return inner, refused
+        before = fullest
+        inner, more = _surely_refused(inner, arrival, spacing)
+        refused = more if refused is None else refused.unionByName(more)
+
+
 def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capacity: int = LEAF_CAPACITY) -> DataFrame:
     """Every point with the node that shows it: the columns of points (x, y, z as float) and node.
 
@@ -219,13 +272,15 @@ def build_lod(points: DataFrame, arrival: Sequence[str], root: Root, leaf_capaci
         # inner nodes hold at least leaf_capacity points each; the optimizer broadcasts their names while they are few
         leaves = pending.join(internal, pending.node == internal.inner_node, "left_anti").select(*columns, "node")
         inner = pending.join(internal, pending.node == internal.inner_node, "left_semi").withColumn("cell", cell_of(root, level))
+        inner, refused = _relieved(inner, arrival, spacing)
         ordered = spread(inner, "node", "cell").sortWithinPartitions("node", "cell", *arrival)
         names = ordered.columns
         schema = T.StructType([*ordered.schema.fields, T.StructField("kept", T.BooleanType())])
         thinned = cut_lineage(ordered.mapInArrow(_thin(spacing, [names.index(v) for v in AXES], [names.index("node"), names.index("cell")]), schema))
         shown = leaves.unionByName(thinned.where("kept").select(*columns, "node"))
         done = shown if done is None else done.unionByName(shown)
-        pending = cut_lineage(descend(thinned.where("not kept").drop("kept", "cell"), root, level))
+        rest = thinned.where("not kept").drop("kept", "cell")
+        pending = cut_lineage(descend(rest if refused is None else rest.unionByName(refused.drop("cell", "inner_node")), root, level))
         if stacks is not None:
             still = stacks.join(internal, stacks.node == internal.inner_node, "left_anti").select(*AXES, "node")
             ended = still if ended is None else ended.unionByName(still)

@@ -75,6 +75,24 @@ def test_lod_equals_a_plain_model(spark, scale, same):
     assert got == model(p, root, 60)
 
 
+def test_crowded_cells_are_relieved_first(spark, monkeypatch):
+    p = cloud(2500, 6, (10.0, 9.0, 11.0), 200)
+    df = frame(spark, p)
+    root = octree.root_of(df)
+    plain = {r.id: r.node for r in octree.build_lod(df, ["id"], root, 60).collect()}
+    monkeypatch.setattr(octree, "CELL_ROWS", 5)
+    gone = []
+    relief = octree._surely_refused
+
+    def counted(*given):
+        left, refused = relief(*given)
+        gone.append(refused.count())
+        return left, refused
+
+    monkeypatch.setattr(octree, "_surely_refused", counted)
+    assert {r.id: r.node for r in octree.build_lod(df, ["id"], root, 60).collect()} == plain == model(p, root, 60) and sum(gone) > 20
+
+
 def test_stacks_take_the_short_way(spark):
     p = cloud(600, 9)
     p[100:400] = [1.5, 2.5, 3.5]
