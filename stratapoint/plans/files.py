@@ -41,12 +41,12 @@ def _by_supplier(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("l_suppkey"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
 
 
-def _las_files(spark: SparkSession, d: str) -> list[str]:
+def _las_files(spark: SparkSession, d: str, suffix: str = "las") -> list[str]:
     folder = new_folder(spark, "las")
 
     def write(pdf: pd.DataFrame) -> str:
         key = int(pdf["l_suppkey"].iloc[0])
-        path = os.path.join(folder, f"{key:08d}.las")
+        path = os.path.join(folder, f"{key:08d}.{suffix}")
         pdf = pdf.sort_values(["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"])
         xyz = pdf[["l_quantity", "l_extendedprice", "l_discount"]].to_numpy(float)
         las.write(path, xyz, np.column_stack([pdf["l_linenumber"] * 256, pdf["l_quantity"] * 256, np.full(len(pdf), 65535)]).astype(int), scale=0.01, crs=3857 if key % 2 else None, intensity=pdf["l_orderkey"].to_numpy() % 60000, point_source_id=key % 60000)
@@ -55,12 +55,25 @@ def _las_files(spark: SparkSession, d: str) -> list[str]:
     return _written(_by_supplier(spark, d), "l_suppkey", write)
 
 
-@query("""SELECT l_suppkey::BIGINT AS file, round(l_quantity, 2) AS x, round(l_extendedprice, 2) AS y, round(l_discount, 2) AS z, l_linenumber::INTEGER AS red, l_quantity::INTEGER AS green, 255 AS blue, (l_orderkey % 60000)::INTEGER AS intensity FROM lineitem""")
-def las_scan(spark: SparkSession, d: str) -> DataFrame:
-    points = las.scan(spark, _las_files(spark, d), ("intensity",))
+_LAS_SQL = """SELECT l_suppkey::BIGINT AS file, round(l_quantity, 2) AS x, round(l_extendedprice, 2) AS y, round(l_discount, 2) AS z, l_linenumber::INTEGER AS red, l_quantity::INTEGER AS green, 255 AS blue, (l_orderkey % 60000)::INTEGER AS intensity FROM lineitem"""
+
+
+def _las_points(spark: SparkSession, files: list[str]) -> DataFrame:
+    points = las.scan(spark, files, ("intensity",))
     return points.select(_number().alias("file"), *[F.round(v, 2).alias(v) for v in "xyz"], *[F.col(c).cast("int").alias(c) for c in ("red", "green", "blue")], "intensity")
 
 
+@query(_LAS_SQL)
+def las_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _las_points(spark, _las_files(spark, d))
+
+
+@query(_LAS_SQL)
+def laz_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same, compressed."""
+    return _las_points(spark, _las_files(spark, d, "laz"))
+
+
 @query("""SELECT l_suppkey::BIGINT AS file, count(*) AS point_count, CASE WHEN l_suppkey % 2 = 1 THEN 'EPSG:3857' ELSE '' END AS crs, true AS has_color, round(min(l_quantity), 2) AS low_x, round(max(l_extendedprice), 2) AS high_y FROM lineitem GROUP BY l_suppkey""")
 def las_metadata(spark: SparkSession, d: str) -> DataFrame:
     files = _las_files(spark, d)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratapoint.errors import FormatNotSupported
 from stratapoint.sources import las, ply, xyz
 
-READERS = {".xyz": xyz.scan, ".csv": xyz.scan, ".las": las.scan, ".ply": ply.scan}
+READERS = {".xyz": xyz.scan, ".csv": xyz.scan, ".las": las.scan, ".laz": las.scan, ".ply": ply.scan}
 MESHES = (".obj", ".ifc")
 
 
@@ -34,7 +34,7 @@ def read_points(spark: SparkSession, paths: Iterable[str], fields: Iterable[str]
         raise FormatNotSupported(f"no reader for {', '.join(unknown)}")
     out = None
     for s, files in by.items():
-        part = READERS[s](spark, files, tuple(fields)) if s in (".las", ".ply") else READERS[s](spark, files)
+        part = READERS[s](spark, files, tuple(fields)) if s in (".las", ".laz", ".ply") else READERS[s](spark, files)
         if "point_no" not in part.columns:
             part = part.withColumn("point_no", F.monotonically_increasing_id())
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -42,8 +42,8 @@ def read_points(spark: SparkSession, paths: Iterable[str], fields: Iterable[str]
 
 
 def named_crs(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """path, crs: the reference system each file names (null if it names none; only LAS files can). Headers alone are read."""
+    """path, crs: the reference system each file names (null if it names none; only LAS and LAZ files can). Headers alone are read."""
     paths = list(paths)
-    las_files = [p for p in paths if suffix(p) == ".las"]
+    las_files = [p for p in paths if suffix(p) in (".las", ".laz")]
     others = spark.createDataFrame([(p, None) for p in paths if p not in set(las_files)], "path string, crs string")
     return las.metadata(spark, las_files).select("path", F.col("crs_in").alias("crs")).unionByName(others) if las_files else others

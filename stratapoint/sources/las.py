@@ -1,4 +1,4 @@
-"""LAS point files: headers on the driver, points by portions on the executors."""
+"""LAS and LAZ point files: headers on the driver, points by portions (of compressed files, chunks) on the executors."""
 
 from __future__ import annotations
 
@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapoint.errors import FormatNotSupported
+from stratapoint.sources import laz
 
 PORTION = 1_000_000
 BATCH = 100_000
+#: Points of one chunk of the compressed files written here.
+CHUNK = 50_000
 
 # The fields of the point record formats, in order.
 _BASE = [("X", "i4"), ("Y", "i4"), ("Z", "i4"), ("intensity", "u2"), ("bit_fields", "u1"), ("classification", "u1"), ("scan_angle_rank", "i1"), ("user_data", "u1"), ("point_source_id", "u2")]
@@ -42,6 +45,7 @@ class Header:
     low: tuple[float, float, float]
     high: tuple[float, float, float]
     crs: str | None = None  # "EPSG:" and its code, if the file names one
+    coding: laz.Coding | None = None  # of compressed points
 
     @property
     def dtype(self) -> np.dtype:
@@ -64,12 +68,22 @@ def read_header(path: str) -> Header:
         raise FormatNotSupported(f"{path} is no LAS file")
     major, minor = raw[24], raw[25]
     offset, _, kind, record, count = struct.unpack_from("<IIBHI", raw, 96)
-    if kind & 0xC0 or (kind & 0x3F) not in FORMATS:
-        raise FormatNotSupported(f"{path} has compressed points or format {kind}")
+    if kind & 0x40 or (kind & 0x3F) not in FORMATS:
+        raise FormatNotSupported(f"{path} has points of format {kind}")
     v = struct.unpack_from("<12d", raw, 131)
     if (major, minor) >= (1, 4):
         count = struct.unpack_from("<Q", raw, 247)[0] or count
-    return Header(path, (major, minor), count, offset, record, kind & 0x3F, v[0:3], v[3:6], (v[7], v[9], v[11]), (v[6], v[8], v[10]), _crs(path, raw))
+    return Header(path, (major, minor), count, offset, record, kind & 0x3F, v[0:3], v[3:6], (v[7], v[9], v[11]), (v[6], v[8], v[10]), _crs(path, raw), _coding(path, raw, offset, record) if kind & 0x80 else None)
+
+
+def _coding(path: str, head: bytes, offset: int, record: int) -> laz.Coding:
+    described = dict(_records(path, head, b"laszip encoded")).get(laz.RECORD)
+    if described is None:
+        raise FormatNotSupported(f"{path} doesn't say how its points are compressed")
+    items, chunk = laz.describe(described)
+    if sum(size for _, size in items) != record:
+        raise FormatNotSupported(f"{path} has points of {record} bytes in parts {items}")
+    return laz.Coding(items, chunk, laz.chunk_starts(path, offset))
 
 
 # Records that hold the reference system, the keys of its codes in the first, and the code for "defined here".
@@ -79,8 +93,8 @@ PROJECTED, GEOGRAPHIC, USER_DEFINED = 3072, 2048, 32767
 LARGEST_RECORD = 1 << 20
 
 
-def _records(path: str, head: bytes) -> Iterator[tuple[int, bytes]]:
-    """(id, content) of the projection records, behind the header and, from version 1.4, behind the points."""
+def _records(path: str, head: bytes, of: bytes = b"LASF_Projection") -> Iterator[tuple[int, bytes]]:
+    """(id, content) of the records of one user, the projection's if not told otherwise, behind the header and, from version 1.4, behind the points."""
     size, _, n = struct.unpack_from("<HII", head, 94)
     runs = [(size, n, "<H16sHH32x")]
     if (head[24], head[25]) >= (1, 4) and len(head) >= 247:
@@ -93,7 +107,7 @@ def _records(path: str, head: bytes) -> Iterator[tuple[int, bytes]]:
                 if len(lead) < struct.calcsize(form):
                     break
                 _, user, number, length = struct.unpack(form, lead)
-                if user.rstrip(b"\0") == b"LASF_Projection" and length <= LARGEST_RECORD:
+                if user.rstrip(b"\0") == of and length <= LARGEST_RECORD:
                     yield number, f.read(length)
                 at += len(lead) + length
 
@@ -166,7 +180,8 @@ def scan(spark: SparkSession, paths: list[str], fields: tuple[str, ...] = ("inte
         if found:
             k = np.result_type(*[np.dtype(x) for x in found])
             kinds[f] = f"{k.kind}{k.itemsize}"
-    portions = [(p, s, min(PORTION, h.count - s)) for p, h in headers.items() for s in range(0, h.count, PORTION)]
+    sizes = {p: h.coding.chunk if h.coding else PORTION for p, h in headers.items()}
+    portions = [(p, s, min(sizes[p], h.count - s)) for p, h in headers.items() for s in range(0, h.count, sizes[p])]
     schema = "path string, point_no long, x double, y double, z double, red smallint, green smallint, blue smallint" + "".join(f", {f} {_TYPES[k]}" for f, k in kinds.items())
     units = spark.createDataFrame(portions, "path string, start long, n long").repartition(max(1, len(portions)), F.col("path"), F.col("start"))
     eight_bit = _eight_bit(units, headers)
@@ -176,9 +191,8 @@ def scan(spark: SparkSession, paths: list[str], fields: tuple[str, ...] = ("inte
         for batch in batches:
             for path, start, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 h = headers[path]
-                for at in range(start, start + n, BATCH):
-                    k = min(BATCH, start + n - at)
-                    rows = np.fromfile(path, h.dtype, k, offset=h.offset + at * h.record)
+                for at, rows in _rows(h, start, n):
+                    k = len(rows)
                     xyz = [rows[a] * s + o for a, s, o in zip("XYZ", h.scales, h.offsets, strict=True)]
                     rgb = [(rows[c] // (1 if eight_bit[path] else 256)).astype(np.int16) if h.has_colour else np.zeros(k, np.int16) for c in ("red", "green", "blue")]
                     extra = [pa.array((rows[f] if f in rows.dtype.names else np.zeros(k)).astype(types[_TYPES[t]].to_pandas_dtype())) for f, t in kinds.items()]
@@ -203,20 +217,31 @@ def _eight_bit(units: DataFrame, headers: dict[str, Header]) -> dict[str, bool]:
             for path, start, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 h = headers[path]
                 if h.has_colour:
-                    found.append((path, any(_has_large_colour(h, at, min(BATCH, start + n - at)) for at in range(start, start + n, BATCH))))
+                    found.append((path, any(max(int(rows[c].max()) for c in ("red", "green", "blue")) > 255 for _, rows in _rows(h, start, n) if len(rows))))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.bool_())], ["path", "large"])
 
     large = {r.path: r.large for r in units.mapInArrow(read, "path string, large boolean").groupBy("path").agg(F.max("large").alias("large")).collect()}
     return {p: p in large and not large[p] for p in headers}
 
 
-def _has_large_colour(h: Header, at: int, n: int) -> bool:
-    rows = np.fromfile(h.path, h.dtype, n, offset=h.offset + at * h.record)
-    return len(rows) > 0 and max(int(rows[c].max()) for c in ("red", "green", "blue")) > 255
+def _rows(h: Header, start: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first, point records) of a portion, in batches; of a compressed file a portion is a chunk."""
+    if h.coding is None:
+        for at in range(start, start + n, BATCH):
+            yield at, np.fromfile(h.path, h.dtype, min(BATCH, start + n - at), offset=h.offset + at * h.record)
+        return
+    k = start // h.coding.chunk
+    with open(h.path, "rb") as f:
+        f.seek(h.coding.starts[k])
+        data = f.read(h.coding.starts[k + 1] - h.coding.starts[k] if k + 1 < len(h.coding.starts) else -1)
+    rows = np.frombuffer(laz.read_chunk(data, h.coding.items, n), h.dtype)
+    for at in range(0, n, BATCH):
+        yield start + at, rows[at : at + BATCH]
 
 
 def write(path: str, xyz: np.ndarray, colours: np.ndarray | None = None, scale: float = 0.001, crs: int | str | None = None, **fields: np.ndarray) -> None:
-    """A small LAS 1.2 file of format 0 or 2; ``crs``: a projected system's code, or any system as text."""
+    """A small LAS 1.2 file of format 0 or 2, compressed if its name ends in .laz; ``crs``: a projected system's code, or any
+    system as text."""
     kind = 2 if colours is not None else 0
     dtype = np.dtype([(n, "<" + k) for n, k in FORMATS[kind]])
     rows = np.zeros(len(xyz), dtype)
@@ -233,10 +258,16 @@ def write(path: str, xyz: np.ndarray, colours: np.ndarray | None = None, scale:
     if crs is not None:
         body = crs.encode() + b"\0" if isinstance(crs, str) else struct.pack("<8H", 1, 1, 0, 1, PROJECTED, 0, 1, crs)
         record = struct.pack("<H16sHH32x", 0, b"LASF_Projection", WKT if isinstance(crs, str) else GEO_KEYS, len(body)) + body
+    compressed, n_records, points = path.lower().endswith(".laz"), int(bool(record)), rows.tobytes()
+    if compressed:
+        items = ((laz.POINT, 20), (laz.COLOUR, 6))[: 1 + (kind == 2)]
+        body = laz.record(items, CHUNK)
+        record += struct.pack("<H16sHH32x", 0, b"laszip encoded", laz.RECORD, len(body)) + body
+        points = laz.coded([points[k : k + dtype.itemsize] for k in range(0, len(points), dtype.itemsize)], items, CHUNK, 227 + len(record))
     head[0:4], head[24], head[25] = b"LASF", 1, 2
-    struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(record), 1 if record else 0, kind, dtype.itemsize, len(xyz))
+    struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(record), n_records + compressed, kind | 0x80 * compressed, dtype.itemsize, len(xyz))
     struct.pack_into("<12d", head, 131, scale, scale, scale, *low, high[0], low[0], high[1], low[1], high[2], low[2])
     with open(path, "wb") as f:
-        f.write(bytes(head) + record + rows.tobytes())
+        f.write(bytes(head) + record + points)
         f.flush()
         os.fsync(f.fileno())

@@ -25,7 +25,7 @@ def test_xyz_files(spark, tmp_path):
     full = next(r for r in rows.values() if r.classification == 8)
     assert (full.intensity, full.red, full.blue) == (4.0, 5, 7)
     with pytest.raises(FormatNotSupported):
-        sources.read_points(spark, ["a.laz"])
+        sources.read_points(spark, ["a.e57"])
 
 
 def test_las(spark, tmp_path):
@@ -190,3 +190,64 @@ def test_all_systems_there_and_back(spark):
     near([[v] for v in r], [v[0] for v in crs.transform(4326, 4978, np.array([5.38720621]), np.array([52.15517440]), np.array([3.0]))], 0.5)
     crs.register(990001, crs.Projection("tm", crs.BESSEL, 10.0, 0.0, 0, 0, 1.0, 5e5, 0.0))
     assert crs.known("EPSG:990001").ellipsoid == crs.BESSEL
+
+
+def las_items(n, seed):
+    import random
+    import struct
+
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        p = struct.pack("<iiiHBBbBH", (k * k * 37) % 2**31, rng.randrange(-(2**31), 2**31) if k % 97 == 0 else k * 3, rng.randrange(-100, 100), rng.randrange(65536) if k % 5 == 0 else 7, rng.choice([9, 17, 18, 0x49, 0xFF]), rng.randrange(256) if k % 7 == 0 else 2, rng.randrange(-128, 128) if k % 11 == 0 else -5, k % 3, 5 + k // 500)
+        t = struct.pack("<d", 1e5 + k * 0.001 + (rng.random() * 1e6 if k % 211 == 0 else 0) - (50 if k % 37 == 0 else 0)) if k % 13 else struct.pack("<q", rng.choice([0, -1, 2**62]))
+        c = struct.pack("<HHH", *([rng.randrange(65536)] * 3 if k % 2 else [rng.randrange(65536) for _ in range(3)]))
+        out.append(p + t + c + bytes([k % 256, rng.randrange(256)]))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 3000])
+def test_compressed_chunks_round_trip(n):
+    from stratapoint.sources import laz
+
+    items = ((laz.POINT, 20), (laz.TIME, 8), (laz.COLOUR, 6), (laz.BYTES, 2))
+    records = las_items(n, n)
+    data = laz.write_chunk(records, items)
+    assert laz.read_chunk(data, items, n) == b"".join(records)
+    regular = [las_items(1, 0)[0][:12] + b"\0" * 24] * n
+    if n > 1000:
+        assert len(laz.write_chunk(regular, items)) < 36 * n / 100  # the same again and again costs next to nothing
+    assert laz.describe(laz.record(items, 500)) == (items, 500)
+    with pytest.raises(FormatNotSupported):
+        laz.describe(b"\3" + laz.record(items, 500)[1:])
+
+
+def test_a_median_of_five_follows_its_rule():
+    from stratapoint.sources import laz
+
+    m, x, high = laz.Median(), [0] * 5, True
+    for v in np.random.default_rng(3).integers(-9, 9, 400).tolist():
+        m.add(v)
+        middle = x[2]
+        x = sorted([*x, v])
+        x.pop(-1 if high else 0)
+        high = v < middle if high else v <= middle
+        assert m.values == x and m.drop_largest == high
+
+
+def test_compressed_files(spark, tmp_path, monkeypatch):
+    from stratapoint.sources import las
+
+    monkeypatch.setattr(las, "CHUNK", 300)
+    rng = np.random.default_rng(1)
+    p, c = rng.random((1000, 3)) * 50, rng.integers(0, 65536, (1000, 3))
+    for name in ("a.las", "b.laz"):
+        las.write(str(tmp_path / name), p, c, crs=3857, intensity=np.arange(1000))
+    h = las.read_header(str(tmp_path / "b.laz"))
+    assert len(h.coding.starts) == 4 and h.crs == "EPSG:3857" and h.count == 1000
+    rows = {}
+    for name in ("a.las", "b.laz"):
+        t = las.scan(spark, [str(tmp_path / name)], ("intensity", "classification"))
+        rows[name] = sorted(tuple(r)[1:] for r in t.collect())
+    assert rows["a.las"] == rows["b.laz"] and len(rows["b.laz"]) == 1000
+    las.write(str(tmp_path / "empty.laz"), np.empty((0, 3)))
+    assert las.scan(spark, [str(tmp_path / "empty.laz")]).count() == 0
