@@ -142,6 +142,15 @@ def conflict_pairs(points: DataFrame, key: str, distance: float) -> DataFrame:
     return pairs.select("group.node", "group.cell", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
+def conflicts(points: DataFrame, key: str, distance: float) -> DataFrame:
+    """node, cell, key, conflicts, first: each point that is nearer than ``distance`` to others of its (node, cell), with their number
+    and the first of them. Pairs are counted where they are found and never written out."""
+    pairs = conflict_pairs(points, key, distance)
+    both = F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("o")), F.struct(F.col("b").alias("k"), F.col("a").alias("o")))).alias("p")
+    sides = pairs.select("node", "cell", both)
+    return sides.groupBy("node", "cell", F.col("p.k").alias(key)).agg(F.count(F.lit(1)).alias("conflicts"), F.min("p.o").alias("first"))
+
+
 # ---- level of detail ----
 
 

@@ -183,8 +183,11 @@ def with_metadata(tiles: DataFrame, metadata: DataFrame, key: str = "file_id") -
 
 def with_contents(tiles: DataFrame, folder: str) -> DataFrame:
     """tiles: content_uri. Each with the bytes of its file below ``folder`` (null without)."""
-    files = tiles.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    keyed = files.select(F.regexp_replace("path", "^.*?" + folder.rstrip("/").replace(".", "\\.") + "/", "").alias("content_uri"), "content")
+    spark = tiles.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    keyed = files.where(F.col("path").startswith(base)).select(F.substring("path", len(base) + 1, 1 << 30).alias("content_uri"), "content")
     return tiles.join(keyed, "content_uri", "left")
 
 

@@ -109,11 +109,12 @@ def cell_first_point(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {views.path_sql(PTS_EMB_SQL, 1, '*')}, c AS (SELECT vec_id, node, {views.cell_sql()} AS cell, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM placed)
-SELECT a.node, a.cell, a.vec_id AS a, b.vec_id AS b FROM c a JOIN c b ON a.node = b.node AND a.cell = b.cell AND a.vec_id < b.vec_id
-WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.09""")
-def cell_conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
+SELECT a.node, a.cell, a.vec_id, count(*) AS conflicts, min(b.vec_id) AS first FROM c a JOIN c b ON a.node = b.node AND a.cell = b.cell AND a.vec_id <> b.vec_id
+WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.09 GROUP BY 1, 2, 3""")
+def cell_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Points too near to others of their cell: how many these are, and the first of them."""
     p, root = _placed(views.pts_emb(spark, d), 1)
-    return octree.conflict_pairs(p.withColumn("cell", octree.cell_of(root, 1)), "vec_id", 0.3)
+    return octree.conflicts(p.withColumn("cell", octree.cell_of(root, 1)), "vec_id", 0.3)
 
 
 # ---- level of detail ----

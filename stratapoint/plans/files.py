@@ -18,6 +18,7 @@ from stratapoint import tileset as T
 from stratapoint.codecs import b3dm, batch_table, glb, pnts
 from stratapoint.convert import PointTiler, convert
 from stratapoint.functions import matrices as M
+from stratapoint.operators import tiles
 from stratapoint.plans.catalogue import query
 from stratapoint.session import new_folder, table
 from stratapoint.sources import las, named_crs, obj, ply, step, wkb
@@ -134,6 +135,24 @@ def wkb_directory(spark: SparkSession, d: str) -> DataFrame:
     return files.select("geom_id", _number().alias("file")).join(per, "geom_id").select("file", "n_points", "width")
 
 
+@query("SELECT s_suppkey::BIGINT AS tile, CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE 93 END AS size FROM supplier")
+def tile_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles with their content by its address; every third one's is missing."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("tile"))
+    folder = new_folder(spark, "a.b+c")  # signs that mean something in patterns
+
+    def write(pdf: pd.DataFrame) -> str:
+        path = os.path.join(folder, "sub", f"{int(pdf['tile'].iloc[0])}.bin")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(b"x" * 93)
+        return path
+
+    _written(s.where("tile % 3 != 0"), "tile", write)
+    found = tiles.with_contents(s.withColumn("content_uri", F.concat(F.lit("sub/"), F.col("tile").cast("string"), F.lit(".bin"))), folder)
+    return found.select("tile", F.coalesce(F.length("content"), F.lit(-1)).alias("size"))
+
+
 # ---- tilesets ----
 
 

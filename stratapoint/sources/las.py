@@ -1,4 +1,4 @@
-"""LAS and LAZ point files: headers on the driver, points by portions (of compressed files, chunks) on the executors."""
+"""LAS and LAZ point files: headers and points are read by tasks, the latter by portions (of compressed files, chunks)."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapoint.errors import FormatNotSupported
+from stratapoint.session import cut_lineage
 from stratapoint.sources import laz
 
 PORTION = 1_000_000
@@ -158,10 +159,30 @@ def wkt_code(text: str) -> int | None:
     return found.get(depth)
 
 
+HEADS = "path string, point_count long, aabb array<double>, crs_in string, has_color boolean, extra_fields array<struct<name: string, dtype: string>>, portion long"
+
+
+def _heads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per file from its header, read by the tasks; portion: points of one unit of work."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for p in batch.column(0).to_pylist():
+                h = read_header(p)
+                fields = [{"name": n, "dtype": k} for n, k in h.extra_fields]
+                rows.append((p, h.count, [*h.low, *h.high], h.crs, h.has_colour, fields, h.coding.chunk if h.coding else PORTION))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.string(), pa.bool_(), pa.list_(pa.struct([("name", pa.string()), ("dtype", pa.string())])), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in HEADS.replace("array<struct<name: string, dtype: string>>", "x").split(", ")])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    return files.repartition(max(1, min(len(paths), 1000)), "path").mapInArrow(read, HEADS)
+
+
 def metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per file from its header alone, the points unread."""
-    rows = [(h.path, h.count, list(h.low) + list(h.high), h.crs, h.has_colour, [(n, k) for n, k in h.extra_fields]) for h in map(read_header, paths)]
-    return spark.createDataFrame(rows, "path string, point_count long, aabb array<double>, crs_in string, has_color boolean, extra_fields array<struct<name: string, dtype: string>>")
+    return _heads(spark, paths).drop("portion")
 
 
 _TYPES = {"u1": "smallint", "i1": "tinyint", "u2": "int", "i2": "smallint", "u4": "bigint", "i4": "int", "u8": "bigint", "f4": "float", "f8": "double"}
@@ -171,30 +192,36 @@ def scan(spark: SparkSession, paths: list[str], fields: tuple[str, ...] = ("inte
     """path, point_no, x, y, z, red, green, blue (8 bits; 0 without colours) and the asked fields (0 in files that lack them).
 
     16-bit colours are divided by 256; a file whose colours all stay below 256 is taken as 8-bit. Only the asked fields leave
-    the reader. Portions of a million points are the tasks' units.
+    the reader. Portions of a million points, or chunks of compressed ones, are the tasks' units.
     """
-    headers = {p: read_header(p) for p in paths}
+    heads = cut_lineage(_heads(spark, paths))
+    named = heads.select(F.explode("extra_fields").alias("f")).where(F.col("f.name").isin(*fields)).select("f.name", "f.dtype").distinct().collect()  # a few kinds a field
     kinds = {}
     for f in fields:
-        found = [k for h in headers.values() for n, k in h.extra_fields if n == f]
+        found = [np.dtype(r.dtype) for r in named if r.name == f]
         if found:
-            k = np.result_type(*[np.dtype(x) for x in found])
+            k = np.result_type(*found)
             kinds[f] = f"{k.kind}{k.itemsize}"
-    sizes = {p: h.coding.chunk if h.coding else PORTION for p, h in headers.items()}
-    portions = [(p, s, min(sizes[p], h.count - s)) for p, h in headers.items() for s in range(0, h.count, sizes[p])]
     schema = "path string, point_no long, x double, y double, z double, red smallint, green smallint, blue smallint" + "".join(f", {f} {_TYPES[k]}" for f, k in kinds.items())
-    units = spark.createDataFrame(portions, "path string, start long, n long").repartition(max(1, len(portions)), F.col("path"), F.col("start"))
-    eight_bit = _eight_bit(units, headers)
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("point_count") - 1, F.col("portion"))).alias("start")
+    portions = heads.where("point_count > 0").select("path", "has_color", "point_count", "portion", begin)
+    units = portions.select("path", "start", F.least("portion", F.col("point_count") - F.col("start")).alias("n"), "has_color")
+    n_units, n_points = heads.agg(F.sum(F.ceil(F.col("point_count") / F.col("portion"))), F.sum("point_count")).first()
+    # a portion a task; portions of many small files share tasks
+    tasks = max(1, min(int(n_units or 0), 2 * spark.sparkContext.defaultParallelism + int(n_points or 0) // BATCH))
+    units = units.repartition(tasks, "path", "start")
+    small = units.where("has_color").mapInArrow(_large_colours, "path string, large boolean").groupBy("path").agg((~F.max("large")).alias("eight_bit"))
+    units = units.join(small, "path", "left").select("path", "start", "n", F.coalesce("eight_bit", F.lit(False)).alias("eight_bit")).repartition(tasks, "path", "start")
     types = {"smallint": pa.int16(), "tinyint": pa.int8(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                h = headers[path]
+            for path, start, n, eight_bit in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                h = read_header(path)
                 for at, rows in _rows(h, start, n):
                     k = len(rows)
                     xyz = [rows[a] * s + o for a, s, o in zip("XYZ", h.scales, h.offsets, strict=True)]
-                    rgb = [(rows[c] // (1 if eight_bit[path] else 256)).astype(np.int16) if h.has_colour else np.zeros(k, np.int16) for c in ("red", "green", "blue")]
+                    rgb = [(rows[c] // (1 if eight_bit else 256)).astype(np.int16) if h.has_colour else np.zeros(k, np.int16) for c in ("red", "green", "blue")]
                     extra = [pa.array((rows[f] if f in rows.dtype.names else np.zeros(k)).astype(types[_TYPES[t]].to_pandas_dtype())) for f, t in kinds.items()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path] * k), pa.array(np.arange(at, at + k)), *map(pa.array, xyz), *map(pa.array, rgb), *extra],
@@ -204,24 +231,13 @@ def scan(spark: SparkSession, paths: list[str], fields: tuple[str, ...] = ("inte
     return units.mapInArrow(read, schema)
 
 
-def _eight_bit(units: DataFrame, headers: dict[str, Header]) -> dict[str, bool]:
-    """units: path, start, n. Whether all colours of a file stay below 256 (the format says 16 bits, some writers use 8): one
-    pass over the portions, each of which ends at its first larger colour. Files without colours or points are not."""
-    with_colour = [p for p, h in headers.items() if h.has_colour and h.count]
-    if not with_colour:
-        return dict.fromkeys(headers, False)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for path, start, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                h = headers[path]
-                if h.has_colour:
-                    found.append((path, any(max(int(rows[c].max()) for c in ("red", "green", "blue")) > 255 for _, rows in _rows(h, start, n) if len(rows))))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.bool_())], ["path", "large"])
-
-    large = {r.path: r.large for r in units.mapInArrow(read, "path string, large boolean").groupBy("path").agg(F.max("large").alias("large")).collect()}
-    return {p: p in large and not large[p] for p in headers}
+def _large_colours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a portion has a colour above 255 (the format says 16 bits, some writers use 8); it ends at the first."""
+    for batch in batches:
+        paths, large = batch.column(0), []
+        for path, start, n in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            large.append(any(max(int(rows[c].max()) for c in ("red", "green", "blue")) > 255 for _, rows in _rows(read_header(path), start, n) if len(rows)))
+        yield pa.RecordBatch.from_arrays([paths, pa.array(large, pa.bool_())], ["path", "large"])
 
 
 def _rows(h: Header, start: int, n: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -3,7 +3,7 @@ import pytest
 import __spark_entry__ as entry
 
 D = "/root/testdata/sf0.001"
-CHEAP = ("root_stats", "octree_child_hist", "octree_path4_hist", "grid_cell_key", "cell_conflict_pairs", "node_box", "points_in_tile", "merge_fill_zero", "obb_transform", "quadric_sum", "p1_found", "p3_found", "p4_found", "p5_found", "p5_regions")
+CHEAP = ("root_stats", "octree_child_hist", "octree_path4_hist", "grid_cell_key", "cell_conflicts", "node_box", "points_in_tile", "merge_fill_zero", "obb_transform", "quadric_sum", "p1_found", "p3_found", "p4_found", "p5_found", "p5_regions")
 
 
 def plan(spark, name):
