@@ -250,3 +250,51 @@ def test_compressed_files(spark, tmp_path, monkeypatch):
     assert rows["a.las"] == rows["b.laz"] and len(rows["b.laz"]) == 1000
     las.write(str(tmp_path / "empty.laz"), np.empty((0, 3)))
     assert las.scan(spark, [str(tmp_path / "empty.laz")]).count() == 0
+
+
+def solid(*lines):
+    """A model whose item is entity 1, with a plain placement as 90."""
+    return step.Model.parse("DATA;\n" + "\n".join(lines) + "\n#90=IFCAXIS2PLACEMENT3D(#91,$,$);\n#91=IFCCARTESIANPOINT((0.,0.,0.));\n#92=IFCDIRECTION((0.,0.,1.));\n#93=IFCAXIS2PLACEMENT2D(#91,$);\nENDSEC;")
+
+
+def volume(t):
+    """Of a closed surface that looks outwards."""
+    return float((t[:, 0] * np.cross(t[:, 1], t[:, 2])).sum() / 6)
+
+
+SWEPT = "#1=IFCEXTRUDEDAREASOLID(#2,#90,#92,2.);"
+
+
+@pytest.mark.parametrize(("profile", "area"), [
+    (["#2=IFCRECTANGLEPROFILEDEF(.AREA.,$,#93,3.,4.);"], 12), (["#2=IFCRECTANGLEHOLLOWPROFILEDEF(.AREA.,$,#93,3.,4.,0.5,$,$);"], 6), (["#2=IFCCIRCLEPROFILEDEF(.AREA.,$,#93,2.);"], 12 * 4 * np.sin(np.pi / 12)),
+    (["#2=IFCCIRCLEHOLLOWPROFILEDEF(.AREA.,$,#93,2.,1.);"], 12 * 3 * np.sin(np.pi / 12)), (["#2=IFCELLIPSEPROFILEDEF(.AREA.,$,#93,2.,1.);"], 12 * 2 * np.sin(np.pi / 12)),
+    (["#2=IFCISHAPEPROFILEDEF(.AREA.,$,#93,4.,6.,1.,0.5,$,$,$);"], 9), (["#2=IFCLSHAPEPROFILEDEF(.AREA.,$,#93,5.,3.,1.,$,$,$);"], 7), (["#2=IFCTSHAPEPROFILEDEF(.AREA.,$,#93,5.,3.,1.,1.,$,$,$,$,$);"], 7),
+    (["#2=IFCUSHAPEPROFILEDEF(.AREA.,$,#93,5.,3.,1.,1.,$,$,$);"], 9), (["#2=IFCROUNDEDRECTANGLEPROFILEDEF(.AREA.,$,#93,4.,3.,1.);"], 12 - 4 + 12 * np.sin(np.pi / 12)),
+    (["#2=IFCARBITRARYPROFILEDEFWITHVOIDS(.AREA.,$,#3,(#4));", "#3=IFCPOLYLINE((#5,#6,#7,#8,#5));", "#4=IFCINDEXEDPOLYCURVE(#9,(IFCLINEINDEX((1,2,3)),IFCLINEINDEX((3,4,1))),$);", "#5=IFCCARTESIANPOINT((0.,0.));", "#6=IFCCARTESIANPOINT((5.,0.));", "#7=IFCCARTESIANPOINT((5.,5.));", "#8=IFCCARTESIANPOINT((0.,5.));", "#9=IFCCARTESIANPOINTLIST2D(((1.,1.),(2.,1.),(2.,3.),(1.,3.)));"], 23),
+    (["#2=IFCARBITRARYCLOSEDPROFILEDEF(.AREA.,$,#4);", "#4=IFCINDEXEDPOLYCURVE(#9,(IFCLINEINDEX((1,2)),IFCARCINDEX((2,3,1))),$);", "#9=IFCCARTESIANPOINTLIST2D(((-2.,0.),(2.,0.),(0.,2.)));"], 12 * 2 * np.sin(np.pi / 12)),
+])
+def test_swept_profiles_have_their_volume(profile, area):
+    t = solid(SWEPT, *profile).triangles(step.Ref(1))
+    assert abs(volume(t) - 2 * area) < 1e-6
+
+
+def test_turned_cut_mapped_and_scaled_solids():
+    ring = solid("#1=IFCREVOLVEDAREASOLID(#2,#90,#3,6.283185307179586);", "#2=IFCRECTANGLEPROFILEDEF(.AREA.,$,#93,1.,1.);", "#3=IFCAXIS1PLACEMENT(#4,#5);", "#4=IFCCARTESIANPOINT((3.,0.,0.));", "#5=IFCDIRECTION((0.,1.,0.));").triangles(step.Ref(1))
+    assert abs(abs(volume(ring)) - 12 * np.sin(np.pi / 12) * (3.5**2 - 2.5**2)) < 1e-6
+    part = solid("#1=IFCREVOLVEDAREASOLID(#2,#90,#3,1.5707963267948966);", "#2=IFCRECTANGLEPROFILEDEF(.AREA.,$,#93,1.,1.);", "#3=IFCAXIS1PLACEMENT(#4,#5);", "#4=IFCCARTESIANPOINT((3.,0.,0.));", "#5=IFCDIRECTION((0.,1.,0.));").triangles(step.Ref(1))
+    assert abs(abs(volume(part)) * 4 - abs(volume(ring))) < 1e-6
+    box = ["#2=IFCEXTRUDEDAREASOLID(#3,#90,#92,4.);", "#3=IFCRECTANGLEHOLLOWPROFILEDEF(.AREA.,$,#93,4.,4.,1.,$,$);", "#5=IFCPLANE(#6);", "#6=IFCAXIS2PLACEMENT3D(#7,#8,$);", "#7=IFCCARTESIANPOINT((0.,0.,1.));", "#8=IFCDIRECTION((0.,0.,1.));"]
+    for flag, want in ((".T.", 36), (".F.", 12)):
+        t = solid("#1=IFCBOOLEANCLIPPINGRESULT(.DIFFERENCE.,#2,#4);", f"#4=IFCHALFSPACESOLID(#5,{flag});", *box).triangles(step.Ref(1))
+        assert abs(volume(t) - want) < 1e-6
+    slanted = [b.replace("(0.,0.,1.));", "(1.,0.,1.));") if b.startswith("#8") else b.replace("HOLLOW", "").replace(",1.,$,$", "") for b in box]
+    t = solid("#1=IFCBOOLEANCLIPPINGRESULT(.DIFFERENCE.,#2,#4);", "#4=IFCHALFSPACESOLID(#5,.T.);", *slanted).triangles(step.Ref(1))
+    cut = 4 * (9 / 2)  # below z = 1 - x within the box: a triangle with legs of 3, four long
+    assert abs(volume(t) - (64 - cut)) < 1e-6
+    mapped = solid("#1=IFCMAPPEDITEM(#20,#21);", "#20=IFCREPRESENTATIONMAP(#22,#23);", "#21=IFCCARTESIANTRANSFORMATIONOPERATOR3D(#24,#25,#26,2.,$);", "#22=IFCAXIS2PLACEMENT3D(#27,$,$);", "#23=IFCSHAPEREPRESENTATION($,'Body','x',(#2));", "#24=IFCDIRECTION((0.,1.,0.));", "#25=IFCDIRECTION((-1.,0.,0.));", "#26=IFCCARTESIANPOINT((10.,0.,0.));", "#27=IFCCARTESIANPOINT((0.,0.,1.));", "#2=IFCEXTRUDEDAREASOLID(#3,#90,#92,4.);", "#3=IFCRECTANGLEPROFILEDEF(.AREA.,$,#93,1.,3.);").triangles(step.Ref(1)).reshape(-1, 3)
+    assert np.allclose(mapped.min(axis=0), [7, -1, -2]) and np.allclose(mapped.max(axis=0), [13, 1, 6])
+    for unit, want in (("#50=IFCSIUNIT(*,.LENGTHUNIT.,.MILLI.,.METRE.);", 1e-3), ("#50=IFCSIUNIT(*,.LENGTHUNIT.,$,.METRE.);", 1.0), ("#50=IFCCONVERSIONBASEDUNIT(#52,.LENGTHUNIT.,'FOOT',#53);\n#53=IFCMEASUREWITHUNIT(IFCLENGTHMEASURE(0.3048),#54);\n#54=IFCSIUNIT(*,.LENGTHUNIT.,$,.METRE.);", 0.3048), ("", 1.0)):
+        m = step.Model.parse(IFC.replace("ENDSEC;", f"#51=IFCUNITASSIGNMENT((#50));\n{unit}\nENDSEC;") if unit else IFC)
+        t, _ = m.element_triangles(20)
+        assert np.allclose(t.reshape(-1, 3).max(axis=0), np.array([11, 2, 3]) * want)
+    assert solid("#1=IFCADVANCEDBREP($);").triangles(step.Ref(1)) is None
