@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratapoint.functions import geometry as G
-from stratapoint.session import spread
+from stratapoint.session import join_dimension, numbered, spread
 
 # ---- polygons ----
 
@@ -186,12 +186,13 @@ def normals(triangles: DataFrame) -> DataFrame:
 def dense_vertices(corners: DataFrame, key: str) -> DataFrame:
     """corners: key, x, y, z. The number of each distinct vertex in its mesh, from 0 in order of x, y, z: key, x, y, z, vertex.
 
-    The distinct vertices of a mesh are numbered by position; duplicates are dropped before the shuffle.
+    Duplicates are dropped before the shuffle; all vertices are numbered in ranges of their order, so a mesh of very many
+    is no single task's, and each mesh's numbers are moved to begin at 0. Corners without a key are left out.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy("x", "y", "z")
-    return corners.select(key, "x", "y", "z").distinct().withColumn("vertex", F.row_number().over(w) - 1)
+    distinct = corners.where(F.col(key).isNotNull()).select(key, "x", "y", "z").distinct()
+    placed = numbered(distinct, "_at", key, "x", "y", "z")
+    starts = placed.groupBy(key).agg(F.min("_at").alias("_start"))
+    return join_dimension(placed, starts, key).select(key, "x", "y", "z", (F.col("_at") - F.col("_start")).cast("int").alias("vertex"))
 
 
 def incidences(faces: DataFrame) -> DataFrame:

@@ -70,12 +70,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared checkpoint folder and read from there.
+
+    What the optimizer knows about the values (its constraints) is cut as well: it would be carried along, and in a loop of
+    unions and joins grow with the power of the rounds.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    usual = spark.conf.get(CONSTRAINTS)
+    spark.conf.set(CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CONSTRAINTS, usual)
 
 
 def cut_counted(df: DataFrame, *conditions: str) -> tuple[DataFrame, int | tuple[int, ...]]:

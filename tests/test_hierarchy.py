@@ -99,3 +99,13 @@ def test_folds_and_inheritance_equal_plain_ones(spark, monkeypatch):
                 seen.add(at)
                 at = up[at]
             assert carried[i] == (values[at] if at in up else None)
+
+
+def test_a_very_deep_chain(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.range(20_000).select("id", (F.col("id") - 1).alias("parent"))
+    r = hierarchy.resolve_hierarchy(chain).agg(F.max("depth").alias("deepest"), F.countDistinct("root").alias("roots"), F.sum("depth").alias("total")).first()
+    assert (r.deepest, r.roots, r.total) == (19_999, 1, 19_999 * 20_000 // 2)
+    below = hierarchy.fold_below(chain.withColumn("one", F.lit(1)), {"one": "sum"}).agg(F.max("below_one"), F.sum("below_one")).first()
+    assert tuple(below) == (19_999, 19_999 * 20_000 // 2)
