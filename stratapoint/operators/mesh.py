@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratapoint.functions import geometry as G
-from stratapoint.session import join_dimension, numbered, spread
+from stratapoint.session import BROADCAST_ROWS, cut_lineage, join_dimension, numbered, spread
 
 # ---- polygons ----
 
@@ -207,10 +209,11 @@ def border_vertices(faces: DataFrame) -> DataFrame:
 
 
 def _with_points(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Faces with their corners' x, y, z. Never by broadcast: the planner takes rows that were exploded for as few as before."""
     out = faces
     for k in range(3):
         side = vertices.select(F.col("mesh").alias("_m"), F.col("vertex").alias("_v"), *[F.col(v).alias(f"{v}{k}") for v in "xyz"])
-        out = out.join(side, (F.col("mesh") == F.col("_m")) & (F.col(f"v{k}") == F.col("_v"))).drop("_m", "_v")
+        out = out.join(side.hint("merge"), (F.col("mesh") == F.col("_m")) & (F.col(f"v{k}") == F.col("_v"))).drop("_m", "_v")
     return out
 
 
@@ -222,13 +225,132 @@ def face_planes(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return p.withColumn("d", -(F.col("nx") * F.col("x0") + F.col("ny") * F.col("y0") + F.col("nz") * F.col("z0"))).select("mesh", "face", "v0", "v1", "v2", "nx", "ny", "nz", "d")
 
 
-def vertex_quadrics(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Sum over a vertex's faces of the ten coefficients of their squared plane distance: mesh, vertex, q0..q9."""
-    planes = face_planes(faces, vertices)
-    names = ("nx", "ny", "nz", "d")
-    terms = [F.col(names[i]) * F.col(names[j]) for i in range(4) for j in range(i, 4)]
-    each = planes.select("mesh", *[t.alias(f"q{k}") for k, t in enumerate(terms)], F.explode(F.array("v0", "v1", "v2")).alias("vertex"))
-    return each.groupBy("mesh", "vertex").agg(*[F.sum(f"q{k}").alias(f"q{k}") for k in range(10)])
+#: Rows (faces and vertices) up to which a mesh is worked on in one piece; larger ones are joined row by row.
+MESH_ROWS = 100_000
+#: Rows of whole meshes that one call of NumPy works on, and those of one task.
+_CALL_ROWS, _TASK_ROWS = 100_000, 1_000_000
+_KEYS, _IDS = ("tinyint", "smallint", "int", "bigint", "string"), ("tinyint", "smallint", "int", "bigint")
+
+
+def _by_mesh(faces: DataFrame, vertices: DataFrame, work: Callable[[np.ndarray, np.ndarray, int], dict[str, np.ndarray]], names: Sequence[str], joined: Callable[[DataFrame, DataFrame], DataFrame], with_points: bool = False) -> DataFrame:
+    """mesh, vertex and the doubles ``names`` of each vertex of a face, by ``work`` on whole meshes and by ``joined`` on the rest;
+    ``with_points``: x, y, z of each vertex as well.
+
+    Faces and vertices meet in one shuffle by mesh. ``work`` gets the points of the corners of some meshes' faces (n, 3, 3), the
+    places of their vertices (n, 3) and the number of places, and returns values by place. Meshes beyond ``MESH_ROWS``, with
+    missing coordinates, or with keys of other types are left to ``joined``; as in a join, faces without all their vertices
+    count for nothing and repeated vertices repeat their faces.
+    """
+    kinds = dict(vertices.dtypes) | dict(faces.dtypes)
+    if kinds["mesh"] not in _KEYS or dict(vertices.dtypes)["mesh"] != kinds["mesh"] or any(kinds[c] not in _IDS for c in ("vertex", "v0", "v1", "v2")):
+        return joined(faces, vertices)
+    v = vertices.where("mesh is not null and vertex is not null").select("mesh", F.col("vertex").cast("long").alias("v0"), *[F.lit(None).cast("long").alias(c) for c in ("v1", "v2")], *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    f = faces.where("mesh is not null and v0 is not null and v1 is not null and v2 is not null").select("mesh", *[F.col(c).cast("long").alias(c) for c in ("v0", "v1", "v2")], *[F.lit(None).cast("double").alias(c) for c in "xyz"])
+    rows = v.unionByName(f)
+    sizes = rows.groupBy("mesh").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("v1 is null and (x is null or y is null or z is null)")).alias("holes"))
+    apart = F.expr(f"n > {MESH_ROWS} or holes")
+    n, n_apart = sizes.agg(F.sum("n"), F.count_if(apart)).first()
+    rest = None
+    if n_apart:
+        keys = cut_lineage(sizes.where(apart).select("mesh"))
+        keys = F.broadcast(keys) if n_apart <= BROADCAST_ROWS else keys.hint("merge")
+        rows, rest = rows.join(keys, "mesh", "left_anti"), joined(faces.join(keys, "mesh", "left_semi"), vertices.join(keys, "mesh", "left_semi"))
+    kind = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kinds["mesh"]]
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        mesh, a = t.column("mesh").combine_chunks(), t.column("v0").to_numpy()
+        starts = np.concatenate([[0], 1 + np.nonzero(pc.not_equal(mesh.slice(1), mesh.slice(0, len(mesh) - 1)).to_numpy(zero_copy_only=False))[0]])
+        at = np.repeat(np.arange(len(starts)), np.diff([*starts, len(mesh)]))
+        is_face = t.column("v1").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        order = np.nonzero(~is_face)[0]
+        order = order[np.lexsort((a[order], at[order]))]
+        points = np.column_stack([t.column(c).to_numpy()[order] for c in "xyz"])
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(at[order]) != 0) | (np.diff(a[order]) != 0)
+        place = np.cumsum(new) - 1  # vertices of one number share a place
+        first = np.append(np.nonzero(new)[0], len(order))
+        key_at, key_v = at[order][new], a[order][new]
+        of, ids = at[is_face], np.column_stack([t.column(c).combine_chunks().filter(pa.array(is_face)).to_numpy() for c in ("v0", "v1", "v2")])
+        places, there = np.zeros(ids.shape, np.int64), np.ones(len(ids), bool)
+        numbers, coded = np.unique(np.concatenate([key_v, ids.ravel()]), return_inverse=True)
+        keys, wanted = key_at * len(numbers) + coded[: len(key_v)], of[:, None] * len(numbers) + coded[len(key_v) :].reshape(ids.shape)
+        if len(keys):
+            places = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            there = (keys[places] == wanted).all(axis=1)
+        else:
+            there[:] = False
+        places = places[there]
+        corners = first[places] if len(places) else np.empty((0, 3), np.int64)
+        for k in range(3) if len(first) - 1 < len(order) else ():
+            times = (first[1:] - first[:-1])[places[:, k]]
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            places, corners = np.repeat(places, times, axis=0), np.repeat(corners, times, axis=0)
+            corners[:, k] += step
+        out = work(points[corners], places, len(key_v))
+        used = np.zeros(len(key_v), bool)
+        used[places.ravel()] = True
+        rows = np.nonzero(used[place])[0] if with_points else first[:-1][used]
+        to = place[rows]
+        found = {c: pa.array(out[c][to]) for c in names} | {c: pa.array(points[rows, k]) for k, c in enumerate("xyz") if with_points}
+        return pa.RecordBatch.from_arrays([mesh.take(pa.array(starts[key_at[to]])), pa.array(key_v[to]), *found.values()], ["mesh", "vertex", *found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        due = _CALL_ROWS
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < due:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            mesh = t.column("mesh").combine_chunks()
+            ends = np.nonzero(pc.not_equal(mesh.slice(1), mesh.slice(0, len(mesh) - 1)).to_numpy(zero_copy_only=False))[0]
+            if not len(ends):
+                due += _CALL_ROWS
+                continue
+            cut = int(ends[-1]) + 1
+            yield solve(t.slice(0, cut))
+            held, due = t.slice(cut).to_batches(), _CALL_ROWS
+        if held and sum(b.num_rows for b in held):
+            yield solve(pa.Table.from_batches(held).combine_chunks())
+
+    names_out = [*names, *("xyz" if with_points else "")]
+    parts = max(int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n or 0) // _TASK_ROWS)
+    out = rows.repartition(parts, "mesh").sortWithinPartitions("mesh").mapInArrow(run, f"mesh {kinds['mesh']}, vertex long, " + ", ".join(f"{c} double" for c in names_out))
+    out = out.withColumn("vertex", F.col("vertex").cast(kinds["v0"]))
+    return out if rest is None else out.unionByName(rest.select("mesh", F.col("vertex").cast(kinds["v0"]).alias("vertex"), *[F.col(c).cast("double").alias(c) for c in names_out]))
+
+
+def _planes(corners: np.ndarray) -> np.ndarray:
+    """Unit normals and plane offsets (n, 4) of triangles (n, 3, 3); (0, 0, 1) is the normal of one without area."""
+    u, w = corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
+    n = np.column_stack([u[:, 1] * w[:, 2] - u[:, 2] * w[:, 1], u[:, 2] * w[:, 0] - u[:, 0] * w[:, 2], u[:, 0] * w[:, 1] - u[:, 1] * w[:, 0]])
+    size = np.sqrt((n * n).sum(axis=1))
+    flat = size == 0
+    n[flat], size[flat] = (0.0, 0.0, 1.0), 1.0
+    n /= size[:, None]
+    return np.column_stack([n, -(n * corners[:, 0]).sum(axis=1)])
+
+
+_TERMS = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+def vertex_quadrics(faces: DataFrame, vertices: DataFrame, with_points: bool = False) -> DataFrame:
+    """Sum over a vertex's faces of the ten coefficients of their squared plane distance: mesh, vertex, q0..q9 (and x, y, z)."""
+
+    def work(corners: np.ndarray, places: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        p = _planes(corners)
+        at = places.ravel()
+        return {f"q{k}": np.bincount(at, np.repeat(p[:, i] * p[:, j], 3), n) for k, (i, j) in enumerate(_TERMS)}
+
+    def joined(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+        planes = face_planes(faces, vertices)
+        names = ("nx", "ny", "nz", "d")
+        terms = [F.col(names[i]) * F.col(names[j]) for i, j in _TERMS]
+        each = planes.select("mesh", *[t.alias(f"q{k}") for k, t in enumerate(terms)], F.explode(F.array("v0", "v1", "v2")).alias("vertex"))
+        q = each.groupBy("mesh", "vertex").agg(*[F.sum(f"q{k}").alias(f"q{k}") for k in range(10)])
+        return q.join(vertices.select("mesh", "vertex", "x", "y", "z").hint("merge"), ["mesh", "vertex"]) if with_points else q
+
+    return _by_mesh(faces, vertices, work, [f"q{k}" for k in range(10)], joined, with_points)
 
 
 def quadric_error(q: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:

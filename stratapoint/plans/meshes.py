@@ -44,9 +44,8 @@ i AS (SELECT mesh, v0 AS vertex, face, nx, ny, nz, d FROM p UNION ALL SELECT mes
  round(sum((nx * (x + 1) + ny * y + nz * z + d) * (nx * (x + 1) + ny * y + nz * z + d)), 4) AS error FROM i JOIN v USING (mesh, vertex) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY mesh, vertex"))
 def quadric_sum(spark: SparkSession, d: str) -> DataFrame:
     """Quadrics of the meshes' vertices, and the error of moving each by one along x."""
-    v = grid_vertices(spark, d)
-    q = mesh.vertex_quadrics(grid_faces(spark, d), v).join(v.select("mesh", "vertex", (F.col("x") + 1).alias("x"), "y", "z"), ["mesh", "vertex"])
-    e = mesh.quadric_error(q)
+    q = mesh.vertex_quadrics(grid_faces(spark, d), grid_vertices(spark, d), with_points=True)
+    e = mesh.quadric_error(q.withColumn("x", F.col("x") + 1))
     return e.select("mesh", "vertex", *[(F.round(c, 5) + 0.0).alias(c) for c in ("q0", "q1", "q4", "q7")], F.round("q9", 4).alias("q9"), F.round("error", 4).alias("error"))
 
 

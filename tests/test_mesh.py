@@ -1,7 +1,14 @@
+import os
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stratapoint.operators import mesh
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def area(t):
     return np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1).sum() / 2
@@ -94,3 +101,33 @@ def test_tables(spark):
     assert {round(r.curvature, 9) for r in mesh.vertex_curvature(t, v).collect()} == {0.0}
     assert mesh.near_pairs(v, 1.0).count() == 24
     assert mesh.border_vertices(t.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quadric_sum"])
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_exploded_rows_are_never_broadcast(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") <= 2
+
+
+@pytest.mark.parametrize(("kind", "bounds"), [("long", (0, 60)), ("string", (60,))])
+def test_whole_meshes_equal_joined_ones(spark, monkeypatch, kind, bounds):
+    p, f = plane(4)
+    p[:, 2] = np.arange(len(p)) * 7 % 5 / 3
+    hub = [(0.0, 0.0, 1.0), *[(float(np.cos(a)), float(np.sin(a)), float(k % 3)) for k, a in enumerate(np.arange(50))]]
+    v = [(m, k + 2**60, *map(float, x)) for m in (1, 2, 3) for k, x in enumerate(p)] + [(4, k, *x) for k, x in enumerate(hub)]
+    t = [(m, k, *(int(x) + 2**60 for x in c)) for m in (1, 2, 3) for k, c in enumerate(f)] + [(4, k, 0, k + 1, (k + 1) % 50 + 1) for k in range(50)]
+    v += [(2, 2**60 + 6, 9.0, 9.0, 9.0), (3, 2**60 + 99, None, 0.0, 0.0), (None, 0, 0.0, 0.0, 0.0), (5, 0, 0.0, 0.0, 0.0)]  # repeated, missing, without faces
+    t += [(1, 90, 2**60, 2**60 + 1, 77), (1, 91, 2**60, 2**60, 2**60 + 1), (1, 92, 2**60, None, 2**60 + 1), (6, 0, 0, 1, 2), (3, 93, 2**60 + 99, 2**60, 2**60 + 1)]
+    v = spark.createDataFrame(v, "mesh long, vertex long, x double, y double, z double").withColumn("mesh", F.col("mesh").cast(kind))
+    t = spark.createDataFrame(t, "mesh long, face long, v0 long, v1 long, v2 long").withColumn("mesh", F.col("mesh").cast(kind))
+
+    def got():
+        both = [mesh.vertex_quadrics(t, v, with_points=True), mesh.vertex_quadrics(t, v)]
+        return [sorted((tuple(None if x is None else round(x, 9) + 0.0 if isinstance(x, float) else x for x in r) for r in d.select(sorted(d.columns)).collect()), key=repr) for d in both]
+
+    whole = got()
+    for rows in bounds:
+        monkeypatch.setattr(mesh, "MESH_ROWS", rows)
+        assert got() == whole
+    assert [len(x) for x in whole] == [25 * 3 + 1 + 1 + 51, 25 * 3 + 1 + 51]
