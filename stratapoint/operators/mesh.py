@@ -369,11 +369,38 @@ def vertex_curvature(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
     Equal normals of a vertex count once, so the pairs grow with the directions around it, not with its faces.
     """
-    planes = face_planes(faces, vertices).select("mesh", "nx", "ny", "nz", F.explode(F.array("v0", "v1", "v2")).alias("vertex")).distinct()
-    other = planes.select(F.col("mesh").alias("_m"), F.col("vertex").alias("_v"), *[F.col(c).alias(f"_{c}") for c in ("nx", "ny", "nz")])
-    both = planes.join(other, (F.col("mesh") == F.col("_m")) & (F.col("vertex") == F.col("_v")))
-    bend = (1 - (F.col("nx") * F.col("_nx") + F.col("ny") * F.col("_ny") + F.col("nz") * F.col("_nz"))) / 2
-    return both.groupBy("mesh", "vertex").agg(F.max(bend).alias("curvature"))
+
+    def work(corners: np.ndarray, places: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        return {"curvature": (1 - _least_products(np.repeat(_planes(corners)[:, :3], 3, axis=0), places.ravel(), n)) / 2}
+
+    def joined(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+        planes = face_planes(faces, vertices).select("mesh", "nx", "ny", "nz", F.explode(F.array("v0", "v1", "v2")).alias("vertex")).distinct()
+        other = planes.select(F.col("mesh").alias("_m"), F.col("vertex").alias("_v"), *[F.col(c).alias(f"_{c}") for c in ("nx", "ny", "nz")])
+        both = planes.join(other.hint("merge"), (F.col("mesh") == F.col("_m")) & (F.col("vertex") == F.col("_v")))
+        bend = (1 - (F.col("nx") * F.col("_nx") + F.col("ny") * F.col("_ny") + F.col("nz") * F.col("_nz"))) / 2
+        return both.groupBy("mesh", "vertex").agg(F.max(bend).alias("curvature"))
+
+    return _by_mesh(faces, vertices, work, ["curvature"], joined)
+
+
+def _least_products(normals: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The least product of two normals (or of one with itself) at each of n places; infinite where there is none."""
+    order = np.argsort(at, kind="stable")
+    m, counts = normals[order], np.bincount(at, minlength=n)
+    starts = np.cumsum(counts) - counts
+    least = np.full(n, np.inf)
+    for k in np.nonzero(counts > 32)[0]:
+        own = np.unique(m[starts[k] : starts[k] + counts[k]], axis=0)
+        least[k] = min((own[i : i + 1000] @ own.T).min() for i in range(0, len(own), 1000))
+    for c in np.unique(counts[(counts > 0) & (counts <= 32)]):  # places of as many faces at once
+        some = np.nonzero(counts == c)[0]
+        for part in np.array_split(some, max(1, len(some) * int(c) // 1_000_000)):
+            own = m[starts[part][:, None] + np.arange(c)]
+            best = np.full(len(part), np.inf)
+            for i in range(c):
+                best = np.minimum(best, (own[:, i:] * own[:, i : i + 1]).sum(axis=2).min(axis=1))
+            least[part] = best
+    return least
 
 
 def near_pairs(vertices: DataFrame, distance: float) -> DataFrame:

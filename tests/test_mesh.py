@@ -103,7 +103,7 @@ def test_tables(spark):
     assert mesh.border_vertices(t.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["quadric_sum"])
+@pytest.mark.parametrize("name", ["quadric_sum", "vertex_curvature"])
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_exploded_rows_are_never_broadcast(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
@@ -123,11 +123,11 @@ def test_whole_meshes_equal_joined_ones(spark, monkeypatch, kind, bounds):
     t = spark.createDataFrame(t, "mesh long, face long, v0 long, v1 long, v2 long").withColumn("mesh", F.col("mesh").cast(kind))
 
     def got():
-        both = [mesh.vertex_quadrics(t, v, with_points=True), mesh.vertex_quadrics(t, v)]
+        both = [mesh.vertex_quadrics(t, v, with_points=True), mesh.vertex_quadrics(t, v), mesh.vertex_curvature(t, v)]
         return [sorted((tuple(None if x is None else round(x, 9) + 0.0 if isinstance(x, float) else x for x in r) for r in d.select(sorted(d.columns)).collect()), key=repr) for d in both]
 
     whole = got()
     for rows in bounds:
         monkeypatch.setattr(mesh, "MESH_ROWS", rows)
         assert got() == whole
-    assert [len(x) for x in whole] == [25 * 3 + 1 + 1 + 51, 25 * 3 + 1 + 51]
+    assert [len(x) for x in whole] == [25 * 3 + 1 + 1 + 51, 25 * 3 + 1 + 51, 25 * 3 + 1 + 51]
