@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapoint.errors import FormatNotSupported
+from stratapoint.session import cut_lineage
 
 PORTION = 1_000_000
+#: Points read at once.
+BATCH = 100_000
 # Type names of the format.
 TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
@@ -82,37 +85,72 @@ def read_header(path: str) -> Header:
     raise KeyError(f"{path} has no vertices")
 
 
+HEADS = "path string, n long, text boolean, fields array<string>"
+
+
+def _heads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per file from its header, read by the tasks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [read_header(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h.count for h in heads], pa.int64()), pa.array([not h.order for h in heads], pa.bool_()), pa.array([[n for n, _ in h.extra_fields] for h in heads], pa.list_(pa.string()))],
+                ["path", "n", "text", "fields"],
+            )
+
+    files = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    return files.repartition(max(1, min(len(paths), 2 * spark.sparkContext.defaultParallelism)), "path").mapInArrow(read, HEADS)
+
+
+def _rows(h: Header, start: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first, points) of a portion, in batches: records, or a table of a text's numbers (which begins at 0). A file
+    that ends before raises FormatNotSupported."""
+    with open(h.path, "rb") as f:
+        f.seek(h.offset)
+        for at in range(start, start + n, BATCH):
+            k = min(BATCH, start + n - at)
+            if h.order:
+                rows = np.fromfile(h.path, h.dtype, k, offset=h.offset + at * h.dtype.itemsize)
+            else:  # no line beyond those asked for is read
+                rows = np.loadtxt(f, skiprows=0 if at else h.skipped_lines, max_rows=k, ndmin=2)
+            if len(rows) < k:
+                raise FormatNotSupported(f"{h.path} ends after {at + len(rows)} of {h.count} points")
+            yield at, rows
+
+
 def scan(spark: SparkSession, paths: list[str], fields: tuple[str, ...] = ()) -> DataFrame:
-    """path, point_no, x, y, z, red, green, blue (0 without) and the asked properties (0 in files that lack them), as doubles."""
-    headers = {p: read_header(p) for p in paths}
-    have = [f for f in fields if any(n == f for h in headers.values() for n, _ in h.extra_fields)]
-    portions = [(p, s, min(PORTION, h.count - s)) for p, h in headers.items() for s in (range(0, h.count, PORTION) if h.order else [0] if h.count else [])]
-    portions = [(p, s, n if headers[p].order else headers[p].count) for p, s, n in portions]
+    """path, point_no, x, y, z, red, green, blue (0 without) and the asked properties (0 in files that lack them), as doubles.
+
+    Headers are read by tasks. A unit of work is a portion of a million points or, of a text, the whole file; many small ones
+    share a task.
+    """
+    heads = cut_lineage(_heads(spark, paths))
+    named = {r.f for r in heads.select(F.explode("fields").alias("f")).where(F.col("f").isin(*fields)).distinct().collect()}  # of those asked
+    have = [f for f in fields if f in named]
     schema = "path string, point_no long, x double, y double, z double, red smallint, green smallint, blue smallint" + "".join(f", {f} double" for f in have)
+    portion = F.when(F.col("text"), F.col("n")).otherwise(F.lit(PORTION))
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, portion)).alias("start")
+    units = heads.where("n > 0").select("path", "n", portion.alias("portion"), begin).select("path", "start", F.least("portion", F.col("n") - F.col("start")).alias("n"))
+    n_units, n_points = heads.where("n > 0").agg(F.sum(F.ceil(F.col("n") / portion)), F.sum("n")).first()
+    tasks = max(1, min(int(n_units or 0), 2 * spark.sparkContext.defaultParallelism + int(n_points or 0) // PORTION))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                h = headers[path]
-                if h.order:
-                    rows = np.fromfile(path, h.dtype, n, offset=h.offset + start * h.dtype.itemsize)
-                    get = lambda c, rows=rows: rows[c].astype(np.float64)
-                else:
-                    with open(path, "rb") as f:
-                        f.seek(h.offset)
-                        table = np.loadtxt(f, skiprows=h.skipped_lines, max_rows=n, ndmin=2)
-                    at = {c: k for k, (c, _) in enumerate(h.fields)}
-                    get = lambda c, table=table, at=at: table[:, at[c]]
-                names = {c for c, _ in h.fields}
-                rgb = [np.clip(get(c) // h.colour_divisor, 0, 255).astype(np.int16) if c in names else np.zeros(n, np.int16) for c in COLOURS]
-                extra = [get(c) if c in names else np.zeros(n) for c in have]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * n), pa.array(np.arange(start, start + n)), *[pa.array(get(c)) for c in "xyz"], *map(pa.array, rgb), *map(pa.array, extra)],
-                    ["path", "point_no", "x", "y", "z", *COLOURS, *have],
-                )
-
-    units = spark.createDataFrame(portions, "path string, start long, n long")
-    return units.repartition(max(1, len(portions)), F.col("path"), F.col("start")).mapInArrow(read, schema)
+                h = read_header(path)
+                place = {c: k for k, (c, _) in enumerate(h.fields)}
+                for at, rows in _rows(h, start, n):
+                    k = len(rows)
+                    get = (lambda c, rows=rows: rows[c].astype(np.float64)) if h.order else (lambda c, rows=rows: rows[:, place[c]])
+                    rgb = [np.clip(get(c) // h.colour_divisor, 0, 255).astype(np.int16) if c in place else np.zeros(k, np.int16) for c in COLOURS]
+                    extra = [get(c) if c in place else np.zeros(k) for c in have]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path] * k), pa.array(np.arange(at, at + k)), *[pa.array(get(c)) for c in "xyz"], *map(pa.array, rgb), *map(pa.array, extra)],
+                        ["path", "point_no", "x", "y", "z", *COLOURS, *have],
+                    )
+
+    return units.repartition(tasks, "path", "start").mapInArrow(read, schema)
 
 
 def with_renamed_property(points: DataFrame, old: str, new: str) -> DataFrame:
@@ -137,5 +175,5 @@ def write(path: str, columns: dict[str, np.ndarray], order: str = "<") -> None:
                 rows[c] = v
             f.write(rows.tobytes())
         else:
-            for r in zip(*columns.values(), strict=True):
-                f.write((" ".join(repr(v.item()) for v in r) + "\n").encode())
+            for r in zip(*[v.tolist() for v in columns.values()], strict=True):
+                f.write((" ".join(map(repr, r)) + "\n").encode())

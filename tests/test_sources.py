@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -67,6 +69,36 @@ def test_ply(spark, tmp_path, order):
         ply.read_header(str(tmp_path / "b.ply"))
 
 
+def test_many_ply_files_share_tasks(spark, tmp_path):
+    files = [str(tmp_path / f"{k}.ply") for k in range(60)]
+    for k, f in enumerate(files):
+        v = {c: np.arange(k % 5, dtype=float) + k for c in "xyz"}
+        ply.write(f, v | ({"n": np.arange(k % 5, dtype=np.int32)} if k % 2 else {}), ("", "<", ">")[k % 3])
+    points = ply.scan(spark, [*files, files[1]], ("n",))
+    assert points.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < len(files)
+    got = sorted((r.path, r.point_no, r.x, r.n) for r in points.collect())
+    assert got == sorted((f, i, float(k + i), float(i * (k % 2))) for k, f in enumerate(files) for i in range(k % 5))
+    assert ply.scan(spark, []).count() == 0
+
+
+@pytest.mark.filterwarnings("ignore:Input line")
+def test_ply_in_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(ply, "BATCH", 3)
+    f, head = str(tmp_path / "a.ply"), "ply\nformat ascii 1.0\nelement camera 2\nproperty int n\nelement vertex 7\nproperty float x\nproperty float y\nproperty float z\n{}end_header\n7\n8\n"
+    lines = "".join(f"{k} {k * 2} 0\n" + "\n" * (k % 2) for k in range(7))
+    for faces, rest in (("", ""), ("element face 1\nproperty list uchar int vertex_indices\n", "3 0 1 2\n")):
+        with open(f, "w", encoding="ascii") as out:
+            out.write(head.format(faces) + lines + rest)
+        got = list(ply._rows(ply.read_header(f), 0, 7))
+        assert [at for at, _ in got] == [0, 3, 6] and np.concatenate([r for _, r in got]).tolist() == [[k, k * 2, 0] for k in range(7)]
+    for order in ("", "<"):
+        ply.write(f, {c: np.arange(7.0) for c in "xyz"}, order)
+        with open(f, "rb+") as out:
+            out.truncate(os.path.getsize(f) - 24)
+        with pytest.raises(FormatNotSupported, match="of 7 points"):
+            list(ply._rows(ply.read_header(f), 0, 7))
+
+
 OBJ = """mtllib a.mtl
 o cube
 v -1 -1 -1
